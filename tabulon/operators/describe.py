@@ -55,13 +55,13 @@ def descriptive(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     number = lambda x: F.lit(x).cast("double")
     rows = []
     for i, n in enumerate(names):
-        missing = round((wide.rows - wide[f"n{i}"]) / wide.rows * 100, 2) if wide.rows else 0.0
+        missing = (wide.rows - wide[f"n{i}"]) / wide.rows * 100 if wide.rows else 0.0
         q25, q50, q75 = quartiles[n]
         rows.append(F.struct(
             F.lit(n).alias("column"), F.lit(wide[f"c{i}"]).cast("long").alias("count"),
             number(wide[f"a{i}"]).alias("mean"), number(wide[f"s{i}"]).alias("std"),
             number(wide[f"l{i}"]).alias("min"), number(q25).alias("q25"), number(q50).alias("q50"),
-            number(q75).alias("q75"), number(wide[f"h{i}"]).alias("max"), number(missing).alias("missing_pct"),
+            number(q75).alias("q75"), number(wide[f"h{i}"]).alias("max"), F.round(number(missing), 2).alias("missing_pct"),
             number(q50).alias("median"),
         ))
     return explode_structs(df.sparkSession.range(1), rows)

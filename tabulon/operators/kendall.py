@@ -13,10 +13,12 @@ can grow with the data.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from tabulon.functions.columns import col
 from tabulon.functions.distributions import normal_two_sided
 from tabulon.operators.ranking import running_counts
 
+# The pair counting runs in Python workers: ship it with the job instead of asking every node to have it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIGIT_BITS = 8
 _EXACT_ROWS = 33
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -17,6 +18,10 @@ from tabulon.functions.frames import small_frame
 from tabulon.operators.select import listwise_complete
 
 
+# Restarts submitted to Spark side by side: their jobs are short and would leave executors idle one by one.
+PARALLEL_FITS = 5
+
+
 def _columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     names = existing(df, columns or [])
     if len(names) < 2:
@@ -86,12 +91,14 @@ class KMeansFit:
         self.columns, self.k, self.n = list(columns), k, None
         self._rows, self._spark = rows, rows.sparkSession
         data = vectors(rows).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-        best = None
+
+        def fit(run: int):
+            return KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(data)
+
         try:
-            for run in range(n_init):
-                model = KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(data)
-                if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                    best = model
+            data.count()  # cached once, before the restarts share it
+            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+                best = min(pool.map(fit, range(n_init)), key=lambda m: m.summary.trainingCost)
             self.inertia = best.summary.trainingCost
             sizes = best.summary.clusterSizes
         finally:
