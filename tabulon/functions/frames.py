@@ -18,6 +18,16 @@ def explode_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, for passes that repeat many times.
+
+    A table read as fewer partitions would leave cores idle in every one of those passes; a large
+    table has enough of them and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def in_batches(items: list, size: int) -> Iterable[list]:
     for start in range(0, len(items), size):
         yield items[start:start + size]

@@ -13,7 +13,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, is_numeric, to_numeric
-from tabulon.functions.frames import small_frame
+from tabulon.functions.frames import spread
 from tabulon.operators.actions import most_frequent
 from tabulon.operators.multivariate import KMeansFit
 from tabulon.operators.ranking import text_codes
@@ -72,7 +72,7 @@ class ForestRun:
             label = F.create_map(*pairs)[col(target)]
         learner = {"regression": RandomForestRegressor, "classification": RandomForestClassifier}[task]
         data = assemble.transform(train).select(label.alias("_label"), "_features")
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.model = learner(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
                                  seed=seed).fit(data)
@@ -132,7 +132,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def ml_clustering(df: DataFrame, k: int = 3, *, n_init: int = 10, seed: int = 42, max_iter: int = 50) -> KMeansFit:
+def ml_clustering(df: DataFrame, k: int = 3, *, n_init: int = 10, seed: int = 42, max_iter: int = 30) -> KMeansFit:
     """k-means on the prepared columns in their own units."""
     prepared = preprocess(df)
     rows = prepared.select(*[col(c).alias(f"x{i}") for i, c in enumerate(prepared.columns)])

@@ -18,7 +18,7 @@ from tabulon.functions.columns import col, existing, numeric_columns, numeric_vi
 from tabulon.functions.distributions import t_two_sided
 from tabulon.functions.frames import in_batches, small_frame
 from tabulon.operators.kendall import kendall_tau
-from tabulon.operators.ranking import mid_rank, running_counts
+from tabulon.operators.ranking import mid_rank, running_counts, value_splits
 
 METHODS = ("pearson", "spearman", "kendall")
 # Pairs per aggregate: keeps the generated code of one pass within bounds.
@@ -44,7 +44,7 @@ def _pearson(values: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[floa
     return found
 
 
-def with_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
+def with_ranks(values: DataFrame, names: Sequence[str], splits: dict[str, list[float]]) -> DataFrame:
     """Rank columns ``r0, r1, ...`` of double columns without NULL.
 
     Rows meet the rank table of each column by value. A value shared by many rows makes one large
@@ -53,7 +53,8 @@ def with_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
     """
     ranked = values
     for i, name in enumerate(names):
-        table = running_counts(values, name).select(col(name).alias("_value"), mid_rank().alias(f"r{i}"))
+        table = running_counts(values, name, splits=splits[name]).select(
+            col(name).alias("_value"), mid_rank().alias(f"r{i}"))
         ranked = ranked.join(table, col(name) == F.col("_value")).drop("_value")
     return ranked
 
@@ -61,15 +62,19 @@ def with_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
 def _spearman(values: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> list[tuple[float | None, int]]:
     parts = [F.count("*"), *[F.count(col(n)) for n in names]]
     counts = values.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)]).first()
-    if all(counts[i + 1] == counts[0] for i in range(len(names))):
-        ranked = with_ranks(values, names)
-        renamed = ranked.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(names)])
-        return _pearson(renamed, pairs)
-    found = []
-    for a, b in pairs:  # missing cells differ by pair, and so do the ranks
-        both = values.select(col(a).alias("a"), col(b).alias("b")).dropna()
-        found += _pearson(with_ranks(both, ["a", "b"]).select("r0", "r1"), [("r0", "r1")])
-    return found
+    full = [n for i, n in enumerate(names) if counts[i + 1] == counts[0]]
+    splits = value_splits(values, names)  # boundaries of a column fit any part of its rows
+    found: dict[tuple[str, str], tuple[float | None, int]] = {}
+    if len(full) > 1:  # columns without missing cells are ranked once for all of their pairs
+        ranked = with_ranks(values.select(*[col(n) for n in full]), full, splits)
+        ranked = ranked.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(full)])
+        complete = [p for p in pairs if p[0] in full and p[1] in full]
+        found.update(zip(complete, _pearson(ranked, complete)))
+    for a, b in pairs:  # elsewhere the missing cells differ by pair, and so do the ranks
+        if (a, b) not in found:
+            both = values.select(col(a), col(b)).dropna()
+            found[a, b] = _pearson(with_ranks(both, [a, b], splits).select("r0", "r1"), [("r0", "r1")])[0]
+    return [found[p] for p in pairs]
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:

@@ -22,9 +22,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col
 from tabulon.functions.distributions import normal_two_sided
-from tabulon.operators.ranking import running_counts
+from tabulon.operators.ranking import running_counts, value_splits
 
 # The pair counting runs in Python workers: ship it with the job instead of asking every node to have it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -96,10 +95,10 @@ def concordance(ranked: DataFrame, x_places: int, y_places: int) -> float:
     tables = tables.where(F.size("cells") > 1)
     a, b = F.col("cells")[0], F.col("cells")[1]
     two_cells = F.signum((a["x"] - b["x"]) * (a["y"] - b["y"]).cast("double")) * a["n"] * b["n"]
-    pairs = tables.where(F.size("cells") == 2).agg(F.sum(two_cells.cast("double"))).first()[0]
-    larger = tables.where(F.size("cells") > 2).select("cells")
-    rest_sum = larger.mapInPandas(_table_scores, "s double").agg(F.sum("s")).first()[0]
-    return (pairs or 0.0) + (rest_sum or 0.0)
+    # Both branches read the same shuffled tables; only larger ones go through Python.
+    pairs = tables.where(F.size("cells") == 2).select(two_cells.cast("double").alias("s"))
+    larger = tables.where(F.size("cells") > 2).select("cells").mapInPandas(_table_scores, "s double")
+    return pairs.unionAll(larger).agg(F.sum("s")).first()[0] or 0.0
 
 
 def _exact_p(n: int, discordant: int) -> float:
@@ -121,12 +120,10 @@ def _exact_p(n: int, discordant: int) -> float:
 
 def kendall_tau(xy: DataFrame) -> tuple[float | None, int, float | None]:
     """``tau, n, p`` of the complete rows ``x, y``: exact p for few rows without ties, normal beyond."""
-    sides, facts = {}, {}
+    facts = {}
     for name in ("x", "y"):
-        table = running_counts(xy, name)
-        sides[name] = table.select(col(name), F.col("dense").alias(f"_{name}"))
         t = F.col("n").cast("double")
-        facts[name] = table.agg(
+        facts[name] = xy.groupBy(name).agg(F.count("*").alias("n")).agg(
             F.sum("n").alias("n"), F.count("*").alias("distinct"),
             F.sum(t * (t - 1)).alias("pairs"), F.sum(t * (t - 1) * (2 * t + 5)).alias("five"),
             F.sum(t * (t - 1) * (t - 2)).alias("triples")).first()
@@ -136,6 +133,8 @@ def kendall_tau(xy: DataFrame) -> tuple[float | None, int, float | None]:
     tied_x, tied_y = (fx.pairs or 0.0) / 2, (fy.pairs or 0.0) / 2
     if n < 2 or tied_x == total or tied_y == total:
         return None, n, None
+    splits = value_splits(xy, ["x", "y"])
+    sides = {c: running_counts(xy, c, splits=splits[c]).select(c, F.col("dense").alias(f"_{c}")) for c in splits}
     # A value shared by many rows is one row here before it meets its rank.
     counted = xy.groupBy("x", "y").agg(F.count("*").alias("n"))
     ranked = counted.join(sides["x"], "x").join(sides["y"], "y").select(

@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, existing
-from tabulon.functions.frames import small_frame
+from tabulon.functions.frames import small_frame, spread
 from tabulon.operators.select import listwise_complete
 
 
@@ -90,7 +90,7 @@ class KMeansFit:
     def __init__(self, rows: DataFrame, columns: Sequence[str], k: int, *, n_init: int, seed: int, max_iter: int):
         self.columns, self.k, self.n = list(columns), k, None
         self._rows, self._spark = rows, rows.sparkSession
-        data = vectors(rows).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(vectors(rows).select("features")).persist(StorageLevel.MEMORY_AND_DISK)
 
         def fit(run: int):
             return KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(data)
@@ -126,7 +126,7 @@ class KMeansFit:
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, *, n_init: int = 10, seed: int = 42,
-           max_iter: int = 50) -> KMeansFit:
+           max_iter: int = 30) -> KMeansFit:
     names = _columns(df, columns)
     scaled, n = standardised(df, names, 10)
     fit = KMeansFit(scaled, names, max(2, min(int(k or 3), 10)), n_init=n_init, seed=seed, max_iter=max_iter)

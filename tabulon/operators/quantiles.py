@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from tabulon.functions.columns import col, numeric_view
 from tabulon.operators.ranking import running_counts
 
-BAND_ROWS = 1_000_000
+BAND_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -77,22 +77,24 @@ def _read_out(values: DataFrame, bands: list[_Band]) -> dict[tuple[str, int], fl
 def _narrow(values: DataFrame, bands: list[_Band], accuracy: int, found: dict) -> list[_Band]:
     """Bracket every wanted position of large bands and keep only what lies inside the brackets."""
     margin = 2.0 / accuracy
-    targets = []
-    for band in bands:
+    targets, sketches = [], []
+    for i, band in enumerate(bands):
         near: list[list[int]] = []
         for position in sorted(band.positions):
             if near and position - near[-1][0] <= 1:
                 near[-1].append(position)
             else:
                 near.append([position])
-        targets += [(band, group) for group in near]
-
-    sketches = []
-    for i, (band, group) in enumerate(targets):
-        low = max(0.0, (group[0] - band.start) / band.size - margin)
-        high = min(1.0, (group[-1] + 1 - band.start) / band.size + margin)
-        sketches.append(F.percentile_approx(F.when(band.holds(), col(band.column)), [low, high], accuracy).alias(f"s{i}"))
-    brackets = values.agg(*sketches).first()
+        at = []
+        for group in near:
+            at += [max(0.0, (group[0] - band.start) / band.size - margin),
+                   min(1.0, (group[-1] + 1 - band.start) / band.size + margin)]
+        # One sketch per band answers all of its brackets.
+        sketches.append(F.percentile_approx(F.when(band.holds(), col(band.column)), at, accuracy).alias(f"s{i}"))
+        targets += [(i, j, band, group) for j, group in enumerate(near)]
+    sketched = values.agg(*sketches).first()
+    brackets = [(sketched[i][2 * j], sketched[i][2 * j + 1]) for i, j, _, _ in targets]
+    targets = [(band, group) for _, _, band, group in targets]
 
     tallies = []
     for i, (band, _) in enumerate(targets):

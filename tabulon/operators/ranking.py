@@ -21,29 +21,43 @@ from tabulon.functions.columns import col
 
 BUCKET_VALUES = 50_000
 MAX_BUCKETS = 4096
-SAMPLE_VALUES = 200_000
+SAMPLE_VALUES = 20_000
+SAMPLE_PER_BUCKET = 100
 
 
 def value_splits(
-    df: DataFrame, value: str, *, bucket_values: int = BUCKET_VALUES, max_buckets: int = MAX_BUCKETS
-) -> list[float]:
-    """Inner boundaries that share out the distinct values of a double column evenly."""
-    distinct = df.agg(F.approx_count_distinct(col(value))).first()[0]
-    buckets = min(max_buckets, math.ceil(distinct / bucket_values))
-    if buckets <= 1:
-        return []
-    thin = max(1, distinct // SAMPLE_VALUES)
-    sample = df.select(col(value)).where(col(value).isNotNull())
-    if thin > 1:
-        sample = sample.where(F.pmod(F.xxhash64(col(value)), F.lit(thin)) == 0)
-    at = [i / buckets for i in range(1, buckets)]
-    bounds = sample.distinct().agg(F.percentile_approx(col(value), at, max(10_000, 10 * buckets))).first()[0]
-    return sorted(set(bounds or []))
+    df: DataFrame, values: Sequence[str], *, bucket_values: int = BUCKET_VALUES, max_buckets: int = MAX_BUCKETS
+) -> dict[str, list[float]]:
+    """Inner boundaries that share out the distinct values of each double column evenly.
+
+    One aggregate counts the distinct values roughly; a second one reads the boundaries of the
+    columns that need any from the distinct values whose hash falls into a thin slice.
+    """
+    values = list(dict.fromkeys(values))
+    distinct = df.agg(*[F.approx_count_distinct(col(v)) for v in values]).first()
+    splits: dict[str, list[float]] = {v: [] for v in values}
+    slices, buckets = [], {}
+    for v, count in zip(values, distinct):
+        buckets[v] = min(max_buckets, math.ceil(count / bucket_values))
+        if buckets[v] > 1:
+            thin = max(1, count // max(SAMPLE_VALUES, SAMPLE_PER_BUCKET * buckets[v]))
+            slices.append(F.when(F.pmod(F.xxhash64(col(v)), F.lit(thin)) == 0, F.struct(
+                F.lit(v).alias("c"), col(v).alias("v"))))
+    if not slices:
+        return splits
+    sample = df.select(F.explode(F.array_compact(F.array(*slices))).alias("s")).select("s.*").distinct()
+    wanted = [v for v in values if buckets[v] > 1]
+    bounds = sample.agg(*[
+        F.percentile_approx(F.when(F.col("c") == v, F.col("v")), [i / buckets[v] for i in range(1, buckets[v])],
+                            max(10_000, 10 * buckets[v])) for v in wanted]).first()
+    for v, found in zip(wanted, bounds):
+        splits[v] = sorted(set(found or []))
+    return splits
 
 
 def running_counts(
     df: DataFrame, value: str, *, by: Sequence[str] = (), tag: Sequence[str] = (),
-    measures: Sequence[str] = (), bucket_values: int | None = None,
+    measures: Sequence[str] = (), splits: Sequence[float] | None = None, bucket_values: int = BUCKET_VALUES,
 ) -> DataFrame:
     """``by, tag, value, n, ties, upto, dense, total``: one row per distinct (by, value, tag).
 
@@ -51,26 +65,30 @@ def running_counts(
     with exactly this value, ``dense`` the distinct values not above it, ``total`` all rows of
     ``by``. ``tag`` columns split the rows without taking part in the ordering. The columns in
     ``by`` must not be NULL; rows without a value are left out. Each numeric ``measures`` column m is
-    summed along: ``m, m_upto, m_total``.
+    summed along: ``m, m_upto, m_total``. ``splits`` may carry boundaries read before.
     """
     by, tag, measures = list(by), list(tag), list(measures)
     rows = df.select(*[col(c) for c in [*by, *tag, value, *measures]]).where(col(value).isNotNull())
-    splits = value_splits(rows, value, bucket_values=bucket_values or BUCKET_VALUES)
+    if splits is None:
+        splits = value_splits(rows, [value], bucket_values=bucket_values)[value]
     counts = rows.groupBy(*[col(c) for c in [*by, value, *tag]]).agg(
         F.count("*").alias("n"), *[F.sum(col(m)).alias(m) for m in measures])
     if splits:
         edges = [-math.inf, *splits, math.inf]
-        counts = Bucketizer(splits=edges, inputCol=value, outputCol="_bucket").transform(counts)
+        counts = Bucketizer(splits=edges, inputCol=value, outputCol="_place").transform(counts)
+        # Never NULL, so that the join below filters neither side and both share one aggregation.
+        counts = counts.withColumn("_bucket", F.coalesce(F.col("_place").cast("int"), F.lit(0))).drop("_place")
         home = [*by, "_bucket"]
     else:
-        counts = counts.withColumn("_bucket", F.lit(0.0))
+        counts = counts.withColumn("_bucket", F.lit(0))
         home = by or ["_bucket"]
     home_cols = [col(c) for c in home]
-    # Peers share the default RANGE frame, so "upto" covers every tag of the same value.
+    # Peers share the default RANGE frame, so running sums cover every tag of the same value.
     ordered = Window.partitionBy(*home_cols).orderBy(col(value))
+    same_value = ordered.rangeBetween(Window.currentRow, Window.currentRow)
     inside = counts.select(
         "*",
-        F.sum("n").over(Window.partitionBy(*home_cols, col(value))).alias("ties"),
+        (F.sum("n").over(same_value) if tag else F.col("n")).alias("ties"),
         F.sum("n").over(ordered).alias("_upto"),
         F.dense_rank().over(ordered).alias("_dense"),
         *[F.sum(col(m)).over(ordered).alias(f"_{m}") for m in measures],
@@ -85,7 +103,8 @@ def running_counts(
                 F.col(f"_{m}").alias(f"{m}_upto"), F.sum(col(m)).over(whole).alias(f"{m}_total"))])
     # Without tags each row is a distinct value, so no distinct counting is needed.
     distinct = F.count_distinct(col(value)) if tag else F.count("*")
-    per_bucket = counts.groupBy(*home_cols).agg(F.sum("n").alias("_n"), distinct.alias("_d"), *[F.sum(col(m)).alias(m) for m in measures])
+    per_bucket = counts.groupBy(*home_cols).agg(
+        F.sum("n").alias("_n"), distinct.alias("_d"), *[F.sum(col(m)).alias(m) for m in measures])
     # At most MAX_BUCKETS rows for each value of ``by``.
     line = Window.partitionBy(*([col(c) for c in by] or [F.lit(0)]))
     before = line.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +141,7 @@ def text_codes(df: DataFrame, name: str, *, bucket_values: int = BUCKET_VALUES)
     if count <= bucket_values:
         order = Window.partitionBy(F.lit(0)).orderBy(col(name))  # at most bucket_values rows
         return distinct.select(col(name), (F.row_number().over(order) - 1).cast("long").alias("code"))
-    thin = max(1, count // SAMPLE_VALUES)
+    thin = max(1, count // (10 * SAMPLE_VALUES))
     parts = min(256, math.ceil(count / bucket_values))
     sample = values.where(F.pmod(F.xxhash64(col(name)), F.lit(thin)) == 0).distinct()
     tile = F.ntile(parts).over(Window.partitionBy(F.lit(0)).orderBy(col(name)))  # a bounded sample
