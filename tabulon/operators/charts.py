@@ -11,6 +11,7 @@ from tabulon.errors import AnalysisError
 from tabulon.functions.columns import as_label, col, existing, numeric_columns, numeric_view, to_numeric
 from tabulon.functions.distributions import NORMAL
 from tabulon.functions.frames import explode_structs, small_frame
+from tabulon.operators.actions import MAX_LEVELS
 from tabulon.operators.describe import group_summary
 from tabulon.operators.multivariate import KMeansFit, PcaFit
 from tabulon.operators.profiling import missing_top
@@ -53,6 +54,10 @@ def chart_boxplot_by(df: DataFrame, y: str, group_col: str) -> DataFrame:
     rows = df.select(as_label(df, group_col).alias("group"), to_numeric(df, y).alias("y")).where(F.col("y").isNotNull())
     boxes = group_quantiles(rows, "group", "y", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
+    # A bounded number of boxes is read once and goes to every task, so the rows stay where they are.
+    few = boxes.limit(MAX_LEVELS + 1).collect()
+    if len(few) <= MAX_LEVELS:
+        boxes = F.broadcast(df.sparkSession.createDataFrame(few, boxes.schema))
     fenced = rows.join(boxes, "group")
     inside = F.col("y").between(F.col("q1") - WHISKER * spread, F.col("q3") + WHISKER * spread)
     # The box of a group is the same on all of its rows, so any of them will do.

@@ -38,7 +38,10 @@ def _pearson(values: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[floa
         parts = []
         for i, (a, b) in enumerate(batch):
             both = col(a).isNotNull() & col(b).isNotNull()
-            parts += [F.corr(col(a), col(b)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+            # Not F.corr: it fails on a column without spread, where r is simply missing.
+            spread = F.stddev_pop(F.when(both, col(a))) * F.stddev_pop(F.when(both, col(b)))
+            r = F.try_divide(F.covar_pop(col(a), col(b)), spread)
+            parts += [r.alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
         row = values.agg(*parts).first()
         found += [(row[f"r{i}"], row[f"n{i}"]) for i in range(len(batch))]
     return found

@@ -127,10 +127,10 @@ def normality(df: DataFrame, column: str, method: str = "auto", *, key: Sequence
     method = (method or "auto").lower()
     if method == "auto":
         method = "shapiro" if facts.n <= SHAPIRO_ROWS else "normaltest"
-    if method == "jarque_bera":
-        stat, p = jarque_bera(facts.n, facts.s or 0.0, facts.k or 0.0)
-    elif method == "normaltest":
-        stat, p = dagostino_pearson(facts.n, facts.s or 0.0, facts.k or 0.0)
+    if method in ("jarque_bera", "normaltest"):
+        test = {"jarque_bera": jarque_bera, "normaltest": dagostino_pearson}[method]
+        # A column of one value has no skewness, and so no statistic.
+        stat, p = test(facts.n, facts.s, facts.k) if facts.s is not None else (math.nan, math.nan)
     else:
         method = "shapiro"
         if facts.n > SHAPIRO_ROWS:

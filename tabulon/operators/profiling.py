@@ -13,6 +13,7 @@ from tabulon.functions.columns import (
 )
 from tabulon.functions.frames import explode_structs, small_frame
 from tabulon.operators.quantiles import exact_quantiles
+from tabulon.operators.select import top_n
 
 # Name parts that mark a column as time-like.
 TIME_WORDS = ("date", "time", "datetime", "timestamp", "日期", "时间", "年月", "日", "月", "年")
@@ -186,7 +187,7 @@ def column_profile(df: DataFrame, columns: Sequence[str], *, approximate: bool =
 def column_head(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], *, rows: int = 8) -> DataFrame:
     """The first rows of the named columns as text, in ``order_by`` order."""
     names = existing(df, columns)
-    first = df.orderBy(*[col(c) for c in order_by]).limit(rows)
+    first = top_n(df, [col(c) for c in order_by], rows)
     return first.select(*[as_label(df, c, "").alias(c) for c in names])
 
 

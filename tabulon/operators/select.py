@@ -6,12 +6,16 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabulon.functions.columns import as_label, col, existing, numeric_view
 from tabulon.operators.quantiles import order_statistics
 
-# Above this size a sample is cut by a threshold instead of a top-n sort in one task.
-TOP_N_ROWS = 100_000
+# Above this size a sample is cut by a threshold instead of a top-n sort.
+TOP_N_ROWS = 10_000
+# Above this many rows arriving at the last task of a top-n, the tasks' own top-n lists are merged in between.
+MERGE_ROWS = 5_000_000
+MERGE_GROUPS = 1_000
 
 
 def select_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -20,6 +24,19 @@ def select_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[col(n) for n in names]) if names else df
 
 
+def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in the given order.
+
+    A top-n sends up to n rows of every task to one last task. For very many tasks that is too much,
+    so groups of tasks agree on their first n rows before; the result is the same.
+    """
+    if df.rdd.getNumPartitions() * n > MERGE_ROWS:
+        place = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+        df = (df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+              .withColumn("_place", place).where(F.col("_place") <= n).drop("_group", "_place"))
+    return df.orderBy(*order).limit(n)
+
+
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], *, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all if there are fewer), the same ones on every run.
 
@@ -28,7 +45,7 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], *, seed: int = 42) ->
     """
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[col(k) for k in key]), 12)
     if n <= TOP_N_ROWS:
-        return df.orderBy(hashed, *[col(k) for k in key]).limit(n)
+        return top_n(df, [hashed, *[col(k) for k in key]], n)
     marks = df.select(hashed.cast("double").alias("h"))
     size = marks.count()
     if size <= n:
@@ -41,7 +58,7 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], *, seed: int = 42) ->
 
 def preview(df: DataFrame, order_by: Sequence[str], *, n: int = 2000) -> DataFrame:
     """The first ``n`` rows as text, missing cells blank."""
-    rows = df.orderBy(*[col(c) for c in order_by]).limit(n)
+    rows = top_n(df, [col(c) for c in order_by], n)
     return rows.select(*[as_label(df, c, "").alias(c) for c in df.columns])
 
 

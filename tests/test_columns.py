@@ -50,6 +50,11 @@ def test_sample_rows_is_exact_and_repeatable(spark, lineitem, monkeypatch):
     large = select.sample_rows(lineitem, 700, key)
     assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
     assert select.sample_rows(lineitem, 10**6, key).count() == lineitem.count()
+    monkeypatch.setattr(select, "TOP_N_ROWS", 10_000)
+    monkeypatch.setattr(select, "MERGE_ROWS", 100)
+    merged = select.sample_rows(lineitem.repartition(9), 700, key)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(select, "TOP_N_ROWS", 100)
     # A key shared by all rows still gives the asked number.
     assert select.sample_rows(lineitem.withColumn("k", F.lit(1)), 700, ["k"]).count() == 700
 
