@@ -70,7 +70,7 @@ class LogitFit:
 
     def _fit_likelihood(self, data: DataFrame) -> bool:
         glm = GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol="_features", labelCol="_label", maxIter=100, tol=1e-9)
+            family="binomial", link="logit", featuresCol="_features", labelCol="_label", maxIter=35, tol=1e-9)
         try:
             model = glm.fit(data)
             summary = model.summary
