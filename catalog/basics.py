@@ -271,10 +271,10 @@ def _register_group_summary(agg: str, expression: str) -> None:
         FROM {GAPPY_LINEITEM} GROUP BY 1""")
     def _run(spark, sf):
         df = describe.group_summary(gappy_lineitem(spark, sf), "l_returnflag", "l_extendedprice", agg)
-        return df if agg == "count" else rounded(df, 2, "l_extendedprice")
+        return df if agg == "count" else rounded(df, 4 if agg == "median" else 2, "l_extendedprice")
 
 
-for _agg, _sql in (("mean", "round(avg(l_extendedprice), 2)"), ("median", "round(median(l_extendedprice), 2)"),
+for _agg, _sql in (("mean", "round(avg(l_extendedprice), 2)"), ("median", "round(median(l_extendedprice), 4)"),
                    ("sum", "round(sum(l_extendedprice), 2)"), ("count", "count(l_extendedprice)")):
     _register_group_summary(_agg, _sql)
 

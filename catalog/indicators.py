@@ -196,9 +196,9 @@ def _spike(spark, sf):
 @query("anomaly_long_tail", """
     WITH q AS (SELECT quantile_cont(value, [0.25, 0.75, 0.95, 0.99]) AS q FROM events),
          f AS (SELECT q[1] - 1.5 * (q[2] - q[1]) AS low, q[2] + 1.5 * (q[2] - q[1]) AS high, q[3] AS p95, q[4] AS p99 FROM q)
-    SELECT 'value' AS "column", round(any_value(low), 4) AS low, round(any_value(high), 4) AS high,
-           round(any_value(p95), 4) AS p95, round(any_value(p99), 4) AS p99,
+    SELECT 'value' AS "column", round(any_value(low), 6) AS low, round(any_value(high), 6) AS high,
+           round(any_value(p95), 6) AS p95, round(any_value(p99), 6) AS p99,
            count(*) FILTER (value < low OR value > high) AS n_outside, count(*) FILTER (value > p95) AS n_above_p95,
            count(*) FILTER (value > p99) AS n_above_p99 FROM events, f""")
 def _long_tail(spark, sf):
-    return rounded(anomaly.anomaly_long_tail(table(spark, sf, "events"), "value"), 4, "low", "high", "p95", "p99")
+    return rounded(anomaly.anomaly_long_tail(table(spark, sf, "events"), "value"), 6, "low", "high", "p95", "p99")

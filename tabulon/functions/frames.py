@@ -18,14 +18,23 @@ def explode_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores, for passes that repeat many times.
+# Tables up to this size are dealt out over all cores before passes that repeat many times.
+SPREAD_ROWS = 5_000_000
 
-    A table read as fewer partitions would leave cores idle in every one of those passes; a large
-    table has enough of them and is left alone.
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows over all cores, if they are few enough to have been read as fewer partitions.
+
+    A large table has partitions enough and is left alone; the size comes from the caller, because
+    asking a DataFrame for its partitions would run its shuffles.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SPREAD_ROWS else df
+
+
+def estimated_tasks(df: DataFrame) -> int:
+    """Tasks that reading this plan would take, by the optimizer's size estimate; runs nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 + size // (128 << 20)
 
 
 def in_batches(items: list, size: int) -> Iterable[list]:

@@ -72,10 +72,10 @@ class ForestRun:
             label = F.create_map(*pairs)[col(target)]
         learner = {"regression": RandomForestRegressor, "classification": RandomForestClassifier}[task]
         data = assemble.transform(train).select(label.alias("_label"), "_features")
-        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.model = learner(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
-                                 seed=seed).fit(data)
+            forest = learner(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth, seed=seed)
+            self.model = forest.fit(spread(data, data.count()))
         finally:
             data.unpersist()
         scored = assemble.transform(test).select(label.alias("_label"), "_features")
@@ -136,4 +136,4 @@ def ml_clustering(df: DataFrame, k: int = 3, *, n_init: int = 10, seed: int = 42
     """k-means on the prepared columns in their own units."""
     prepared = preprocess(df)
     rows = prepared.select(*[col(c).alias(f"x{i}") for i, c in enumerate(prepared.columns)])
-    return KMeansFit(rows, df.columns, k, n_init=n_init, seed=seed, max_iter=max_iter)
+    return KMeansFit(rows, df.columns, k, df.count(), n_init=n_init, seed=seed, max_iter=max_iter)

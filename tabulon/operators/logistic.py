@@ -61,7 +61,7 @@ class LogitFit:
         scaled = self._rows.select("_label", *[
             ((F.col(c) - m) / s).alias(c) for c, m, s in zip(inputs, self._means, self._scales)])
         data = VectorAssembler(inputCols=inputs, outputCol="_features").transform(scaled).select("_label", "_features")
-        data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(data, self.n).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if not (0 < moments.share < 1 and self._fit_likelihood(data)):
                 self._fit_ridge(data)

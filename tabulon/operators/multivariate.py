@@ -87,10 +87,10 @@ def pca(df: DataFrame, columns: Sequence[str], n_components: int = 2) -> PcaFit:
 class KMeansFit:
     """Best of several k-means runs; clusters are numbered by ascending centre."""
 
-    def __init__(self, rows: DataFrame, columns: Sequence[str], k: int, *, n_init: int, seed: int, max_iter: int):
-        self.columns, self.k, self.n = list(columns), k, None
+    def __init__(self, rows: DataFrame, columns: Sequence[str], k: int, n: int, *, n_init: int, seed: int, max_iter: int):
+        self.columns, self.k, self.n = list(columns), k, n
         self._rows, self._spark = rows, rows.sparkSession
-        data = spread(vectors(rows).select("features")).persist(StorageLevel.MEMORY_AND_DISK)
+        data = spread(vectors(rows).select("features"), n).persist(StorageLevel.MEMORY_AND_DISK)
 
         def fit(run: int):
             return KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(data)
@@ -129,6 +129,4 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, *, n_init: int = 1
            max_iter: int = 30) -> KMeansFit:
     names = _columns(df, columns)
     scaled, n = standardised(df, names, 10)
-    fit = KMeansFit(scaled, names, max(2, min(int(k or 3), 10)), n_init=n_init, seed=seed, max_iter=max_iter)
-    fit.n = n
-    return fit
+    return KMeansFit(scaled, names, max(2, min(int(k or 3), 10)), n, n_init=n_init, seed=seed, max_iter=max_iter)

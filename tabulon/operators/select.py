@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulon.functions.columns import as_label, col, existing, numeric_view
+from tabulon.functions.frames import estimated_tasks
 from tabulon.operators.quantiles import order_statistics
 
 # Above this size a sample is cut by a threshold instead of a top-n sort.
@@ -30,7 +31,7 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     A top-n sends up to n rows of every task to one last task. For very many tasks that is too much,
     so groups of tasks agree on their first n rows before; the result is the same.
     """
-    if df.rdd.getNumPartitions() * n > MERGE_ROWS:
+    if estimated_tasks(df) * n > MERGE_ROWS:
         place = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
         df = (df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
               .withColumn("_place", place).where(F.col("_place") <= n).drop("_group", "_place"))
