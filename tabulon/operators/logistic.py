@@ -16,7 +16,7 @@ from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, existing, to_numeric
 from tabulon.functions.frames import small_frame, spread
 from tabulon.operators.linear import INTERCEPT
-from tabulon.operators.ranking import mid_rank, running_counts
+from tabulon.operators.ranking import centred_rank, running_counts
 
 MIN_ROWS = 20
 _Z95 = 1.959963984540054
@@ -160,9 +160,8 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """``n_pos, n_neg, auc``, ties counted half."""
     sums = _labelled(df, label, score).agg(
         F.sum("positives").alias("n_pos"), (F.sum("n") - F.sum("positives")).alias("n_neg"),
-        F.sum(F.col("positives") * mid_rank()).alias("ranks"))
-    u = F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
-    area = u / (F.col("n_pos").cast("double") * F.col("n_neg"))
+        F.sum(F.col("positives") * centred_rank()).alias("ranks"))
+    area = 0.5 + F.col("ranks") / (F.col("n_pos").cast("double") * F.col("n_neg"))
     return sums.select("n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), area).alias("auc"))
 
 

@@ -13,7 +13,7 @@ from tabulon.functions.columns import col, existing
 from tabulon.functions.distributions import chi2_upper, normal_two_sided
 from tabulon.functions.frames import small_frame
 from tabulon.operators.parametric import grouped_values, two_groups
-from tabulon.operators.ranking import mid_rank, running_counts
+from tabulon.operators.ranking import centred_rank, running_counts
 from tabulon.operators.select import listwise_complete
 
 EXACT_ROWS = 8
@@ -21,11 +21,11 @@ _EXACT_WORK = 2_000_000
 
 
 def rank_sums(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """``group, n, ranks, tie_term``: size, sum of mid-ranks and share of sum(t³ - t) of each group."""
+    """``group, n, ranks, tie_term``: size, sum of centred ranks and share of sum(t³ - t) of each group."""
     ranked = running_counts(rows, value, tag=[group])
     ties = F.col("ties").cast("double")
     return ranked.groupBy(col(group)).agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * mid_rank()).alias("ranks"),
+        F.sum("n").alias("n"), F.sum(F.col("n") * centred_rank()).alias("ranks"),
         F.sum(F.col("n") * (ties * ties - 1)).alias("tie_term"))
 
 
@@ -57,7 +57,7 @@ def mann_whitney(df: DataFrame, y: str, group_col: str, group_a: str | None = No
         raise AnalysisError("n_too_small", "a group has no values")
     na, nb = sums[a].n, sums[b].n
     n = na + nb
-    u = sums[a].ranks - na * (na + 1) / 2
+    u = sums[a].ranks + na * nb / 2
     tie_term = sums[a].tie_term + sums[b].tie_term
     if min(na, nb) <= EXACT_ROWS and tie_term == 0 and na * nb * min(na, nb) <= _EXACT_WORK:
         p = exact_u_two_sided(u, na, nb)
@@ -82,7 +82,7 @@ def kruskal_wallis(df: DataFrame, y: str, group_col: str, *, null_group: str | N
         raise AnalysisError("group_levels<2")
     n = float(r.n)
     correction = 1 - r.tie_term / (n**3 - n)
-    h = (12 / (n * (n + 1)) * r.squares - 3 * (n + 1)) / correction if correction > 0 else math.nan
+    h = 12 / (n * (n + 1)) * r.squares / correction if correction > 0 else math.nan
     return small_frame(df.sparkSession, [(y, group_col, r.k, r.n, h, chi2_upper(df.sparkSession, h, r.k - 1))],
                        "y string, group string, k long, n long, h double, p double")
 
@@ -96,10 +96,10 @@ def friedman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = listwise_complete(df, names)
     ranks, ties = [], []
     for name in names:
-        # Mid-rank in the row: values below, plus half of the equal ones.
+        # Mid-rank in the row (values below, plus half of the equal ones), minus the mean rank.
         below = sum((F.when(col(o) < col(name), 1).otherwise(0) for o in names), F.lit(0))
         equal = sum((F.when(col(o) == col(name), 1).otherwise(0) for o in names), F.lit(0))
-        ranks.append(F.sum(below + (equal + 1) / 2).alias(f"r{len(ranks)}"))
+        ranks.append(F.sum(below + (equal - k) / 2).alias(f"r{len(ranks)}"))
         ties.append(equal * equal - 1)
     r = rows.agg(F.count("*").alias("n"), F.sum(sum(ties, F.lit(0))).alias("tie_term"), *ranks).first()
     n = r.n
@@ -107,6 +107,6 @@ def friedman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         raise AnalysisError("n_too_small", "no complete row")
     squares = math.fsum(r[f"r{i}"] ** 2 for i in range(k))
     correction = 1 - r.tie_term / (n * k * (k * k - 1))
-    q = (12 / (n * k * (k + 1)) * squares - 3 * n * (k + 1)) / correction if correction > 0 else math.nan
+    q = 12 / (n * k * (k + 1)) * squares / correction if correction > 0 else math.nan
     return small_frame(df.sparkSession, [(k, n, q, chi2_upper(df.sparkSession, q, k - 1))],
                        "k long, n long, q double, p double")

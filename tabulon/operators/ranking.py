@@ -133,6 +133,11 @@ def mid_rank():
     return F.col("upto") - (F.col("ties") - 1) / 2
 
 
+def centred_rank():
+    """Mid-rank minus the mean rank: sums of it do not lose digits on long columns."""
+    return mid_rank() - (F.col("total") + 1) / 2
+
+
 def text_codes(df: DataFrame, name: str, *, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """``name, code``: position of each distinct text in ascending order, from 0."""
     values = df.select(col(name)).where(col(name).isNotNull())
