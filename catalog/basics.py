@@ -324,12 +324,12 @@ def _chart_histogram(spark, sf):
     return rounded(charts.chart_histogram(table(spark, sf, "orders"), "o_totalprice"), 4, "low", "high")
 
 
-@query("chart_qq", """
-    SELECT round(i / 100.0, 2) AS p, round(quantile_cont(o_totalprice, i / 100.0), 6) AS sample
-    FROM orders, range(1, 100) t(i) GROUP BY i""".replace(
-        "quantile_cont(o_totalprice, i / 100.0)", "any_value(q[i])").replace(
-        "FROM orders,", "FROM (SELECT quantile_cont(o_totalprice, [" + ", ".join(
-            f"{i / 100}" for i in range(1, 100)) + "]) AS q FROM orders),"))
+_PERCENTS = ", ".join(str(i / 100) for i in range(1, 100))
+
+
+@query("chart_qq", f"""
+    SELECT round(i / 100.0, 2) AS p, round(q[i], 6) AS sample
+    FROM (SELECT quantile_cont(o_totalprice, [{_PERCENTS}]) AS q FROM orders), range(1, 100) t(i)""")
 def _chart_qq(spark, sf):
     return rounded(charts.chart_qq(table(spark, sf, "orders"), "o_totalprice"), 6, "sample").select(
         F.round("p", 2).alias("p"), "sample")

@@ -74,9 +74,7 @@ def group_summary(df: DataFrame, group_by: str, metric: str, agg: str = "mean")
     rows = df.select(as_label(df, group_by).alias(group_by), to_numeric(df, metric).alias("_metric"))
     if agg == "median":
         middle = group_quantiles(rows, group_by, "_metric", {"_q": 0.5})
-        # Groups without any number keep their row.
-        groups = rows.select(col(group_by)).distinct()
-        result = groups.join(middle, group_by, "left").select(col(group_by), F.col("_q").alias(metric))
+        result = middle.select(col(group_by), F.col("_q").alias(metric))
     else:
         value = {
             "sum": F.coalesce(F.sum("_metric"), F.lit(0.0)), "count": F.count("_metric"),

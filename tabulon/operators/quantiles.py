@@ -6,7 +6,8 @@ go on. A bracket holds about 1/1,000 of the rows, so a trillion rows need two ro
 read out once a band holds at most ``band_rows`` rows. Only literals pass between the rounds, so
 the lineage does not grow, and no row is shuffled before the last, small step.
 
-Quantiles per group use the bucketed running counts of :mod:`tabulon.operators.ranking`.
+Quantiles of a few groups are found the same way; those of many groups use the bucketed running
+counts of :mod:`tabulon.operators.ranking`.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabulon.functions.columns import col, numeric_view
@@ -26,6 +26,7 @@ from tabulon.operators.ranking import running_counts
 
 BAND_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
+FEW_GROUPS = 32
 
 
 @dataclass(frozen=True)
@@ -56,8 +57,8 @@ def _read_out(values: DataFrame, bands: list[_Band]) -> dict[tuple[str, int], fl
     wanted = F.array(*[F.array(*[F.lit(p - b.start).cast("long") for p in b.positions]) for b in bands])
     upto = Window.partitionBy("band").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
-        values.where(reduce(or_, [b.holds() for b in bands]))
-        .select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        # Rows of no band give an empty array. A filter before would repeat the columns' own expressions.
+        values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy("e.band", "e.v").agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
         .withColumn("hit", F.filter(
@@ -169,11 +170,26 @@ def exact_quantiles(
     return result
 
 
-def group_quantiles(df: DataFrame, group: str, value: str, names: Mapping[str, float]) -> DataFrame:
+def group_quantiles(df: DataFrame, group: str, value: str, names: Mapping[str, float], *,
+                    few_groups: int = FEW_GROUPS) -> DataFrame:
     """Exact quantiles of a double column per group: ``group, n, <one column per name>``.
 
-    A group of any size is spread over the value buckets, so one hot group never meets one task.
+    A few groups are narrowed side by side, each like a column of its own, so no row is shuffled.
+    Many groups go through running counts, which spread a group of any size over the value buckets.
+    Groups must not be NULL; one without any number keeps its row.
     """
+    sizes = df.groupBy(col(group)).agg(F.count(col(value)).alias("n"))
+    first = sizes.limit(few_groups + 1).collect()
+    if len(first) <= few_groups:
+        wide = df.select(*[F.when(col(group) == F.lit(r[0]), col(value)).alias(f"c{i}") for i, r in enumerate(first)])
+        found = exact_quantiles(wide, {f"c{i}": list(names.values()) for i in range(len(first))},
+                                sizes={f"c{i}": r.n for i, r in enumerate(first)}) if first else {}
+        schema = T.StructType([
+            T.StructField(group, df.schema[group].dataType), T.StructField("n", T.LongType()),
+            *[T.StructField(name, T.DoubleType()) for name in names]])
+        rows = [(r[0], r.n, *found[f"c{i}"]) for i, r in enumerate(first)]
+        return df.sparkSession.createDataFrame(rows, schema)
+
     counts = running_counts(df, value, by=[group])
     parts = []
     for name, p in names.items():
@@ -183,4 +199,4 @@ def group_quantiles(df: DataFrame, group: str, value: str, names: Mapping[str, f
         weight = F.when(here(floor), 1 - (spot - floor)).otherwise(0.0) + \
             F.when(here(ceil), spot - floor).otherwise(0.0)
         parts.append(F.sum(F.when(weight > 0, col(value) * weight)).alias(name))
-    return counts.groupBy(col(group)).agg(F.sum("n").alias("n"), *parts)
+    return sizes.join(counts.groupBy(col(group)).agg(*parts), group, "left")

@@ -32,15 +32,17 @@ def test_quantiles_of_nothing_and_of_one_value(spark):
         "a": [None], "b": [2.0, 2.0], "c": [None]}
 
 
-@pytest.mark.parametrize("bucket_values", [10**6, 60])
-def test_group_quantiles_with_a_hot_group(spark, monkeypatch, bucket_values):
+@pytest.mark.parametrize("bucket_values, few_groups", [(10**6, 32), (10**6, 3), (60, 3)])
+def test_group_quantiles_with_a_hot_group(spark, monkeypatch, bucket_values, few_groups):
     monkeypatch.setattr(ranking.value_splits, "__kwdefaults__", {
         "bucket_values": bucket_values, "max_buckets": ranking.MAX_BUCKETS})
     monkeypatch.setitem(ranking.running_counts.__kwdefaults__, "bucket_values", bucket_values)
     x = skewed()
     rows = [("hot" if i % 3 else f"g{i % 7}", v) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.n, r.a, r.b) for r in group_quantiles(df, "g", "v", {"a": 0.1, "b": 0.5}).collect()}
+    df = spark.createDataFrame(rows + [("none", None)], "g string, v double")
+    found = group_quantiles(df, "g", "v", {"a": 0.1, "b": 0.5}, few_groups=few_groups)
+    got = {r.g: (r.n, r.a, r.b) for r in found.collect()}
+    assert got["none"] == (0, None, None)
     for g in {g for g, _ in rows}:
         values = [v for k, v in rows if k == g]
         assert got[g] == pytest.approx((len(values), *np.quantile(values, [0.1, 0.5])))
