@@ -5,10 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabulon.llm.byte_bpe import decoder, encode_documents
 from tabulon.llm.exact_dedup import DigestIndex
+from tabulon.llm.packing import pack_documents
 from tabulon.llm.preference import last_answer_pairs, preference_turns
+from tabulon.llm.token_files import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +35,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, offsets=True)
+    docs = docs.withColumn("decoded", decoder(spark, RANKS)(F.col("encoded.ids")))
+    return docs.select(
+        "doc_id", (F.length("encoded.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("encoded.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_token_files")
+def op6(spark, sf_dir):
+    files = round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+    return files.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op7_preference_format", r"""
 WITH turns AS (
     SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS sub

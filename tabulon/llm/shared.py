@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,20 @@ from pyspark.sql import functions as F
 # Characters that a Python worker turns into arrays at a time; longer texts are taken in windows.
 BATCH_CHARS = 1_000_000
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: sends it along once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp()  # the driver serves the archive from here as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shutil.copytree(package, f"{folder}/files/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}-{uuid.uuid4().hex[:8]}", "zip", f"{folder}/files"))
+        _shipped.add(context.applicationId)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which the driver and all executors see.
