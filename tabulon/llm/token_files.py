@@ -97,12 +97,20 @@ def _frequencies(staged: DataFrame) -> DataFrame:
     """(token, n) over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, waiting, size = np.zeros(1, np.int64), [], 0
+
+        def added(total: np.ndarray, waiting: list[np.ndarray]) -> np.ndarray:
+            n = np.bincount(np.concatenate([*waiting, np.zeros(0, np.uint32)]).astype(np.int64), minlength=len(total))
+            n[:len(total)] += total
+            return n
+
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                n = np.bincount(_wide(raw), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+            for row in batch.column("ids").to_pylist():
+                waiting.append(_wide(row))
+                size += len(waiting[-1])
+                if size > BLOCK_TOKENS:
+                    total, waiting, size = added(total, waiting), [], 0
+        total = added(total, waiting)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
 
