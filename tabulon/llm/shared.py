@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The table written as Parquet and read back: ends its lineage and is computed once."""
     folder = folder or shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     order = ["doc_id", "n_tokens", "crc"]
     (staged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-     .mapInArrow(pack, schema).write.parquet(f"{folder}/blocks"))
+     .mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{folder}/blocks"))
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
