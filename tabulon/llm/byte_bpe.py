@@ -41,7 +41,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 
 LONG_SLICE = 64
 NO_RANK = 1 << 40
-CACHE_SLICES = 600_000
+CACHE_SLICES = 400_000
 BLOCK = 64
 
 

@@ -13,6 +13,7 @@ from tabulon.llm.byte_bpe import decoder, encode_documents
 from tabulon.llm.exact_dedup import DigestIndex
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.preference import last_answer_pairs, preference_turns
+from tabulon.llm.shared import written
 from tabulon.llm.token_files import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,8 @@ def op1(spark, sf_dir):
 
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
-    docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, offsets=True)
+    # Stored between the two, as a corpus is: encoder and decoder then never hold memory at the same time.
+    docs = written(encode_documents(table(spark, sf_dir, "documents"), RANKS, offsets=True).select("doc_id", "encoded"))
     docs = docs.withColumn("decoded", decoder(spark, RANKS)(F.col("encoded.ids")))
     return docs.select(
         "doc_id", (F.length("encoded.ids") / 4).cast("long").alias("n_tokens"),
