@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm import simhash, vector_dedup
 from tabulon.llm.byte_bpe import decoder, encode_documents
 from tabulon.llm.exact_dedup import DigestIndex
 from tabulon.llm.packing import pack_documents
@@ -55,6 +56,11 @@ def op4(spark, sf_dir):
         F.sha2("encoded.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_simhash_dedup")
+def op5(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_files")
 def op6(spark, sf_dir):
     files = round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -98,6 +104,11 @@ def op7(spark, sf_dir):
     return preference_turns(last_answer_pairs(table(spark, sf_dir, "conversations")))
 
 
+@query("op8_embedding_dedup")
+def op8(spark, sf_dir):
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_exact_dedup", r"""
 WITH rows AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
