@@ -9,12 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import simhash, vector_dedup
+from tabulon.llm import language, quality, simhash, toxicity, vector_dedup
 from tabulon.llm.byte_bpe import decoder, encode_documents
 from tabulon.llm.exact_dedup import DigestIndex
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.preference import last_answer_pairs, preference_turns
-from tabulon.llm.shared import written
+from tabulon.llm.shared import held_out, written
 from tabulon.llm.token_files import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,25 @@ def op1(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+TOXIC_FROM, GOOD_FROM = 0.3, 0.7
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), out="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.scored(docs, table(spark, sf_dir, "labels"), out="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
     # Stored between the two, as a corpus is: encoder and decoder then never hold memory at the same time.
@@ -109,6 +128,12 @@ def op8(spark, sf_dir):
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    found = language.identified(table(spark, sf_dir, "documents"), out="found")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 @query("op10_exact_dedup", r"""
 WITH rows AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

@@ -43,15 +43,18 @@ class DigestIndex:
          .write.mode("append").format("parquet").option("path", self.folder)
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
-    def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    tag_col: str | None = None) -> DataFrame:
         """Decide about every row and add the new digests to the index.
 
-        Returns (doc_id, keep_id, group_size, kept, text_sha256): ``group_size`` counts equal rows of this batch.
+        Returns (doc_id, keep_id, group_size, kept, text_sha256): ``group_size`` counts equal rows of this batch. With ``tag_col`` that
+        column is returned too, as ``tag``.
         """
+        tags = [F.col(f"`{tag_col}`").alias("tag")] if tag_col else []
         rows = written(docs.select(
             F.col(f"`{id_col}`").alias("doc_id"),
             F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest"),
-            F.monotonically_increasing_id().alias("row")))
+            F.monotonically_increasing_id().alias("row"), *tags))
         best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
         groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select(
             "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
@@ -72,4 +75,4 @@ class DigestIndex:
             F.when(known, F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             "group_size",
             (~known & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"))
+            F.lower(F.hex("digest")).alias("text_sha256"), *(["tag"] if tag_col else []))

@@ -237,15 +237,22 @@ def hexadecimal(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE,
+                    tag_col: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; with ``tag_col`` also that column as ``tag`` and ``component``.
+
+    ``component`` tells components apart where ids are null or repeated.
+    """
+    tags = [F.col(f"`{tag_col}`").alias("tag")] if tag_col else []
     simhash = fingerprint(docs.sparkSession)
     rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                               simhash(F.col(f"`{text_col}`").cast("string")).alias("print")))
+                               simhash(F.col(f"`{text_col}`").cast("string")).alias("print"), *tags))
     distinct = written(rows.groupBy("print").agg(F.min("doc_id").alias("low")))
     found = written(components(links(distinct, most)).withColumnRenamed("node", "print"))
     lows = found.join(distinct, "print").groupBy("root").agg(F.min("low").alias("component_low"))
-    members = found.join(lows, "root").select("print", "component_low", F.lit(True).alias("linked"))
+    members = found.join(lows, "root").select("print", "root", "component_low")
     resolved = written(distinct.join(members, "print", "left").select(
-        "print", F.when(F.col("linked"), F.col("component_low")).otherwise(F.col("low")).alias("component_id")))
-    return rows.join(resolved, "print").select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+        "print", F.when(F.col("root").isNotNull(), F.col("component_low")).otherwise(F.col("low")).alias("component_id"),
+        F.coalesce("root", "print").alias("component")))
+    return rows.join(resolved, "print").select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id",
+                                               *(["tag", "component"] if tag_col else []))
