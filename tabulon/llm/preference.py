@@ -87,7 +87,7 @@ def assembled(parts: DataFrame) -> DataFrame:
     """
     place = Window.partitionBy("pair_id", "part").orderBy("turn", "sub").rowsBetween(Window.unboundedPreceding, 0)
     ended = parts.withColumn("end", F.sum(F.length("rendered")).over(place))
-    ended = ended.withColumn("span", F.when("learnt", F.struct((F.col("end") - F.length("rendered")).alias("start"), "end")))
+    ended = ended.withColumn("span", F.when(F.col("learnt"), F.struct((F.col("end") - F.length("rendered")).alias("start"), "end")))
 
     def text(part: str) -> Column:
         turns = F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "sub", "rendered"))))
