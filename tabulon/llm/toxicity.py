@@ -40,12 +40,19 @@ BATCH = 192
 RATE = 0.02
 SEED = 11
 CACHE_WORDS = 400_000
+WORDS_AT_ONCE = 20_000
 WORD = re.compile(r"\w+")
 _PRIME, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords, word after word, and how many each word has."""
+    """Buckets of all subwords, word after word, and how many each word has; some thousand words at a time."""
+    parts = [_subwords(words[i:i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(b for b, _ in parts)]), np.concatenate([none, *(n for _, n in parts)])
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(w) + 2 for w in words])
     points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)
@@ -64,8 +71,8 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(word[:len(h)][inside])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    buckets = ((np.concatenate(hashes) * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return buckets[order], np.bincount(owner, minlength=len(words))
+    buckets = ((np.concatenate(hashes) * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    return buckets[order], np.bincount(owner, minlength=len(words)).astype(np.int32)
 
 
 def _spread(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
@@ -86,11 +93,11 @@ class BagModel:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """What each word adds to the margin of a bag, before averaging."""
-        if not words:
-            return np.zeros(0)
-        buckets, counts = subwords(words)
+        return self._margins(*subwords(words)) if words else np.zeros(0)
+
+    def _margins(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         slope = self.table @ (self.weights[:, 1] - self.weights[:, 0])
-        return np.add.reduceat(slope[buckets], np.cumsum(counts) - counts) / counts
+        return np.add.reduceat(slope[buckets], np.cumsum(counts, dtype=np.int64) - counts) / counts
 
     def fit(self, texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None) -> BagModel:
         weights = np.ones(len(labels)) if weights is None else weights
@@ -113,15 +120,15 @@ class BagModel:
 
     def _learn(self, texts: list[str], labels: np.ndarray) -> BagModel:
         ids: dict[str, int] = {}
-        bags = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64) for t in texts]
+        bags = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
         vocabulary = list(ids)
-        buckets, counts = subwords(vocabulary) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        buckets, counts = subwords(vocabulary)
         self._state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.table, self.weights, self.intercept)]
         self._steps, rng = 0, np.random.default_rng(SEED)
         for _ in range(EPOCHS):
             self._epoch(bags, labels, buckets, counts, rng)
         for _ in range(WINDOW_ROUNDS):
-            margin = self.margins(vocabulary)
+            margin = self._margins(buckets, counts) if vocabulary else np.zeros(0)
             worst = [worst_window(margin[b])[1] for b in bags]
             for _ in range(WINDOW_EPOCHS):
                 self._epoch([b[at:at + WINDOW] for b, at in zip(bags, worst)], labels, buckets, counts, rng)
@@ -129,11 +136,12 @@ class BagModel:
         return self
 
     def _epoch(self, bags: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, counts: np.ndarray, rng) -> None:
-        starts = np.cumsum(counts) - counts
+        starts = np.cumsum(counts, dtype=np.int64) - counts
         balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         order = rng.permutation(len(bags))
-        for at in range(0, len(order), BATCH):
-            pick = order[at:at + BATCH]
+        size = min(BATCH, max(16, len(order) // 16))  # few texts still give enough steps
+        for at in range(0, len(order), size):
+            pick = order[at:at + size]
             sizes = np.array([len(bags[i]) for i in pick])
             share = np.repeat(1 / np.maximum(sizes, 1), sizes)
             owner = np.repeat(np.arange(len(pick)), sizes)
