@@ -132,7 +132,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def ml_clustering(df: DataFrame, k: int = 3, *, n_init: int = 10, seed: int = 42, max_iter: int = 30) -> KMeansFit:
+def ml_clustering(df: DataFrame, k: int = 3, *, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> KMeansFit:
     """k-means on the prepared columns in their own units."""
     prepared = preprocess(df)
     rows = prepared.select(*[col(c).alias(f"x{i}") for i, c in enumerate(prepared.columns)])

@@ -18,7 +18,6 @@ from tabulon.operators.profiling import missing_top
 from tabulon.operators.quantiles import exact_quantiles, group_quantiles
 from tabulon.operators.select import sample_rows
 
-BOX_COLUMNS = 10
 SCATTER_ROWS = 5000
 WHISKER = 1.5
 
@@ -28,8 +27,8 @@ def chart_missing(df: DataFrame, k: int = 15) -> DataFrame:
 
 
 def chart_boxplot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``variable, n, q1, median, q3, whisker_low, whisker_high, n_outliers`` of at most ten columns."""
-    names = (existing(df, columns) if columns else numeric_columns(df))[:BOX_COLUMNS]
+    """``variable, n, q1, median, q3, whisker_low, whisker_high, n_outliers`` of the columns, all numeric ones by default."""
+    names = existing(df, columns) if columns else numeric_columns(df)
     if not names:
         raise AnalysisError("no_numeric_columns")
     boxes = exact_quantiles(df, {n: [0.25, 0.5, 0.75] for n in names})

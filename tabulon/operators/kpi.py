@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulon.errors import AnalysisError
 from tabulon.functions.columns import NULL_LABEL, as_label, col, to_numeric
 from tabulon.functions.frames import explode_structs
 from tabulon.operators.profiling import duplicate_rows, missing_top
 
 
+GRAINS = ("day", "week", "month", "quarter", "year")
+
+
 def _period(time: str, grain: str):
+    if grain.lower() not in GRAINS:
+        raise AnalysisError("unknown_grain", f"{grain!r} is none of {', '.join(GRAINS)}")
     return F.to_date(F.date_trunc(grain, col(time))).alias("period")
 
 
@@ -96,9 +102,12 @@ def trend_change(df: DataFrame, time: str, value: str, grain: str = "month") ->
     """``period, total, previous, change, last_year, yoy``: against the previous period and a year before."""
     series = df.where(col(time).isNotNull()).groupBy(_period(time, grain)).agg(F.sum(to_numeric(df, value)).alias("total"))
     line = Window.partitionBy(F.lit(0)).orderBy("period")  # one row per period
-    year_ago = series.select(F.add_months("period", 12).alias("period"), F.col("total").alias("last_year"))
+    # Each period looks back to one earlier period: never two of them to the same row twice. Weeks go back
+    # 52 weeks, which is again a Monday; 29 February looks back to 28 February.
+    back = F.date_sub("period", 364) if grain.lower() == "week" else F.add_months("period", -12)
+    earlier = series.select(F.col("period").alias("back"), F.col("total").alias("last_year"))
     change = lambda base: F.try_divide(F.col("total") - F.col(base), F.col(base))
-    return (series.withColumn("previous", F.lag("total").over(line)).join(year_ago, "period", "left")
+    return (series.withColumn("previous", F.lag("total").over(line)).withColumn("back", back).join(earlier, "back", "left")
             .select("period", "total", "previous", change("previous").alias("change"),
                     "last_year", change("last_year").alias("yoy")))
 

@@ -76,7 +76,9 @@ class LogitFit:
             summary = model.summary
             slopes, errors = model.coefficients.toArray().tolist(), summary.coefficientStandardErrors
             aic, p_values = summary.aic, summary.pValues
-        except Exception:  # a singular design has no unique solution
+        except Exception as problem:  # a singular design has no unique solution, or one without standard errors
+            if not any(sign in str(problem).lower() for sign in ("singular", "no std. error", "no p-value")):
+                raise
             return False
         finite = all(math.isfinite(v) for v in [*slopes, *errors, model.intercept])
         if not finite or max(map(abs, slopes)) > 15 and max(errors) > 50 or summary.deviance < 1e-6 * self.n:

@@ -126,7 +126,7 @@ class KMeansFit:
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, *, n_init: int = 10, seed: int = 42,
-           max_iter: int = 30) -> KMeansFit:
+           max_iter: int = 300) -> KMeansFit:
     names = _columns(df, columns)
     scaled, n = standardised(df, names, 10)
     return KMeansFit(scaled, names, max(2, min(int(k or 3), 10)), n, n_init=n_init, seed=seed, max_iter=max_iter)

@@ -83,7 +83,7 @@ def _smallest_values(df: DataFrame, names: Sequence[str], k: int) -> dict[str, l
     return found
 
 
-def profile_columns(df: DataFrame, *, max_cols: int = 50, examples: int = 3, approximate: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, *, max_cols: int | None = None, examples: int = 3, approximate: bool = False) -> DataFrame:
     """``column, dtype, missing_pct, n_distinct, examples``; examples are the smallest values as text."""
     names = df.columns[:max_cols]
     samples = _smallest_values(df, names, examples)
@@ -93,8 +93,8 @@ def profile_columns(df: DataFrame, *, max_cols: int = 50, examples: int = 3, app
     return table.withColumn("examples", shown[F.col("column")]).orderBy("position").drop("position")
 
 
-def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, *, max_cols: int = 10) -> DataFrame:
-    """``column, mean, std, min, max`` of the first numeric columns."""
+def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, *, max_cols: int | None = None) -> DataFrame:
+    """``column, mean, std, min, max`` of the numeric columns (of the first ``max_cols``, if given)."""
     names = list(columns) if columns is not None else numeric_columns(df)[:max_cols]
     parts, rows = [], []
     for i, n in enumerate(names):
@@ -153,8 +153,7 @@ def health_summary(df: DataFrame, *, approximate: bool = False) -> DataFrame:
             lists["constant"].append(name)
         if time_named:
             lists["datetime_like"].append(name)
-    caps = {"numeric": 12, "categorical": 12, "binary": 12, "id_like": 8, "constant": 8, "datetime_like": 8}
-    row = (shape.n_rows, len(df.columns), shape.dup_pct, *kinds.values(), *[lists[k][:caps[k]] for k in lists])
+    row = (shape.n_rows, len(df.columns), shape.dup_pct, *kinds.values(), *lists.values())
     schema = ", ".join(
         ["n_rows long, n_cols long, dup_pct double"] + [f"n_{k} long" for k in kinds]
         + [f"{k}_cols array<string>" for k in lists])

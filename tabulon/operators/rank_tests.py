@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tabulon.operators.ranking import centred_rank, running_counts
 from tabulon.operators.select import listwise_complete
 
 EXACT_ROWS = 8
-_EXACT_WORK = 2_000_000
+EXACT_TAIL = 5_000_000
 
 
 def rank_sums(rows: DataFrame, value: str, group: str) -> DataFrame:
@@ -29,25 +30,40 @@ def rank_sums(rows: DataFrame, value: str, group: str) -> DataFrame:
         F.sum(F.col("n") * (ties * ties - 1)).alias("tie_term"))
 
 
+def tail_length(u: float, na: int, nb: int) -> int:
+    """Values of U that are at least as far out as this one, on one side."""
+    return na * nb - math.ceil(max(u, na * nb - u)) + 1
+
+
 def exact_u_two_sided(u: float, na: int, nb: int) -> float:
-    """Two-sided p of U without ties, by counting the arrangements with each U."""
+    """Two-sided p of U without ties, by counting the arrangements with each U of the tail, from its near end.
+
+    The number with U = k is the same as with U = na * nb - k, so the far tail needs only as many terms as it is long.
+    """
     small, large = sorted((na, nb))
-    # ways[k]: arrangements with U = k, as the coefficients of a Gaussian binomial.
-    ways = [1] + [0] * (small * large)
+    # ways[k]: share of the arrangements with U = k, as the coefficients of a Gaussian binomial. The factors (1 - x^step)
+    # and 1 / (1 - x^i) are a shifted difference and a running sum with stride i.
+    ways = np.zeros(max(0, tail_length(u, na, nb)), np.longdouble)
+    if not len(ways):
+        return 0.0
+    ways[0] = 1
     for i in range(1, small + 1):
         step = large + i
-        for k in range(len(ways) - 1, step - 1, -1):
-            ways[k] -= ways[k - step]
-        for k in range(i, len(ways)):
-            ways[k] += ways[k - i]
-    top = max(u, na * nb - u)
-    tail = sum(ways[math.ceil(top):])
-    return min(1.0, 2 * tail / math.comb(na + nb, small))
+        if step < len(ways):
+            ways[step:] -= ways[:-step].copy()
+        padded = np.zeros(-(-len(ways) // i) * i, np.longdouble)
+        padded[:len(ways)] = ways
+        ways = np.cumsum(padded.reshape(-1, i), axis=0).ravel()[:len(ways)]
+    return min(1.0, float(2 * ways.sum() / math.comb(na + nb, small)))
 
 
 def mann_whitney(df: DataFrame, y: str, group_col: str, group_a: str | None = None, group_b: str | None = None, *,
-                 null_group: str | None = None) -> DataFrame:
-    """``y, group, group_a, n_a, group_b, n_b, u, p``: U of group A, two-sided p."""
+                 null_group: str | None = None, exact_tail: int = EXACT_TAIL) -> DataFrame:
+    """``y, group, group_a, n_a, group_b, n_b, u, p``: U of group A, two-sided p.
+
+    Without ties and with a group of at most EXACT_ROWS values p is exact, unless its tail holds more than ``exact_tail`` values
+    of U. So long a tail belongs to a U near the middle of millions of values, where the normal form agrees.
+    """
     if y not in df.columns or group_col not in df.columns:
         raise AnalysisError("missing_params")
     rows = grouped_values(df, y, group_col, null_group)
@@ -59,7 +75,7 @@ def mann_whitney(df: DataFrame, y: str, group_col: str, group_a: str | None = No
     n = na + nb
     u = sums[a].ranks + na * nb / 2
     tie_term = sums[a].tie_term + sums[b].tie_term
-    if min(na, nb) <= EXACT_ROWS and tie_term == 0 and na * nb * min(na, nb) <= _EXACT_WORK:
+    if min(na, nb) <= EXACT_ROWS and tie_term == 0 and tail_length(u, na, nb) <= exact_tail:
         p = exact_u_two_sided(u, na, nb)
     else:
         variance = na * nb / 12 * (n + 1 - tie_term / (n * (n - 1))) if n > 1 else 0.0

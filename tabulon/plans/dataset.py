@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -23,7 +24,8 @@ class Dataset:
 
     def __init__(self, raw: DataFrame, actions: Sequence[Mapping[str, Any]] = (), cursor: int | None = None,
                  meta: Mapping[str, Mapping[str, Any]] | None = None, order_by: Sequence[str] = ()):
-        validate_actions(list(actions))
+        validate_actions(list(actions), limit=None)
+        self._stored: tuple[str, str] | None = None  # where the raw table lies: folder of the dataset, folder in it
         self.raw = normalize_missing(raw)
         self.actions = [dict(a) for a in actions]
         self.cursor = len(self.actions) if cursor is None else max(0, min(int(cursor), len(self.actions)))
@@ -68,7 +70,7 @@ class Dataset:
     def _with(self, **changes: Any) -> Dataset:
         state = {"actions": self.actions, "cursor": self.cursor, "meta": self.meta, "order_by": self.order_by}
         copy = Dataset.__new__(Dataset)
-        copy.__dict__.update(raw=self.raw, _current=self._current, **{**state, **changes})
+        copy.__dict__.update(raw=self.raw, _stored=self._stored, _current=self._current, **{**state, **changes})
         if copy.actions[:copy.cursor] != self.actions[:copy.cursor]:
             copy._current = None
         return copy
@@ -132,17 +134,29 @@ class Dataset:
     # -- storage ----------------------------------------------------------------------------
 
     def save(self, path: str) -> None:
-        """The raw table as Parquet and the recipe as JSON. The current table is replayed, not stored."""
-        self.raw.write.mode("overwrite").parquet(f"{path}/raw")
-        recipe = {"version": 1, "actions": self.actions, "cursor": self.cursor, "meta": self.meta,
+        """The raw table as Parquet and the recipe as JSON. The current table is replayed, not stored.
+
+        The raw table never changes, so it is written only where it does not lie already; each write goes to a
+        folder of its own, which the recipe names last. A save that breaks off leaves the earlier state.
+        """
+        path = path.rstrip("/")
+        if self._stored is None or self._stored[0] != path:
+            folder = f"raw-{uuid.uuid4().hex}"
+            self.raw.write.parquet(f"{path}/{folder}")
+            self._stored = (path, folder)
+        recipe = {"version": 2, "raw": self._stored[1], "actions": self.actions, "cursor": self.cursor, "meta": self.meta,
                   "order_by": self.order_by}
         write_json_document(self.raw.sparkSession, recipe, f"{path}/recipe")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Dataset:
+        path = path.rstrip("/")
         recipe = read_json_document(spark, f"{path}/recipe")
-        return Dataset(spark.read.parquet(f"{path}/raw"), recipe["actions"], recipe["cursor"], recipe["meta"],
+        folder = recipe.get("raw", "raw")
+        data = Dataset(spark.read.parquet(f"{path}/{folder}"), recipe["actions"], recipe["cursor"], recipe["meta"],
                        recipe["order_by"])
+        data._stored = (path, folder)
+        return data
 
 
 SUPPORTED_ACTIONS = tuple(ACTIONS)

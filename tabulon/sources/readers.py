@@ -40,13 +40,11 @@ def read_csv(spark: SparkSession, path: str, *, encoding: str | None = None, mul
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').option(
         "multiLine", multi_line)
-    if schema:
-        return normalize_missing(reader.schema(schema).csv(path))
-    df = reader.option("inferSchema", True).csv(path)
+    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     texts = string_columns(df)
     df = df.select(*[
         F.when(~col(c).isin(*NA_TEXTS), col(c)).alias(c) if c in texts else col(c) for c in df.columns])
-    return normalize_missing(_numbers_behind_na(df, texts))
+    return normalize_missing(df if schema else _numbers_behind_na(df, texts))
 
 
 def _numbers_behind_na(df: DataFrame, texts: list[str]) -> DataFrame:
