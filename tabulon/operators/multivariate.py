@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from tabulon.functions.frames import small_frame, spread
 from tabulon.operators.select import listwise_complete
 
 
-# Restarts submitted to Spark side by side: their jobs are short and would leave executors idle one by one.
-PARALLEL_FITS = 5
+# Rows travel to the k-means passes in blocks of about this size.
+BLOCK_BYTES = 64 << 10
 
 
 def _columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -85,29 +85,50 @@ def pca(df: DataFrame, columns: Sequence[str], n_components: int = 2) -> PcaFit:
 
 
 class KMeansFit:
-    """Best of several k-means runs; clusters are numbered by ascending centre."""
+    """Best of several k-means runs; clusters are numbered by ascending centre.
 
-    def __init__(self, rows: DataFrame, columns: Sequence[str], k: int, n: int, *, n_init: int, seed: int, max_iter: int):
+    All runs move together: one job draws the next starting centre of every run (k-means++ over all rows), and one job per
+    iteration moves the centres of every run that has not settled. A run settles when its centres move by at most ``tol``
+    times the mean variance of the columns, in squares, or after ``max_iter`` moves (``converged`` tells which).
+    """
+
+    def __init__(self, rows: DataFrame, columns: Sequence[str], k: int, n: int, *, n_init: int, seed: int, max_iter: int,
+                 tol: float = 1e-4):
         self.columns, self.k, self.n = list(columns), k, n
         self._rows, self._spark = rows, rows.sparkSession
-        data = spread(vectors(rows).select("features"), n).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def fit(run: int):
-            return KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol="features").fit(data)
-
+        facts = rows.agg(*[f(c) for c in rows.columns for f in (F.avg, F.var_pop)]).first()
+        middle = np.array([facts[2 * i] or 0.0 for i in range(len(rows.columns))])
+        limit = tol * float(np.mean([facts[2 * i + 1] or 0.0 for i in range(len(rows.columns))]))
+        # Around the mean, products of far-off columns keep their digits.
+        moved = rows.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(rows.columns, middle)])
+        blocks = _blocks(spread(moved, n)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            data.count()  # cached once, before the restarts share it
-            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-                best = min(pool.map(fit, range(n_init)), key=lambda m: m.summary.trainingCost)
-            self.inertia = best.summary.trainingCost
-            sizes = best.summary.clusterSizes
+            centres = np.empty((n_init, 0, len(rows.columns)))
+            for _ in range(k):
+                centres = _with_next_start(blocks, centres, seed)
+            iterations, moving = np.zeros(n_init, int), np.arange(n_init)
+            while len(moving) and iterations[moving[0]] < max_iter:
+                sums = _cluster_sums(blocks, centres[moving])
+                sizes = sums[:, :, -2, None]
+                after = np.where(sizes > 0, sums[:, :, :-2] / np.maximum(sizes, 1), centres[moving])
+                shift = ((after - centres[moving]) ** 2).sum(axis=(1, 2))
+                centres[moving] = after
+                iterations[moving] += 1
+                moving = moving[shift > limit]
+            final = _cluster_sums(blocks, centres)
         finally:
-            data.unpersist()
-        centres = [c.tolist() for c in best.clusterCenters()]
-        order = sorted(range(len(centres)), key=lambda i: centres[i])
-        self.centre_rows = [centres[i] for i in order]
-        self.size_list = [sizes[i] for i in order]
-        self._model, self._place = best, {old: new for new, old in enumerate(order)}
+            blocks.unpersist()
+        inertia = final[:, :, -1].sum(axis=1)
+        best = int(inertia.argmin())
+        self.inertia, self.iterations = float(inertia[best]), int(iterations[best])
+        self.converged = best not in moving
+        found = [((c + middle).tolist(), int(size)) for c, size in zip(centres[best], final[best, :, -2]) if size > 0]
+        self.centre_rows, self.size_list = map(list, zip(*sorted(found)))
+
+    def info(self) -> DataFrame:
+        """``n, k, inertia, iterations, converged`` of the best run."""
+        row = (self.n, len(self.size_list), self.inertia, self.iterations, self.converged)
+        return small_frame(self._spark, [row], "n long, k int, inertia double, iterations int, converged boolean")
 
     def sizes(self) -> DataFrame:
         return small_frame(self._spark, list(enumerate(self.size_list)), "cluster int, size long")
@@ -118,11 +139,89 @@ class KMeansFit:
         return small_frame(self._spark, [(i, *c) for i, c in enumerate(self.centre_rows)], schema)
 
     def assignments(self) -> DataFrame:
-        """``x0, x1, ..., cluster`` of every row."""
-        placed = self._model.transform(vectors(self._rows))
-        renumber = F.element_at(F.array(*[F.lit(self._place[i]) for i in range(len(self._place))]),
-                                F.col("prediction") + 1)
-        return placed.select(*self._rows.columns, renumber.alias("cluster"))
+        """``x0, x1, ..., cluster`` of every row: the nearest centre, the first of equally near ones."""
+        reach = []
+        for i, centre in enumerate(self.centre_rows):
+            squares = [(F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(self._rows.columns, centre)]
+            reach.append(F.struct(sum(squares[1:], squares[0]).alias("d"), F.lit(i).alias("i")))
+        return self._rows.select("*", F.array_min(F.array(*reach))["i"].alias("cluster"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``place, data``: the rows as blocks of doubles, numbered. Sorted before, they are the same in a second reading."""
+    width = len(rows.columns)
+    step = max(1, BLOCK_BYTES // (8 * width))
+
+    def pack(batches):
+        place = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            for start in range(0, len(x), step):
+                yield pa.RecordBatch.from_pydict({"place": [place], "data": [x[start:start + step].tobytes()]})
+                place += 1
+
+    return rows.sortWithinPartitions(*rows.columns).mapInArrow(pack, "place long, data binary")
+
+
+def _with_next_start(blocks: DataFrame, centres: np.ndarray, seed: int) -> np.ndarray:
+    """One more centre for every run, drawn with a chance in proportion to the squared distance to the nearest one.
+
+    The row with the smallest exponential variate over its weight is such a draw, and a minimum needs no second pass.
+    """
+    runs, count, width = centres.shape
+
+    def draw(batches):
+        best = {}
+        for batch in batches:
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(data).reshape(-1, width)
+                noise = np.random.default_rng([seed, count, place]).standard_exponential((runs, len(x)))
+                for run in range(runs):
+                    weight = np.ones(len(x))
+                    if count:
+                        weight = np.min([((x - c) ** 2).sum(axis=1) for c in centres[run]], axis=0)
+                    with np.errstate(divide="ignore"):
+                        key = noise[run] / weight
+                    at = int(key.argmin())
+                    if key[at] < best.get(run, (np.inf,))[0]:
+                        best[run] = (float(key[at]), x[at].tolist())
+        yield pa.RecordBatch.from_pydict({"run": pa.array(list(best), pa.int32()), "key": pa.array([b[0] for b in best.values()], pa.float64()),
+                                          "x": pa.array([b[1] for b in best.values()], pa.list_(pa.float64()))})
+
+    drawn = blocks.mapInArrow(draw, "run int, key double, x array<double>")
+    found = {r.run: r.x for r in drawn.groupBy("run").agg(F.min_by("x", "key").alias("x")).collect()}  # a row per run
+    # Without a row off the centres there are fewer clusters than asked for: the repeated centre stays empty.
+    return np.stack([np.vstack([c, found.get(run, c[:1])]) for run, c in enumerate(centres)])
+
+
+def _cluster_sums(blocks: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """For every run and centre: column sums, number and summed squared distance of the rows nearest to it."""
+    runs, k, width = centres.shape
+    flat = centres.reshape(-1, width)
+    offsets = (flat * flat).sum(axis=1)
+
+    def add_up(batches):
+        total = np.zeros((runs * k, width + 2))
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                x = np.frombuffer(data).reshape(-1, width)
+                reach = (offsets - 2 * (x @ flat.T)).reshape(len(x), runs, k)
+                near = reach.argmin(axis=2)
+                hot = np.zeros((len(x), runs, k))
+                np.put_along_axis(hot, near[:, :, None], 1.0, axis=2)
+                hot = hot.reshape(len(x), -1)
+                total[:, :width] += hot.T @ x
+                total[:, width] += hot.sum(axis=0)
+                for run in range(runs):
+                    gap = x - centres[run][near[:, run]]
+                    total[run * k:(run + 1) * k, -1] += np.bincount(near[:, run], (gap * gap).sum(axis=1), k)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "value": pa.array(total.ravel()[slot])})
+
+    result = np.zeros(runs * k * (width + 2))
+    for r in blocks.mapInArrow(add_up, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect():
+        result[r.slot] = r.value
+    return result.reshape(runs, k, width + 2)
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, *, n_init: int = 10, seed: int = 42,
