@@ -81,6 +81,19 @@ def _cast_int(spark, sf):
     return _act(df, "cast_type", column="l_quantity", to="int")
 
 
+@query("act_cast_int_text", """
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN NULL ELSE 9007199254740993 + o_orderkey END AS t FROM orders""")
+def _cast_int_text(spark, sf):
+    number = (F.lit(9007199254740993) + F.col("o_orderkey")).cast("string")
+    df = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "x").otherwise(number).alias("t"))
+    return _act(df, "cast_type", column="t", to="int")
+
+
+@query("act_fillna_all_zero", _filled("coalesce(c_acctbal, 0.0)"))
+def _fillna_all_zero(spark, sf):
+    return _act(gappy_customer(spark, sf), "fillna", columns=[], strategy="zero")
+
+
 @query("act_cast_string", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
 def _cast_string(spark, sf):
     return _act(table(spark, sf, "customer").select("c_custkey", "c_name"), "cast_type", column="custkey", to="str")

@@ -101,6 +101,28 @@ def _trend(spark, sf):
     return as_text(rounded(rounded(df, 2, "total", "previous", "last_year"), 6, "change", "yoy"), "period")
 
 
+def _trend_sql(grain: str, back: str) -> str:
+    return f"""
+    WITH m AS (SELECT date_trunc('{grain}', o_orderdate)::DATE AS period, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+         l AS (SELECT *, lag(total) OVER (ORDER BY period) AS previous FROM m)
+    SELECT a.period::VARCHAR AS period, round(a.total, 2) AS total, round(a.previous, 2) AS previous,
+           round((a.total - a.previous) / a.previous, 6) AS change,
+           round(b.total, 2) AS last_year, round((a.total - b.total) / b.total, 6) AS yoy
+    FROM l a LEFT JOIN m b ON b.period = (a.period - INTERVAL {back})::DATE"""
+
+
+@query("trend_day_yoy", _trend_sql("day", "1 YEAR"))
+def _trend_day(spark, sf):
+    df = kpi.trend_change(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "day")
+    return as_text(rounded(rounded(df, 2, "total", "previous", "last_year"), 6, "change", "yoy"), "period")
+
+
+@query("trend_week_yoy", _trend_sql("week", "364 DAY"))
+def _trend_week(spark, sf):
+    df = kpi.trend_change(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "week")
+    return as_text(rounded(rounded(df, 2, "total", "previous", "last_year"), 6, "change", "yoy"), "period")
+
+
 @query("trend_contribution", """
     SELECT o_orderpriority AS dimension, round(sum(o_totalprice), 2) AS total,
            round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share

@@ -130,6 +130,11 @@ def _kmeans_sizes(spark, sf):
     return _clusters(spark, sf).sizes()
 
 
+@query("kmeans_info")
+def _kmeans_info(spark, sf):
+    return _clusters(spark, sf).info()
+
+
 @query("kmeans_centers")
 def _kmeans_centers(spark, sf):
     return kmeans(_vectors(spark, sf), [f"e{i}" for i in range(64)], 4).centers()

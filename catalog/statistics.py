@@ -18,7 +18,7 @@ _MOMENTS = """
            round(exp(-n / 12.0 * (s * s + k * k / 4)), 8) AS p, exp(-n / 12.0 * (s * s + k * k / 4)) < 0.05 AS rejected
     FROM ({_MOMENTS})""")
 def _jb(spark, sf):
-    return rounded(parametric.normality(table(spark, sf, "orders"), "o_totalprice", "jarque_bera"), 4, "stat").withColumn(
+    return rounded(parametric.normality(table(spark, sf, "orders"), "o_totalprice", "jarque_bera"), 4, "stat").drop("n_used").withColumn(
         "p", F.round("p", 8))
 
 
@@ -36,10 +36,24 @@ def _jb(spark, sf):
     SELECT 'o_totalprice' AS "column", n::BIGINT AS n, 'normaltest' AS method, round(z1 * z1 + z2 * z2, 4) AS stat,
            round(exp(-(z1 * z1 + z2 * z2) / 2), 8) AS p, exp(-(z1 * z1 + z2 * z2) / 2) < 0.05 AS rejected FROM d""")
 def _dagostino(spark, sf):
-    return rounded(parametric.normality(table(spark, sf, "orders"), "o_totalprice", "normaltest"), 4, "stat").withColumn(
+    return rounded(parametric.normality(table(spark, sf, "orders"), "o_totalprice", "normaltest"), 4, "stat").drop("n_used").withColumn(
         "p", F.round("p", 8))
 
 
+@query("kruskal_many_groups", """
+    WITH c AS (SELECT l_quantity AS v, l_suppkey AS g, count(*) AS n FROM lineitem GROUP BY 1, 2),
+         v AS (SELECT v, sum(n)::DOUBLE AS t FROM c GROUP BY 1),
+         r AS (SELECT v, t, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS r FROM v),
+         s AS (SELECT g, sum(n)::DOUBLE AS n, sum(n * (r - ((SELECT count(*) FROM lineitem) + 1) / 2.0)) AS ranks
+               FROM c JOIN r USING (v) GROUP BY 1),
+         x AS (SELECT count(*) AS k, sum(n) AS n, sum(ranks * ranks / n) AS q FROM s),
+         y AS (SELECT sum(t * t * t - t) AS ties FROM v)
+    SELECT 'l_quantity' AS y, 'l_suppkey' AS "group", k, n::BIGINT AS n,
+           round(12 / (n * (n + 1)) * q / (1 - ties / (n * n * n - n)), 6) AS h FROM x, y""")
+def _kruskal_many(spark, sf):
+    return rounded(rank_tests.kruskal_wallis(table(spark, sf, "lineitem"), "l_quantity", "l_suppkey"), 6, "h").drop("p")
+
+
 @query("normality_shapiro")
 def _shapiro(spark, sf):
     return parametric.normality(table(spark, sf, "lineitem"), "l_extendedprice", "shapiro",

@@ -16,7 +16,7 @@ from tabulon.operators.describe import group_summary
 from tabulon.operators.multivariate import KMeansFit, PcaFit
 from tabulon.operators.profiling import missing_top
 from tabulon.operators.quantiles import exact_quantiles, group_quantiles
-from tabulon.operators.select import sample_rows
+from tabulon.operators.select import sample_of_equals, sample_rows
 
 SCATTER_ROWS = 5000
 WHISKER = 1.5
@@ -94,20 +94,20 @@ def chart_scatter(df: DataFrame, x: str, y: str, *, n: int = SCATTER_ROWS, key:
     """``x, y`` of a repeatable sample of complete rows."""
     rows = df.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(key)],
                      to_numeric(df, x).alias("x"), to_numeric(df, y).alias("y")).dropna(subset=["x", "y"])
-    return sample_rows(rows, n, [f"_k{i}" for i in range(len(key))] or ["x", "y"]).select("x", "y")
+    return (sample_rows(rows, n, [f"_k{i}" for i in range(len(key))]) if key else sample_of_equals(rows, n)).select("x", "y")
 
 
 def chart_pca_scatter(fit: PcaFit, *, n: int = SCATTER_ROWS) -> DataFrame:
-    return sample_rows(fit.scores().select("PC1", "PC2"), n, ["PC1", "PC2"])
+    return sample_of_equals(fit.scores().select("PC1", "PC2"), n)
 
 
 def chart_cluster_scatter(fit: KMeansFit, *, n: int = SCATTER_ROWS) -> DataFrame:
-    """``PC1, PC2, cluster`` of a sample of clustered rows."""
+    """``PC1, PC2, cluster`` of a sample of clustered rows, in the plane of all rows."""
     placed = fit.assignments()
     inputs = [c for c in placed.columns if c != "cluster"]
-    sample = sample_rows(placed, n, inputs)
-    plane = PcaFit(sample.select(*inputs), inputs, 2)
-    centre = numeric_view(sample, inputs).agg(
+    sample = sample_of_equals(placed, n)
+    plane = PcaFit(placed.select(*inputs), inputs, 2)
+    centre = numeric_view(placed, inputs).agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(inputs)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(inputs)]
     ).first()
     axes = []

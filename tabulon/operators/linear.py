@@ -66,7 +66,7 @@ class OlsFit:
         self.r2 = 1 - ss_res / ss_tot if ss_tot > 0 else 0.0
         self.dof = n - k - 1
         self.adj_r2 = 1 - (1 - self.r2) * (n - 1) / self.dof if self.dof > 0 else self.r2
-        mse = ss_res / self.dof if self.dof > 0 else ss_res / max(1, n - 1)
+        mse = ss_res / self.dof if self.dof > 0 else math.nan  # nothing is left over to estimate it from
         if np.linalg.matrix_rank(r) < k:
             self.se = np.full(k + 1, math.nan)
         else:
@@ -87,11 +87,12 @@ class OlsFit:
 
     def coefficients(self) -> DataFrame:
         """``term, coef, se, t, p, ci_low, ci_high``, the intercept first."""
-        critical = t_quantile(self._spark, 0.975, self.dof) if self.dof > 0 else 1.96
+        critical = t_quantile(self._spark, 0.975, self.dof) if self.dof > 0 else math.nan
         rows = []
         for name, b, se in zip([INTERCEPT, *self.x], self.coef.tolist(), self.se.tolist()):
             t = b / se if se else math.copysign(math.inf, b) if b else math.nan
-            rows.append((name, b, se, t, t_two_sided(self._spark, t, self.dof), b - critical * se, b + critical * se))
+            bounds = (b - critical * se, b + critical * se) if math.isfinite(critical * se) else (None, None)
+            rows.append((name, b, se, t, t_two_sided(self._spark, t, self.dof), *bounds))
         return small_frame(self._spark, rows, "term string, coef double, se double, t double, p double, "
                                               "ci_low double, ci_high double")
 

@@ -19,7 +19,7 @@ from tabulon.functions.distributions import (
 )
 from tabulon.functions.frames import small_frame
 from tabulon.operators.describe import crosstab_long
-from tabulon.operators.select import sample_rows, top_groups
+from tabulon.operators.select import sample_of_equals, sample_rows, top_groups
 
 SHAPIRO_ROWS = 5000
 ALPHA = 0.05
@@ -113,10 +113,11 @@ def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
 
 
 def normality(df: DataFrame, column: str, method: str = "auto", *, key: Sequence[str] = ()) -> DataFrame:
-    """``column, n, method, stat, p, rejected`` at the 5 % level.
+    """``column, n, n_used, method, stat, p, rejected`` at the 5 % level.
 
     ``auto`` takes Shapiro-Wilk up to 5,000 values and the D'Agostino-Pearson test beyond. An
-    explicit Shapiro-Wilk test of more values uses a hash sample of 5,000 (by ``key``, else by value).
+    explicit Shapiro-Wilk test of more values uses a hash sample of 5,000 (by ``key``, else by value, equal values
+    each on their own); ``n_used`` counts the values that the statistic comes from.
     """
     _need(df, [column])
     values = df.select(to_numeric(df, column).alias("x"), *[col(k).alias(f"k{i}") for i, k in enumerate(key)])
@@ -124,7 +125,7 @@ def normality(df: DataFrame, column: str, method: str = "auto", *, key: Sequence
     facts = values.agg(F.count("x").alias("n"), F.skewness("x").alias("s"), F.kurtosis("x").alias("k")).first()
     if facts.n < 3:
         raise AnalysisError("n_too_small", "normality needs 3 values")
-    method = (method or "auto").lower()
+    used, method = facts.n, (method or "auto").lower()
     if method == "auto":
         method = "shapiro" if facts.n <= SHAPIRO_ROWS else "normaltest"
     if method in ("jarque_bera", "normaltest"):
@@ -133,11 +134,13 @@ def normality(df: DataFrame, column: str, method: str = "auto", *, key: Sequence
         stat, p = test(facts.n, facts.s, facts.k) if facts.s is not None else (math.nan, math.nan)
     else:
         method = "shapiro"
-        if facts.n > SHAPIRO_ROWS:
-            values = sample_rows(values, SHAPIRO_ROWS, [f"k{i}" for i in range(len(key))] or ["x"])
+        used = min(used, SHAPIRO_ROWS)
+        if facts.n > used:
+            values = sample_rows(values, SHAPIRO_ROWS, [f"k{i}" for i in range(len(key))]) if key else sample_of_equals(
+                values, SHAPIRO_ROWS)
         stat, p = shapiro_wilk([r.x for r in values.select("x").collect()])  # at most 5,000 numbers
-    return small_frame(df.sparkSession, [(column, facts.n, method, stat, p, p < ALPHA)],
-                       "column string, n long, method string, stat double, p double, rejected boolean")
+    return small_frame(df.sparkSession, [(column, facts.n, used, method, stat, p, p < ALPHA)],
+                       "column string, n long, n_used long, method string, stat double, p double, rejected boolean")
 
 
 def _t_ratio(difference: float, error: float) -> float:

@@ -119,45 +119,41 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return totals.withColumn("dup_pct", F.round(share, 2))
 
 
+# What makes a column a candidate for a list of the health summary.
+FEW_LEVELS, MOST_MISSING_PCT = 12, 80
+ID_SHARE, ID_LEVELS = 0.9, 20
+
+
+def _kind(data_type: T.DataType) -> str:
+    kinds = (("bool", T.BooleanType), ("datetime", T.DatetimeType), ("categorical", T.StringType))
+    return "numeric" if is_numeric(data_type) else next((k for k, t in kinds if isinstance(data_type, t)), "other")
+
+
 def health_summary(df: DataFrame, *, approximate: bool = False) -> DataFrame:
-    """One row: shape, duplicate share, type counts and lists of candidate columns."""
-    facts = _columns_table(df, df.columns, approximate, None).orderBy("position").collect()
-    shape = duplicate_rows(df).first()
-    kinds = {"numeric": 0, "categorical": 0, "datetime": 0, "bool": 0, "other": 0}
-    lists: dict[str, list[str]] = {
-        k: [] for k in ("numeric", "categorical", "binary", "id_like", "constant", "datetime_like")}
-    id_floor = max(20, int(shape.n_rows * 0.9))
-    for fact in facts:
-        name, data_type, distinct = fact["column"], df.schema[fact["column"]].dataType, fact.n_distinct
-        time_named = any(word in name.lower() for word in TIME_WORDS)
-        if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            kinds["datetime"] += 1
-            time_named = True
-        elif isinstance(data_type, T.BooleanType):
-            kinds["bool"] += 1
-        elif is_numeric(data_type):
-            kinds["numeric"] += 1
-            lists["numeric"].append(name)
-            if distinct <= 12 and fact.missing_pct <= 80:
-                lists["categorical"].append(name)
-        elif isinstance(data_type, T.StringType):
-            kinds["categorical"] += 1
-            lists["categorical"].append(name)
-        else:
-            kinds["other"] += 1
-        if distinct == 2:
-            lists["binary"].append(name)
-        if shape.n_rows and distinct >= id_floor:
-            lists["id_like"].append(name)
-        if distinct == 1:
-            lists["constant"].append(name)
-        if time_named:
-            lists["datetime_like"].append(name)
-    row = (shape.n_rows, len(df.columns), shape.dup_pct, *kinds.values(), *lists.values())
-    schema = ", ".join(
-        ["n_rows long, n_cols long, dup_pct double"] + [f"n_{k} long" for k in kinds]
-        + [f"{k}_cols array<string>" for k in lists])
-    return small_frame(df.sparkSession, [row], schema)
+    """One row: shape, duplicate share, number of columns of each kind, and lists of candidate columns."""
+    shape = duplicate_rows(df)
+    about = small_frame(df.sparkSession, [
+        (i, _kind(f.dataType), any(w in f.name.lower() for w in TIME_WORDS)) for i, f in enumerate(df.schema.fields)
+    ], "position int, kind string, time_named boolean")
+    facts = _columns_table(df, df.columns, approximate, None).join(about, "position").crossJoin(F.broadcast(shape))  # one row
+    kind, levels = F.col("kind"), F.col("n_distinct")
+    few_numbers = (kind == "numeric") & (levels <= FEW_LEVELS) & (F.col("missing_pct") <= MOST_MISSING_PCT)
+    lists = {
+        "numeric": kind == "numeric",
+        "categorical": (kind == "categorical") | few_numbers,
+        "binary": levels == 2,
+        "id_like": (F.col("n_rows") > 0) & (levels >= F.greatest(F.lit(ID_LEVELS), F.floor(F.col("n_rows") * ID_SHARE))),
+        "constant": levels == 1,
+        "datetime_like": (kind == "datetime") | F.col("time_named"),
+    }
+
+    def members(test):
+        return F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("position", "column")))), lambda x: x["column"])
+
+    counts = [F.count_if(kind == k).alias(f"n_{k}") for k in ("numeric", "categorical", "datetime", "bool", "other")]
+    return facts.groupBy().agg(
+        F.max("n_rows").alias("n_rows"), F.count("*").alias("n_cols"), F.max("dup_pct").alias("dup_pct"), *counts,
+        *[members(test).alias(f"{name}_cols") for name, test in lists.items()])
 
 
 def column_profile(df: DataFrame, columns: Sequence[str], *, approximate: bool = False) -> DataFrame:

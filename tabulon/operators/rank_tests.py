@@ -23,7 +23,10 @@ EXACT_TAIL = 5_000_000
 
 def rank_sums(rows: DataFrame, value: str, group: str) -> DataFrame:
     """``group, n, ranks, tie_term``: size, sum of centred ranks and share of sum(t³ - t) of each group."""
-    ranked = running_counts(rows, value, tag=[group])
+    # Ranks belong to distinct values; the (value, group) pairs meet them in a plain join, which no window holds together.
+    ranks = running_counts(rows, value).select(col(value).alias("_ranked"), "ties", "upto", "total")
+    pairs = rows.where(col(value).isNotNull()).groupBy(col(value), col(group)).agg(F.count("*").alias("n"))
+    ranked = pairs.join(ranks, col(value) == F.col("_ranked"))
     ties = F.col("ties").cast("double")
     return ranked.groupBy(col(group)).agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * centred_rank()).alias("ranks"),

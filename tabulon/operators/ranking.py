@@ -150,8 +150,8 @@ def text_codes(df: DataFrame, name: str, *, bucket_values: int = BUCKET_VALUES)
     parts = min(256, math.ceil(count / bucket_values))
     sample = values.where(F.pmod(F.xxhash64(col(name)), F.lit(thin)) == 0).distinct()
     tile = F.ntile(parts).over(Window.partitionBy(F.lit(0)).orderBy(col(name)))  # a bounded sample
-    bounds = sorted(r[0] for r in sample.select(col(name), tile.alias("t")).groupBy("t").agg(F.min(col(name))).select(
-        F.col(f"min({name})")).collect())[1:]
+    bounds = sorted(r[0] for r in sample.select(col(name), tile.alias("t")).groupBy("t").agg(F.min(col(name)).alias("low"))
+                    .select("low").collect())[1:]
 
     def bucket(low: int, high: int):
         if low == high:

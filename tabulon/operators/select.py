@@ -57,6 +57,31 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], *, seed: int = 42) ->
     return df.where(hashed.cast("double") < edge).unionAll(at_edge)
 
 
+COPIES = 100_000
+
+
+def numbered_copies(df: DataFrame, number: str) -> DataFrame:
+    """The rows, with equal rows numbered from 0, so that a hash of all columns tells them apart.
+
+    Equal rows are counted first and then dealt out again in runs of COPIES, so a row that fills a third of the table is neither
+    shuffled as such nor dealt out in one task.
+    """
+    runs = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias(number)).select(
+        *[col(c) for c in df.columns], F.col(number).alias(f"{number}_all"),
+        F.explode(F.sequence(F.lit(0), F.col(number) - 1, F.lit(COPIES))).alias(f"{number}_from"))
+    end = F.least(F.col(f"{number}_from") + COPIES, F.col(f"{number}_all")) - 1
+    dealt = runs.repartition(*[col(c) for c in df.columns], F.col(f"{number}_from"))
+    return dealt.select(*[col(c) for c in df.columns], F.explode(F.sequence(F.col(f"{number}_from"), end)).alias(number))
+
+
+def sample_of_equals(df: DataFrame, n: int, *, seed: int = 42) -> DataFrame:
+    """``n`` rows of a table without a key: chosen by their values, equal rows each on their own."""
+    number = "_copy"
+    while number in df.columns:
+        number += "_"
+    return sample_rows(numbered_copies(df, number), n, [*df.columns, number], seed=seed).drop(number)
+
+
 def preview(df: DataFrame, order_by: Sequence[str], *, n: int = 2000) -> DataFrame:
     """The first ``n`` rows as text, missing cells blank."""
     rows = top_n(df, [col(c) for c in order_by], n)

@@ -129,7 +129,7 @@ def _pca(df, p):
 
 def _kmeans(df, p):
     fit = kmeans(df, _names(p, "columns"), int(p.get("k", 3)))
-    return {"sizes": fit.sizes(), "centers": fit.centers()}, {"scatter": lambda: charts.chart_cluster_scatter(fit)}
+    return {"info": fit.info(), "sizes": fit.sizes(), "centers": fit.centers()}, {"scatter": lambda: charts.chart_cluster_scatter(fit)}
 
 
 ANALYSES: dict[str, Callable] = {

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from typing import Any
+from dataclasses import dataclass, field
+from typing import Any, ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,26 @@ from tabulon.functions.columns import normalize_missing, resolve_columns
 from tabulon.operators.actions import ACTIONS, apply_actions, replace_missing, validate_actions
 from tabulon.sources.writers import read_json_document, write_json_document
 
-MEASURES = ("scale", "nominal", "ordinal")
+
+@dataclass(frozen=True)
+class ColumnMeta:
+    """What is known of a column beside its values."""
+
+    # The field names and the measures.
+    label: str = ""
+    measure: str = "scale"
+    value_labels: Mapping[str, str] = field(default_factory=dict)
+    missing_codes: Sequence[Any] = ()
+
+    MEASURES: ClassVar = ("scale", "nominal", "ordinal")
+
+    def __post_init__(self):
+        if self.measure not in self.MEASURES:
+            raise AnalysisError("unknown_measure", f"{self.measure!r} is none of {', '.join(self.MEASURES)}")
+
+    def as_dict(self) -> dict[str, Any]:
+        return {"label": self.label, "measure": self.measure, "value_labels": dict(self.value_labels),
+                "missing_codes": list(self.missing_codes)}
 
 
 class Dataset:
@@ -31,16 +51,17 @@ class Dataset:
         self.cursor = len(self.actions) if cursor is None else max(0, min(int(cursor), len(self.actions)))
         self.meta = {k: dict(v) for k, v in (meta or {}).items()}
         self.order_by = list(order_by)
-        self._current: tuple[int, DataFrame] | None = None
+        self._tables = [self.raw]  # the plan after 0, 1, 2, ... actions, as far as it was asked for
 
     # -- the current table ------------------------------------------------------------------
 
     @property
     def df(self) -> DataFrame:
         """The raw table after the first ``cursor`` actions, with column metadata attached."""
-        if self._current is None or self._current[0] != self.cursor:
-            self._current = (self.cursor, apply_actions(self.raw, self.actions[:self.cursor], order_by=self.order_by))
-        table = self._current[1]
+        # Numbers that an action computed from the data (a mean, a quantile) are literals of its plan: no action is resolved twice.
+        for action in self.actions[len(self._tables) - 1:self.cursor]:
+            self._tables.append(apply_actions(self._tables[-1], [action], order_by=self.order_by))
+        table = self._tables[self.cursor]
         for original, current in self.current_names().items():
             if original in self.meta and current in table.columns:
                 table = table.withMetadata(current, {**table.schema[current].metadata, **self.meta[original]})
@@ -70,9 +91,9 @@ class Dataset:
     def _with(self, **changes: Any) -> Dataset:
         state = {"actions": self.actions, "cursor": self.cursor, "meta": self.meta, "order_by": self.order_by}
         copy = Dataset.__new__(Dataset)
-        copy.__dict__.update(raw=self.raw, _stored=self._stored, _current=self._current, **{**state, **changes})
-        if copy.actions[:copy.cursor] != self.actions[:copy.cursor]:
-            copy._current = None
+        copy.__dict__.update(raw=self.raw, _stored=self._stored, **{**state, **changes})
+        same = next((i for i, (a, b) in enumerate(zip(copy.actions, self.actions)) if a != b), min(len(copy.actions), len(self.actions)))
+        copy._tables = self._tables[:same + 1]
         return copy
 
     def new_baseline(self, df: DataFrame) -> Dataset:
@@ -112,16 +133,13 @@ class Dataset:
                         value_labels: Mapping[str, str] | None = None, missing_codes: Sequence[Any] = ()) -> Dataset:
         """Describe a column by its current name."""
         original = next((o for o, c in self.current_names().items() if c == column), column)
-        measure = measure.lower().strip() if (measure or "").lower().strip() in MEASURES else "scale"
-        entry = {"label": label or "", "measure": measure, "value_labels": dict(value_labels or {}),
-                 "missing_codes": list(missing_codes)}
-        return self._with(meta={**self.meta, original: entry})
+        entry = ColumnMeta(label, measure.strip().lower(), value_labels or {}, missing_codes)
+        return self._with(meta={**self.meta, original: entry.as_dict()})
 
     def column_meta(self) -> dict[str, dict[str, Any]]:
         """Metadata of the current columns, by current name."""
-        empty = {"label": "", "measure": "scale", "value_labels": {}, "missing_codes": []}
-        back = {c: o for o, c in self.current_names().items()}
-        return {c: {**empty, **self.meta.get(back.get(c, c), {})} for c in self.df.columns}
+        known = {current: self.meta[original] for original, current in self.current_names().items() if original in self.meta}
+        return {c: ColumnMeta(**known.get(c, {})).as_dict() for c in self.df.columns}
 
     def apply_missing_codes(self, columns: Sequence[str] = ()) -> Dataset:
         """Turn the recorded missing codes of the columns (of all, by default) into missing cells."""

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from tabulon.functions.frames import small_frame
-from tabulon.operators.select import sample_rows, select_columns
+from tabulon.operators.select import sample_of_equals, sample_rows, select_columns
 from tabulon.plans.analyses import ANALYSES, run_analysis
 from tabulon.sources.writers import write_json_document, write_tables
 
@@ -29,7 +29,7 @@ def usable_jobs(jobs: Sequence[Any]) -> list[dict[str, Any]]:
 
 def report_input(df: DataFrame, columns: Sequence[str] = (), n: int | None = None, key: Sequence[str] = ()) -> DataFrame:
     """The asked columns and, if a size is given, a repeatable sample of the rows."""
-    table = df if not n else sample_rows(df, n, list(key) or df.columns)
+    table = df if not n else sample_rows(df, n, list(key)) if key else sample_of_equals(df, n)
     return select_columns(table, columns)
 
 
