@@ -18,6 +18,9 @@ from tokenizers import Tokenizer
 from tabulon.llm.byte_bpe import SliceCache
 from tabulon.llm.shared import ship, small_batches
 
+# Slices kept per worker: nothing else of size lives beside this encoder, so more fit than beside a decoder.
+REMEMBERED = 600_000
+
 
 def _byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -43,7 +46,7 @@ class Slices:
     def __init__(self, tokenizer: Tokenizer):
         model, alphabet = tokenizer.model, {b: c for b, c in enumerate(_byte_alphabet())}
         self.cache = SliceCache(lambda words: [
-            [t.id for t in model.tokenize(w.decode("latin-1").translate(alphabet))] for w in words])
+            [t.id for t in model.tokenize(w.decode("latin-1").translate(alphabet))] for w in words], limit=REMEMBERED)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.cache.encode(texts)[:2]
