@@ -33,7 +33,7 @@ from tabulon.llm.shared import ship, text_slices
 BUCKET_BITS = 16
 WIDTH = 8
 GRAMS = (3, 4, 5)
-WINDOW = 8
+WINDOW = 2  # words; chosen on rows that may be learnt from, see README.md
 TRAIN_DOCUMENTS = 3000  # the most texts of each class that are learnt from
 EPOCHS, WINDOW_ROUNDS, WINDOW_EPOCHS = 4, 4, 6
 BATCH = 192
