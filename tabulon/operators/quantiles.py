@@ -1,8 +1,10 @@
 """Exact quantiles without ever gathering a column in one place.
 
-Global quantiles come from selection by narrowing: an approximate sketch brackets each wanted
-order statistic, one counting pass verifies the bracket, and only the values strictly inside it
-go on. A bracket holds about 1/1,000 of the rows, so a trillion rows need two rounds; values are
+Global quantiles come from selection by narrowing: a sketch of a thinned sample brackets each wanted
+order statistic, one counting pass over all rows verifies the bracket, and only the values strictly
+inside it go on. The sample has about ``SAMPLE_ROWS`` values however many there are, so what reaches
+the task that merges the sketches does not grow with the table; a poor bracket costs a round, never a
+wrong value. A bracket holds about 1/200 of the rows, so a trillion rows need four rounds; values are
 read out once a band holds at most ``band_rows`` rows. Only literals pass between the rounds, so
 the lineage does not grow, and no row is shuffled before the last, small step.
 
@@ -26,6 +28,8 @@ from tabulon.operators.ranking import running_counts
 
 BAND_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
+SAMPLE_ROWS = 1_000_000
+SAMPLE_SEED = 17
 FEW_GROUPS = 32
 
 
@@ -75,11 +79,18 @@ def _read_out(values: DataFrame, bands: list[_Band]) -> dict[tuple[str, int], fl
     return found
 
 
-def _narrow(values: DataFrame, bands: list[_Band], accuracy: int, found: dict) -> list[_Band]:
+def _narrow(values: DataFrame, bands: list[_Band], accuracy: int, sample: int, found: dict) -> list[_Band]:
     """Bracket every wanted position of large bands and keep only what lies inside the brackets."""
-    margin = 2.0 / accuracy
+    thinned = any(b.size > sample for b in bands)
+    chance = "_chance"
+    while chance in values.columns:
+        chance += "_"
+    drawn = values.withColumn(chance, F.rand(SAMPLE_SEED)) if thinned else values
     targets, sketches = [], []
     for i, band in enumerate(bands):
+        # A position read from a sample is off by its standard error, at most 1 / (2 sqrt(n)); five of them hold it.
+        margin = 2.0 / accuracy + (2.5 / math.sqrt(sample) if band.size > sample else 0.0)
+        taken = band.holds() & (col(chance) < sample / band.size) if band.size > sample else band.holds()
         near: list[list[int]] = []
         for position in sorted(band.positions):
             if near and position - near[-1][0] <= 1:
@@ -91,9 +102,9 @@ def _narrow(values: DataFrame, bands: list[_Band], accuracy: int, found: dict) -
             at += [max(0.0, (group[0] - band.start) / band.size - margin),
                    min(1.0, (group[-1] + 1 - band.start) / band.size + margin)]
         # One sketch per band answers all of its brackets.
-        sketches.append(F.percentile_approx(F.when(band.holds(), col(band.column)), at, accuracy).alias(f"s{i}"))
+        sketches.append(F.percentile_approx(F.when(taken, col(band.column)), at, accuracy).alias(f"s{i}"))
         targets += [(i, j, band, group) for j, group in enumerate(near)]
-    sketched = values.agg(*sketches).first()
+    sketched = drawn.agg(*sketches).first()
     brackets = [(sketched[i][2 * j], sketched[i][2 * j + 1]) for i, j, _, _ in targets]
     targets = [(band, group) for _, _, band, group in targets]
 
@@ -127,7 +138,7 @@ def _narrow(values: DataFrame, bands: list[_Band], accuracy: int, found: dict) -
 
 def order_statistics(
     values: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int], *,
-    band_rows: int = BAND_ROWS, accuracy: int = SKETCH_ACCURACY,
+    band_rows: int = BAND_ROWS, accuracy: int = SKETCH_ACCURACY, sample: int = SAMPLE_ROWS,
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based positions of the ascending order of double columns (NULL left out)."""
     found: dict[tuple[str, int], float] = {}
@@ -137,13 +148,13 @@ def order_statistics(
         large = [b for b in bands if b.size > band_rows]
         if small:
             found.update(_read_out(values, small))
-        bands = _narrow(values, large, accuracy, found) if large else []
+        bands = _narrow(values, large, accuracy, sample, found) if large else []
     return found
 
 
 def exact_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], *, sizes: Mapping[str, int] | None = None,
-    band_rows: int = BAND_ROWS, accuracy: int = SKETCH_ACCURACY,
+    band_rows: int = BAND_ROWS, accuracy: int = SKETCH_ACCURACY, sample: int = SAMPLE_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each named column; ``[None, ...]`` where it has no number."""
     values = numeric_view(df, wanted)
@@ -156,7 +167,7 @@ def exact_quantiles(
             spots = [p * (sizes[c] - 1) for p in probabilities]
             positions[c] = {math.floor(s) for s in spots} | {math.ceil(s) for s in spots}
     found = order_statistics(values, {c: sorted(p) for c, p in positions.items()}, sizes,
-                             band_rows=band_rows, accuracy=accuracy)
+                             band_rows=band_rows, accuracy=accuracy, sample=sample)
     result: dict[str, list[float | None]] = {}
     for c, probabilities in wanted.items():
         result[c] = []

@@ -17,15 +17,21 @@ def skewed(n=4000, seed=3):
     return [7.0 if rng.random() < 0.34 else round(rng.expovariate(0.01), rng.choice((0, 3))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("band_rows, accuracy", [(10**6, 10_000), (50, 10_000), (50, 40), (1, 100)])
-def test_quantiles_by_every_route(spark, band_rows, accuracy):
+@pytest.mark.parametrize("band_rows, accuracy, sample", [
+    (10**6, 10_000, 10**6), (50, 10_000, 10**6), (50, 40, 10**6), (1, 100, 10**6), (50, 10_000, 1_000), (50, 40, 200), (200, 1_000, 50)])
+def test_quantiles_by_every_route(spark, band_rows, accuracy, sample):
     x, y = skewed(), [float(i) for i in range(3999)] + [None]
     df = spark.createDataFrame(list(zip(x, y)), "x double, y double")
-    got = exact_quantiles(df, {"x": PROBABILITIES, "y": [0.5]}, band_rows=band_rows, accuracy=accuracy)
+    got = exact_quantiles(df, {"x": PROBABILITIES, "y": [0.5]}, band_rows=band_rows, accuracy=accuracy, sample=sample)
     assert got["x"] == pytest.approx(np.quantile(x, PROBABILITIES).tolist())
     assert got["y"] == [1999.0]
 
 
+def test_a_thinned_column_called_like_the_draw(spark):
+    df = spark.createDataFrame([(float(i * 37 % 3001),) for i in range(3001)], "_chance double").repartition(8)
+    assert exact_quantiles(df, {"_chance": [0.0, 0.5, 0.999, 1.0]}, band_rows=20, sample=300) == {"_chance": [0.0, 1500.0, 2997.0, 3000.0]}
+
+
 def test_quantiles_of_nothing_and_of_one_value(spark):
     df = spark.createDataFrame([(None, 2.0, "z"), (None, 2.0, "z")], "a double, b double, c string")
     assert exact_quantiles(df, {"a": [0.5], "b": [0.1, 0.9], "c": [0.5]}, band_rows=1) == {
