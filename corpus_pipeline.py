@@ -54,9 +54,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents, a table read from files, with a number per row that is the same in every reading."""
+    """The documents with a number per row, stored: numbers of two readings may differ, as files are cut by the cores at hand."""
     (row,) = unused(docs, "row")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def _without(docs: DataFrame, rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:

@@ -210,6 +210,23 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_dedup, corpus_pipeline.simhash_dedup])
+def test_stages_drop_the_same_rows_however_files_are_cut(spark, sf, tmp_path, stage):
+    words = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(20)]
+    rows = [(i, words[i % 20].replace(" ", " " * (1 + i // 20))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id").write.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        kept = stage(spark, spark.read.parquet(str(tmp_path / "docs")), sf)
+        spark.conf.set(key, "50")  # as if executors had come before the last plan
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_pipeline_of_an_empty_table(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
