@@ -1,7 +1,8 @@
 """Ids of the tokenizers library for whole documents, shared by packing and token files.
 
 Text is split by the vectorised pre-tokeniser of ``byte_bpe``; each new slice is encoded by the model of the given tokenizer
-file, and remembered. A file whose settings differ from a plain byte-level BPE is run by the library as a whole.
+file, and remembered. A file whose settings differ from a plain byte-level BPE is run by the library as a whole, and so is a text
+that holds one of the file's added tokens: the library gives such a token its own id wherever it stands.
 """
 
 from __future__ import annotations
@@ -43,24 +44,37 @@ class WholeTexts:
 class Slices:
     """Encodes slices by the library's model and remembers them."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, added: list[str]):
+        self.added, self.whole = added, WholeTexts(tokenizer)
         model, alphabet = tokenizer.model, {b: c for b, c in enumerate(_byte_alphabet())}
         self.cache = SliceCache(lambda words: [
             [t.id for t in model.tokenize(w.decode("latin-1").translate(alphabet))] for w in words], limit=REMEMBERED)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.encode(texts)[:2]
+        marked = [i for i, t in enumerate(texts) if any(mark in t for mark in self.added)]
+        if not marked:
+            return self.cache.encode(texts)[:2]
+        own = set(marked)
+        plain = [i for i in range(len(texts)) if i not in own]
+        coded: list = [None] * len(texts)
+        sizes = np.zeros(len(texts), np.int64)
+        for encode, rows in ((self.whole.encode, marked), (lambda part: self.cache.encode(part)[:2], plain)):
+            if rows:
+                ids, sizes[rows] = encode([texts[i] for i in rows])
+                for i, part in zip(rows, np.split(ids, np.cumsum(sizes[rows])[:-1])):
+                    coded[i] = part
+        return np.concatenate(coded), sizes
 
 
 @functools.lru_cache(2)
 def coder(tokenizer_json: str) -> Slices | WholeTexts:
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
     settings = json.loads(tokenizer_json)
     split = settings.get("pre_tokenizer") or {}
     plain = (settings["model"].get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
              and not split.get("add_prefix_space") and not settings.get("normalizer"))
-    return Slices(tokenizer) if plain else WholeTexts(tokenizer)
+    added = [t["content"] for t in settings.get("added_tokens") or []]
+    return Slices(tokenizer, added) if plain else WholeTexts(tokenizer)
 
 
 def read_tokenizer(spark: SparkSession, path: str):

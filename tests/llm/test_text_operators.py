@@ -105,6 +105,24 @@ def test_packing(spark, odd, library, monkeypatch):
     assert packing.pack_documents(odd.limit(0), TOKENIZER).count() == 0
 
 
+def test_added_tokens_have_their_own_id(spark):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    mark = "<|endoftext|>"
+    texts = [(1, f"a {mark} b"), (2, "plain text"), (3, mark), (4, f"x{mark}{mark} y\n"), (5, None), (6, "<|endoftext|"), (7, f"it's  {mark}")]
+
+    def contract(text):
+        return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+
+    assert contract(texts[0][1]).tolist() == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    pieces_are_right(packing.pack_documents(docs, TOKENIZER), texts, contract, 2048)
+    start = 0
+    for r, (key, text) in zip(token_files.round_trip(docs, TOKENIZER).orderBy("doc_id").collect(), texts):
+        ids = np.append(contract(text), np.uint32(0))
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (key, start, len(ids), ids.astype("<u4").tobytes())
+        start += len(ids)
+
+
 def test_packing_in_rounds_wastes_little(spark):
     sizes = np.random.default_rng(5).integers(1, 1500, 4000)
     rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "row long, length long")
