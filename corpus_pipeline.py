@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import language, quality, simhash
+from tabulon.llm import language, near_texts, quality
 from tabulon.llm.exact_dedup import DigestIndex
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.shared import unused, written
@@ -40,9 +40,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of at least 0.8): the one with the smallest id."""
     rows, row = _numbered(docs)
-    found = written(simhash.near_duplicates(rows.select("doc_id", "text", F.col(row).alias("tag")), tag_col="tag"))
+    found = written(near_texts.near_duplicates(rows, tag_col=row))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
     kept = found.groupBy("component").agg(first.alias("first")).select(F.col("first.tag").alias("tag"))
     return _without(docs, rows, row, found.join(kept, "tag", "left_anti"))

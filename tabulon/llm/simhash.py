@@ -20,7 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -47,8 +47,8 @@ PAIRWISE = 64  # keys with at most so many fingerprints are compared by shifts,
 MATRIX = 2048  # larger keys go by breadth-first search instead of a matrix
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """SimHash of each text as unsigned 64-bit integers."""
+def _shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, Callable[[slice], np.ndarray]]:
+    """The text of each shingle, the shingles per text, and a function that hashes a range of them."""
     documents = [b" ".join(t.encode().lower().split()) for t in texts]
     data = b"\n".join(documents)
     raw = np.frombuffer(data, np.uint8)
@@ -56,17 +56,26 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     starts, ends = np.append(0, cuts + 1), np.append(cuts, len(raw))
     words = np.array([d.count(b" ") + 1 if d else 0 for d in documents])
     first = np.cumsum(np.maximum(words, 1)) - np.maximum(words, 1)  # an empty text still has a place between the cuts
-    shingles = np.where(words >= SHINGLE_WORDS, words - SHINGLE_WORDS + 1, np.minimum(words, 1))
+    shingles = np.where(words >= size, words - size + 1, np.minimum(words, 1))
     doc = np.repeat(np.arange(len(texts)), shingles)
     head = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    tail = np.minimum(head + SHINGLE_WORDS - 1, first[doc] + words[doc] - 1)
+    tail = np.minimum(head + size - 1, first[doc] + words[doc] - 1)
     begin, end = starts[head], ends[tail]
-    counts = np.zeros((len(texts), 64), np.int64)
+
+    def hashed(here: slice) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, [data[a:b] for a, b in zip(begin[here].tolist(), end[here].tolist())],
+                               repeat(SEED)), np.uint64)
+
+    return doc, shingles, hashed
+
+
+def majority(doc: np.ndarray, shingles: np.ndarray, hashed: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """For each text the bits that more than half of its hashes have."""
+    counts = np.zeros((len(shingles), 64), np.int64)
     lanes = np.uint64(0x0001000100010001)
     for at in range(0, len(doc), WINDOW):
         here = slice(at, at + WINDOW)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, [data[a:b] for a, b in zip(begin[here].tolist(), end[here].tolist())],
-                            repeat(SEED)), np.uint64)
+        h = hashed(here)
         opens = np.flatnonzero(np.diff(doc[here], prepend=-1))
         for shift in range(16):  # bits shift, shift + 16, ... are counted in the four 16-bit lanes of one sum
             sums = np.add.reduceat((h >> np.uint64(shift)) & lanes, opens)
@@ -75,6 +84,21 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """SimHash of each text as unsigned 64-bit integers."""
+    return majority(*_shingles(texts, SHINGLE_WORDS))
+
+
+def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each text, sorted by text and hash, and their number per text."""
+    doc, _, hashed = _shingles(texts, size)
+    h = hashed(slice(None))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = (np.diff(doc, prepend=-1) != 0) | (np.append(True, h[1:] != h[:-1])[:len(h)])
+    return h[new], np.bincount(doc[new], minlength=len(texts))
+
+
 @functools.cache
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Syndromes of the low 12 and of the high 11 bits of a word, and the error of each syndrome."""

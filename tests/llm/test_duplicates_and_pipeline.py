@@ -97,6 +97,29 @@ def test_near_duplicates(spark):
     assert {r.component_id for r in null} == {None}
 
 
+def test_near_dedup_stage_finds_all_similar_texts(spark, sf, tmp_path):
+    rng = random.Random(7)
+    texts = [None, "", " \n", "One two", "one TWO", "one two three", "all rights reserved by the owner of these words"]
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(5, 300))]
+        head = "all rights reserved by the owner of these words " * rng.randint(0, 3)
+        texts += [head + " ".join(words), head * 5 + " ".join(words)]
+        for _ in range(rng.randint(0, 5)):
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(1000)}"
+            texts.append(" ".join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    sets = []
+    for text in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = joined(len(texts), pairs)
+    assert 20 < len({i for p in pairs for i in p}) and len(set(expected)) > 40
+    kept = corpus_pipeline.simhash_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), sf).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(expected))
+
+
 def brute_vectors(rows, threshold):
     sound = [v is not None and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, l in rows]
     units = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if s else None for (_, v, _), s in zip(rows, sound)]
