@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,6 @@ from tabulon.operators.ranking import centred_rank, running_counts
 from tabulon.operators.select import listwise_complete
 
 EXACT_ROWS = 8
-EXACT_TAIL = 5_000_000
 
 
 def rank_sums(rows: DataFrame, value: str, group: str) -> DataFrame:
@@ -38,34 +37,48 @@ def tail_length(u: float, na: int, nb: int) -> int:
     return na * nb - math.ceil(max(u, na * nb - u)) + 1
 
 
+@functools.cache
+def _partition_numerator(parts: int) -> tuple[int, list[int]]:
+    """L and the polynomial P with P / (1 - x^L)^(parts + 1) = 1 / ((1 - x) (1 - x) (1 - x^2) ... (1 - x^parts))."""
+    period, product = math.lcm(*range(1, parts + 1)), [1]
+    for i in (1, *range(1, parts + 1)):
+        # (1 - x^L) / (1 - x^i): a running sum with stride i, less itself L places before.
+        out = product + [0] * (period - i)
+        for k in range(i, len(out)):
+            out[k] += out[k - i] - (product[k - period] if 0 <= k - period < len(product) else 0)
+        product = out
+    return period, product
+
+
+def _partitions_up_to(most: int, parts: int) -> int:
+    """Partitions of all numbers 0..most into at most ``parts`` parts of any size."""
+    period, numerator = _partition_numerator(parts)
+    return sum(numerator[k] * math.comb((most - k) // period + parts, parts)
+               for k in range(most % period, min(most + 1, len(numerator)), period)) if most >= 0 else 0
+
+
 def exact_u_two_sided(u: float, na: int, nb: int) -> float:
-    """Two-sided p of U without ties, by counting the arrangements with each U of the tail, from its near end.
+    """Two-sided p of U without ties: twice the share of the arrangements whose U is as far out, in whole numbers.
 
-    The number with U = k is the same as with U = na * nb - k, so the far tail needs only as many terms as it is long.
+    The arrangements with U = k are the partitions of k into at most ``small`` parts of at most ``large``, the coefficients of a
+    Gaussian binomial. Its numerator, the product of (1 - x^(large + i)), has at most 2^small terms, and the partitions without a bound
+    on the parts are polynomials by residue; so the work depends on the smaller group only.
     """
     small, large = sorted((na, nb))
-    # ways[k]: share of the arrangements with U = k, as the coefficients of a Gaussian binomial. The factors (1 - x^step)
-    # and 1 / (1 - x^i) are a shifted difference and a running sum with stride i.
-    ways = np.zeros(max(0, tail_length(u, na, nb)), np.longdouble)
-    if not len(ways):
-        return 0.0
-    ways[0] = 1
+    signs = {0: 1}
     for i in range(1, small + 1):
-        step = large + i
-        if step < len(ways):
-            ways[step:] -= ways[:-step].copy()
-        padded = np.zeros(-(-len(ways) // i) * i, np.longdouble)
-        padded[:len(ways)] = ways
-        ways = np.cumsum(padded.reshape(-1, i), axis=0).ravel()[:len(ways)]
-    return min(1.0, float(2 * ways.sum() / math.comb(na + nb, small)))
+        for shift, sign in list(signs.items()):
+            signs[shift + large + i] = signs.get(shift + large + i, 0) - sign
+    last = tail_length(u, na, nb) - 1
+    ways = sum(sign * _partitions_up_to(last - shift, small) for shift, sign in signs.items())
+    return min(1.0, 2 * ways / math.comb(na + nb, small))
 
 
 def mann_whitney(df: DataFrame, y: str, group_col: str, group_a: str | None = None, group_b: str | None = None, *,
-                 null_group: str | None = None, exact_tail: int = EXACT_TAIL) -> DataFrame:
+                 null_group: str | None = None) -> DataFrame:
     """``y, group, group_a, n_a, group_b, n_b, u, p``: U of group A, two-sided p.
 
-    Without ties and with a group of at most EXACT_ROWS values p is exact, unless its tail holds more than ``exact_tail`` values
-    of U. So long a tail belongs to a U near the middle of millions of values, where the normal form agrees.
+    Without ties and with a group of at most EXACT_ROWS values p is exact, however large the other group; else it is the normal form's.
     """
     if y not in df.columns or group_col not in df.columns:
         raise AnalysisError("missing_params")
@@ -76,9 +89,9 @@ def mann_whitney(df: DataFrame, y: str, group_col: str, group_a: str | None = No
         raise AnalysisError("n_too_small", "a group has no values")
     na, nb = sums[a].n, sums[b].n
     n = na + nb
-    u = sums[a].ranks + na * nb / 2
+    u = (sums[a].ranks if na <= nb else -sums[b].ranks) + na * nb / 2  # the smaller group's sum stays exact
     tie_term = sums[a].tie_term + sums[b].tie_term
-    if min(na, nb) <= EXACT_ROWS and tie_term == 0 and tail_length(u, na, nb) <= exact_tail:
+    if min(na, nb) <= EXACT_ROWS and tie_term == 0:
         p = exact_u_two_sided(u, na, nb)
     else:
         variance = na * nb / 12 * (n + 1 - tie_term / (n * (n - 1))) if n > 1 else 0.0

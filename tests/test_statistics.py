@@ -12,6 +12,7 @@ from tabulon import AnalysisError
 from tabulon.functions.distributions import chi2_upper, f_upper, t_quantile, t_two_sided
 from tabulon.operators import kendall, parametric, ranking
 from tabulon.operators.correlation import correlation, correlation_matrix, top_pairs
+from tabulon.operators import rank_tests
 from tabulon.operators.rank_tests import exact_u_two_sided, friedman, kruskal_wallis, mann_whitney
 
 WEIGHTS = [148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
@@ -147,6 +148,15 @@ def test_mann_whitney_exact(spark):
             assert exact_u_two_sided(u, na, nb) == pytest.approx(min(1, 2 * sum(v >= top for v in us) / len(us)))
 
 
+@pytest.mark.parametrize("n_large,p", [(20_000_000, 12e6 / 20_000_001), (1_000_000_000, 12e6 / 1_000_000_001)])
+def test_mann_whitney_stays_exact_for_large_groups(spark, monkeypatch, n_large, p):
+    ranks = n_large / 2 - 6_000_000 + 1  # six million values of U are as far out
+    sums = spark.createDataFrame([("a", 1, ranks, 0.0), ("b", n_large, -ranks, 0.0)], "g string, n long, ranks double, tie_term double")
+    monkeypatch.setattr(rank_tests, "rank_sums", lambda *_: sums)
+    for a, b in ("ab", "ba"):
+        assert mann_whitney(grouped(spark, {"a": [1], "b": [2, 3]}), "y", "g", a, b).first().p == pytest.approx(p, rel=1e-12)
+
+
 def test_mann_whitney_with_ties(spark):
     a, b = [1, 2, 2, 3, 3, 3, 5, 8, 9, 9], [2, 3, 3, 4, 5, 5, 6, 7, 9, 9, 10]
     row = mann_whitney(grouped(spark, {"a": a, "b": b}), "y", "g", "a", "b").first()
