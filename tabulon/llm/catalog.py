@@ -9,9 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import language, quality, simhash, toxicity, vector_dedup
+from tabulon.llm import language, quality, simhash, toxicity, vector_dedup, word_bpe
 from tabulon.llm.byte_bpe import decoder, encode_documents
+from tabulon.llm.conversation_repair import damaged, read_turns, repair_conversations
 from tabulon.llm.exact_dedup import DigestIndex
+from tabulon.llm.metric_trees import vector_codes
+from tabulon.llm.oracles import repair_sql, vector_codes_sql
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.preference import last_answer_pairs, preference_turns
 from tabulon.llm.shared import held_out, written
@@ -142,3 +145,24 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)""")
 def op10(spark, sf_dir):
     index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
     return index.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair", repair_sql())
+def op11(spark, sf_dir):
+    return repair_conversations(damaged(read_turns(table(spark, sf_dir, "conversations"))))
+
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op12_word_bpe")
+def op12(spark, sf_dir):
+    docs = word_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
+    docs = docs.select("doc_id", "ids", word_bpe.decoder(spark, WORDS)(F.col("ids")).alias("decoded"))
+    return docs.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_vector_codes", vector_codes_sql())
+def op13(spark, sf_dir):
+    return vector_codes(table(spark, sf_dir, "embeddings"))
