@@ -157,7 +157,8 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 @query("op12_word_bpe")
 def op12(spark, sf_dir):
-    docs = word_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
+    # Stored between the two, as a corpus is: encoder and decoder then never hold memory at the same time.
+    docs = written(word_bpe.encode_documents(table(spark, sf_dir, "documents"), WORDS).select("doc_id", "ids"))
     docs = docs.select("doc_id", "ids", word_bpe.decoder(spark, WORDS)(F.col("ids")).alias("decoded"))
     return docs.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
