@@ -5,12 +5,16 @@ limit, so the rest is found by prefixes: with all shingles in one order, two set
 n - ceil(least * n) + 1 shingles of each. Shingles that a sample of the texts holds often come last in the order, so that the keys
 are rare ones; the order decides how many pairs are compared, not which are found. Every candidate is verified on the whole sets.
 
-Each member of a key is first compared with the key's smallest member; the components of the verified links then leave only pairs of
-different components, of fitting sizes, to compare. Groups of copies thus cost one link per member; texts that share a key and are
-not similar are compared pair by pair.
+Keys are shuffled once. Only those that several sets share go on, each member with a leader of its key (the smallest set that is
+not too small for it). Every set is first verified against the leader that most of its keys name; the components of the verified links
+leave only keys whose members lie in different components. Their members are compared pair by pair in ``groups.pairs_in_groups``, which deals
+a hot key into pairs of tiles, and a pair goes on only if its parity sketches allow the similarity: each set sets bit h of a sketch if
+an odd number of its shingles hash to h, so two sketches differ in at most as many bits as the sets differ in shingles. The sets of
+the pairs left are sent to their first end in a second shuffle, a set once for each pair at most; ends with many pairs are salted.
 
 Defined results: words are those of ``simhash``; a text with fewer words than a shingle is one shingle, one without words an empty
-set, and empty sets equal each other. A set does not count repeats. Equal sets are told by a 64-bit digest.
+set, and empty sets equal each other. A set does not count repeats. Equal sets are told by a 64-bit digest. Null ids stay null;
+``tag`` tells rows apart. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,18 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm import simhash
 from tabulon.llm.graph import components
+from tabulon.llm.groups import pairs_in_groups
 from tabulon.llm.shared import ship, small_batches, text_slices, written
 
 WORDS = 5
 LEAST = 0.8
 SAMPLE = 10_000  # texts, chosen by hash, whose frequent shingles come last in the order
 FREQUENT = 200_000  # shingles at most that are sent to the workers
+SKETCH_WORDS = 16  # 64-bit words of a parity sketch
+GROUP = 4_096  # keys with more sets are dealt into tiles
+PAIRS_OF_END = 4_096  # pairs that one task verifies for one set
+BROADCAST_ROWS = 500_000  # rows of two longs that may be broadcast, counted beforehand
 
 
 def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
@@ -53,32 +62,122 @@ def _frequent(texts: DataFrame, words: int) -> np.ndarray:
     return np.array(sorted((r.shingle, r.n) for r in rows), np.int64).reshape(-1, 2)
 
 
+def parity_sketches(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH_WORDS): for each set the bits that an odd number of its shingles (unsigned hashes) hit."""
+    bit = shingles >> np.uint64(64 - 10)
+    out = np.zeros(n * SKETCH_WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * SKETCH_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, SKETCH_WORDS)
+
+
+def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, least: float) -> np.ndarray:
+    """False only where sizes or sketches rule the similarity out."""
+    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    differing = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
+    return (small >= large * least - 1e-9) & (differing <= (size_a + size_b) * (1 - least) / (1 + least) + 1e-9)
+
+
 def _sketched(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, tag, node, size, print, keys): digest and size of each set, its SimHash and its prefix."""
+    """(doc_id, tag, node, size, print, sketch, keys): digest and size of each set, its SimHash, parity sketch and prefix."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words))
+    longs = T.ArrayType(T.LongType())
     schema = T.StructType([texts.schema["doc_id"], texts.schema["tag"], T.StructField("node", T.LongType()),
                            T.StructField("size", T.LongType()), T.StructField("print", T.LongType()),
-                           T.StructField("keys", T.ArrayType(T.LongType()))])
+                           T.StructField("sketch", longs), T.StructField("keys", longs)])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, number = frequent.value[:, 0].copy(), frequent.value[:, 1].copy()
         for batch, part in small_batches(batches):
             shingles, sizes = simhash.shingle_sets(part, words)
-            prints = simhash.majority(np.repeat(np.arange(len(part)), sizes), sizes, lambda here, all_=shingles: all_[here])
+            owner = np.repeat(np.arange(len(part)), sizes)
+            prints = simhash.majority(owner, sizes, lambda here, all_=shingles: all_[here])
             signed, ends = shingles.view(np.int64), np.cumsum(sizes)
             place = np.minimum(np.searchsorted(often, signed), max(0, len(often) - 1))
             rank = np.where(often[place] == signed, number[place], 0) if len(often) else np.zeros(len(signed), np.int64)
             nodes = [xxhash.xxh64_intdigest(shingles[a:b].tobytes(), simhash.SEED) for a, b in zip(ends - sizes, ends)]
-            ordered = signed[np.lexsort((signed, rank, np.repeat(np.arange(len(part)), sizes)))]
+            ordered = signed[np.lexsort((signed, rank, owner))]
             length = prefix_length(sizes, least)
             keys = [ordered[a:a + k] for a, k in zip((ends - sizes).tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int64()), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], schema.names)
+                 pa.array(sizes, pa.int64()), pa.array(prints.view(np.int64)),
+                 pa.array(list(parity_sketches(shingles, owner, len(part)).view(np.int64)), pa.list_(pa.int64())),
+                 pa.array(keys, pa.list_(pa.int64()))], schema.names)
 
     return texts.select("doc_id", "tag", "text").mapInArrow(sketch, schema)
 
 
+def _shared_keys(keyed: DataFrame, least: float) -> DataFrame:
+    """(key, node, size, leader): the keys that several sets have. The leader is null for a set that leads."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = leader = leads = None  # the last row's key, its leader and the leader's size
+        waiting: tuple | None = None  # a key's first row, which goes out when a second one comes
+
+        for batch in batches:
+            keys, sizes, nodes = (batch.column(c).to_numpy() for c in ("key", "size", "node"))
+            if not len(keys):
+                continue
+            before = np.append(keys[0] if key is None else key, keys[:-1]) == keys
+            before[0] = key is not None and key == keys[0]
+            after = np.append(keys[:-1] == keys[1:], True)  # the last row may have a follower in the next batch
+            out: list[tuple] = []
+            for i in np.flatnonzero(before | after).tolist():
+                k, s, n = int(keys[i]), int(sizes[i]), int(nodes[i])
+                if not before[i]:
+                    waiting, leader, leads = (k, n, s, None), n, s
+                    continue
+                if waiting is not None:
+                    out.append(waiting)
+                    waiting = None
+                if leads >= s * least - 1e-9:
+                    out.append((k, n, s, leader))
+                else:
+                    leader, leads = n, s
+                    out.append((k, n, s, None))
+            key = keys[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["key", "node", "size", "leader"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(
+        shared, "key long, node long, size long, leader long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the stored pairs (a, b) of nodes whose sets are similar."""
+    of_a, of_b = (pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")) for end in ("a", "b"))
+    salts = F.ceil(F.col("n") / PAIRS_OF_END)
+    zero = F.lit(0).cast("long")
+    salted = pairs.join(of_a, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("salt"))
+    firsts = of_a.select(F.col("a").alias("node"), "a", F.explode(F.sequence(zero, salts - 1)).alias("salt"), F.lit(0).alias("role"), zero.alias("part"))
+    seconds = salted.join(of_b, "b").select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role"), F.pmod(F.xxhash64("a"), salts).alias("part"))
+    # Where each set is wanted; one wanted very often is computed anew for every few thousand places.
+    places = firsts.unionByName(seconds).groupBy("node", "part").agg(F.collect_list(F.struct("a", "salt", "role")).alias("places")).drop("part")
+    wanted = written(nodes.select("node", "tag").join(places, "node"))
+    few = wanted.agg(F.count(F.lit(1)), F.sum(F.size("places"))).first()
+    small = max(few[0], few[1] or 0) <= BROADCAST_ROWS
+    sets = texts.join(F.broadcast(wanted) if small else wanted, "tag").select("node", _set_of(words)("text").alias("shingles"), "places")
+    sent = sets.select(F.explode("places").alias("p"), "node", "shingles").select("p.*", "node", "shingles")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.int64)
+        for batch in batches:
+            found = []
+            ends, roles, others = (batch.column(c).to_pylist() for c in ("a", "role", "node"))
+            lists = batch.column("shingles")
+            for i, (a, role, b) in enumerate(zip(ends, roles, others)):
+                shingles = lists[i].values.to_numpy()
+                if not role:
+                    own = shingles
+                    continue
+                common = len(np.intersect1d(own, shingles, assume_unique=True))
+                either = len(own) + len(shingles) - common
+                if not either or common / either >= least:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 2)], ["a", "b"])
+
+    return written(sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compared, "a long, b long"))
+
+
 def _set_of(words: int):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -92,21 +191,6 @@ def _set_of(words: int):
     return shingles
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(ends, "node").select("node", "tag"))
-    sets = written(texts.join(wanted, "tag").select("node", _set_of(words)("text").alias("shingles")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return written(both.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"))
-
-
-def _fits(a: Column, b: Column, least: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
-
-
 def _close_copies(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes with SimHashes that are equal or linked."""
     one = written(nodes.groupBy("print").agg(F.min("node").alias("node")))
@@ -126,24 +210,53 @@ def near_duplicates(docs: DataFrame, tag_col: str, id_col: str = "doc_id", text_
     rows = written(_sketched(texts, words, least))
     first = F.min(F.struct("tag", "size", "print")).alias("first")  # equal sets have equal sizes and SimHashes
     nodes = written(rows.groupBy("node").agg(first).select("node", "first.*"))
-    keyed = nodes.select("node", "tag").join(rows.select("tag", "size", F.explode("keys").alias("key")), "tag").drop("tag")
-    group = Window.partitionBy("key")
-    shared = written(keyed.withColumns({"n": F.count(F.lit(1)).over(group), "low": F.min(F.struct("node", "size")).over(group)})
-                     .where("n > 1").drop("n"))
-    to_lowest = shared.where((F.col("node") != F.col("low.node")) & _fits(F.col("size"), F.col("low.size"), least)).select(
-        F.col("low.node").alias("a"), F.col("node").alias("b"))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = written(to_lowest.unionByName(_close_copies(nodes)).where("a <> b").select(*ordered).distinct())
+    keyed = rows.join(nodes.select("tag"), "tag", "left_semi").select("node", "size", F.explode("keys").alias("key"))
+    shared = written(_shared_keys(keyed, least))
+
+    leaders = shared.where(F.col("leader").isNotNull()).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    best = leaders.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("best")).select(
+        F.col("best.leader").alias("a"), F.col("node").alias("b"))
+    # The end that many pairs may share, a leader, comes first.
+    tested = written(best.unionByName(_close_copies(nodes)).where("a <> b").groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(
+        F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
     found = _verified(tested, texts, nodes, words, least)
 
-    known = written(components(found))
-    placed = shared.drop("low").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed.withColumns({"lowest": F.min("root").over(group), "highest": F.max("root").over(group)})
-                     .where("lowest <> highest").select("key", "node", "size", "root"))
-    other = placed.withColumnsRenamed({"node": "b", "size": "size_b", "root": "root_b"})
-    apart = placed.withColumnRenamed("node", "a").join(other, "key").where(
-        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _fits(F.col("size"), F.col("size_b"), least))
-    rest = written(apart.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    root = written(components(found))
+    placed = written(shared.drop("leader").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    placed = placed.join(mixed, "key", "left_semi")
+    sketches = rows.join(nodes.select("tag"), "tag", "left_semi").select("node", "sketch")
+    wanted = placed.join(sketches, "node")
+
+    def compared(keys: np.ndarray, part: pa.Table, sides: np.ndarray | None) -> dict[str, np.ndarray]:
+        return _similar_pairs(keys, part, sides, least)
+
+    apart = pairs_in_groups(wanted, "key", "node", T.StructType.fromDDL("a long, b long"), compared, limit=GROUP)
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(apart.distinct().join(known, ["a", "b"], "left_anti"))
     found = found.unionByName(_verified(rest, texts, nodes, words, least))
     root = written(components(found))
     return rows.join(root, "node", "left").select("doc_id", "tag", F.coalesce("root", "node").alias("component"))
+
+
+def _similar_pairs(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None, least: float) -> dict[str, np.ndarray]:
+    """Pairs a < b with one key, of different components and sides, that may be similar."""
+    node, size, root = (rows.column(c).to_numpy() for c in ("node", "size", "root"))
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SKETCH_WORDS)
+    pairs = [np.zeros((0, 2), np.int64)]
+    opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    for start, end in zip(opens.tolist(), [*opens[1:].tolist(), len(keys)]):
+        order = start + np.argsort(size[start:end], kind="stable")
+        own = size[order]
+        # A row is compared with the rows behind it that are not too large for it.
+        reach = np.searchsorted(own, own / least + 1e-9, side="right")
+        for i in range(len(order) - 1):
+            here, there = order[i], order[i + 1:reach[i]]
+            there = there[root[there] != root[here]]
+            if sides is not None:
+                there = there[sides[there] != sides[here]]
+            if len(there):
+                there = there[may_be_similar(size[here], size[there], sketch[here], sketch[there], least)]
+                pairs.append(np.stack([np.minimum(node[here], node[there]), np.maximum(node[here], node[there])], axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return {"a": found[:, 0], "b": found[:, 1]}

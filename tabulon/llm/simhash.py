@@ -9,7 +9,7 @@ distinct ones are shuffled by key, and each key's fingerprints are compared exac
 
 Inside a key only a spanning set of the links is kept, one per fingerprint, so a large group of copies gives as many rows as it has
 members. A key holds distinct fingerprints of eight bytes each that are near one of 2^24 pairs of codewords: copies of one text do not
-add to it. Links become components by ``graph.components``.
+add to it; a key with more than GROUP of them is dealt into pairs of tiles. Links become components by ``graph.components``.
 
 Defined results: words are the runs without ASCII white space after lower-casing A-Z, shingles are four words, repeats
 included; fewer words are one shingle; a text without words, or null, has fingerprint zero and is linked like any other. The
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.graph import components, local_roots
+from tabulon.llm.groups import pairs_in_groups
 from tabulon.llm.shared import ship, text_slices, written
 
 SHINGLE_WORDS = 4
@@ -45,6 +46,7 @@ MOST_KEYS = 6
 
 PAIRWISE = 64  # keys with at most so many fingerprints are compared by shifts, all keys of a batch at once
 MATRIX = 2048  # larger keys go by breadth-first search instead of a matrix
+GROUP = 8192  # keys with more fingerprints are dealt into tiles
 
 
 def _shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, Callable[[slice], np.ndarray]]:
@@ -203,6 +205,22 @@ def _links_of_groups(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[n
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def _links_of_sides(keys: np.ndarray, prints: np.ndarray, sides: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each run of equal keys, between fingerprints of different sides; at most one per fingerprint."""
+    found = [(prints[:0], prints[:0])]
+    opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    for start, end in zip(opens.tolist(), [*opens[1:].tolist(), len(keys)]):
+        own, low = prints[start:end], sides[start:end] == sides[start:end].min()
+        first, second = np.flatnonzero(low), np.flatnonzero(~low)
+        for at in range(0, len(first), MATRIX):
+            part = first[at:at + MATRIX]
+            i, j = np.nonzero(_distance(own[part][:, None], own[second][None, :]) <= most)
+            root = local_roots(len(own), part[i], second[j])
+            moved = np.flatnonzero(root != np.arange(len(own)))
+            found.append((own[moved], own[root[moved]]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def links(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
     """(a, b): links that span all pairs of a table of distinct fingerprints (long column ``print``) at most ``most`` bits apart."""
     if most > MAX_DISTANCE:
@@ -216,31 +234,14 @@ def links(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
                 row, key = fuzzy_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(part[row])], ["key", "print"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints_ = [], []
+    def compared(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None) -> dict[str, np.ndarray]:
+        own = rows.column("print").to_numpy().view(np.uint64)
+        a, b = _links_of_groups(keys, own, most) if sides is None else _links_of_sides(keys, own, sides, most)
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
+        return {"a": pairs[:, 0], "b": pairs[:, 1]}
 
-        def out(k: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-            a, b = _links_of_groups(k, p, most)
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        for batch in batches:
-            k, p = batch.column("key").to_numpy(), batch.column("print").to_numpy().view(np.uint64)
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            if last == 0 and keys and keys[-1][-1] == k[0]:
-                keys.append(k)
-                prints_.append(p)
-                continue
-            done_k, done_p = [*keys, k[:last]], [*prints_, p[:last]]
-            keys, prints_ = [k[last:]], [p[last:]]
-            yield out(np.concatenate(done_k), np.concatenate(done_p))
-        if keys:
-            yield out(np.concatenate(keys), np.concatenate(prints_))
-
-    pairs = prints.select("print").mapInArrow(keyed, "key int, print long").repartition("key").sortWithinPartitions("key", "print")
-    return pairs.mapInArrow(compared, "a long, b long")
+    keys = prints.select("print").mapInArrow(keyed, "key int, print long")
+    return pairs_in_groups(keys, "key", "print", T.StructType.fromDDL("a long, b long"), compared, limit=GROUP)
 
 
 def fingerprint(spark: SparkSession):

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from tabulon.llm import preference, simhash, vector_dedup
+from tabulon.llm import groups, near_texts, preference, simhash, vector_dedup
 from tabulon.llm.exact_dedup import DigestIndex
 from tabulon.llm.graph import components, local_roots
 
@@ -97,7 +98,33 @@ def test_near_duplicates(spark):
     assert {r.component_id for r in null} == {None}
 
 
-def test_near_dedup_stage_finds_all_similar_texts(spark, sf, tmp_path):
+def similar_components(texts):
+    """Component of each text by five-word shingles and a Jaccard similarity of at least 0.8, by comparing all pairs."""
+    sets = []
+    for text in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append(frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))))
+    holders = {}
+    for i, own in enumerate(sets):
+        for shingle in own:
+            holders.setdefault(shingle, []).append(i)
+    pairs = set()
+    for i, own in enumerate(sets):
+        others = {j for shingle in own for j in holders[shingle] if j < i}
+        pairs |= {(i, j) for j in others if len(own & sets[j]) >= 0.8 * len(own | sets[j])}
+    return joined(len(texts), pairs)
+
+
+def kept_by_stage(spark, sf, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(folder)
+    return sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, spark.read.parquet(folder), sf).collect())
+
+
+@pytest.mark.parametrize("group", [3, 4096])
+def test_near_dedup_stage_finds_all_similar_texts(spark, sf, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(near_texts, "GROUP", group)
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(near_texts, "PAIRS_OF_END", group)
     rng = random.Random(7)
     texts = [None, "", " \n", "One two", "one TWO", "one two three", "all rights reserved by the owner of these words"]
     for _ in range(60):
@@ -108,16 +135,57 @@ def test_near_dedup_stage_finds_all_similar_texts(spark, sf, tmp_path):
             for _ in range(rng.randint(1, max(1, len(words) // 40))):
                 words[rng.randrange(len(words))] = f"new{rng.randrange(1000)}"
             texts.append(" ".join(words))
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
-    sets = []
-    for text in texts:
-        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    expected = joined(len(texts), pairs)
-    assert 20 < len({i for p in pairs for i in p}) and len(set(expected)) > 40
-    kept = corpus_pipeline.simhash_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), sf).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(expected))
+    texts.append(" ".join(f"long{rng.randrange(5000)}" for _ in range(20_000)))
+    texts.append(texts[-1] + " and a tail")
+    expected = similar_components(texts)
+    assert len(set(expected)) > 40 and len(texts) - len(set(expected)) > 20
+    assert kept_by_stage(spark, sf, str(tmp_path / "docs"), texts) == sorted(set(expected))
+
+
+def test_near_dedup_stage_with_a_hot_paragraph(spark, sf, tmp_path, monkeypatch):
+    """Three thousand texts share one paragraph, most of them little else; no two of them are similar but for the copies."""
+    monkeypatch.setattr(near_texts, "GROUP", 500)
+    rng = random.Random(11)
+    paragraph = " ".join(f"clause{i}" for i in range(60))
+    texts = []
+    for i in range(3000):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30 if i % 3 else 12))
+        texts.append(f"{own} {paragraph}" if i % 2 else f"{paragraph} {own}")
+    texts += [f"{t} end" for t in texts[:200:2]]
+    # Comparing all pairs of a part; the rest is built the same way.
+    part = texts[:300] + texts[3000:]
+    assert sorted(set(similar_components(part))) == list(range(300))
+    assert kept_by_stage(spark, sf, str(tmp_path / "docs"), texts) == list(range(3000))
+
+
+def test_pairs_in_groups_of_any_size(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 5, rng.randrange(40)]), i) for i in range(150)]
+    frame = spark.createDataFrame([(k, i, "x") for k, i in rows], "k long, id long, n string").repartition(5)
+
+    def compare(keys, table, sides):
+        ids = table.column("id").to_numpy()
+        found = [(ids[a], ids[b]) for a in range(len(ids)) for b in range(len(ids)) if ids[a] < ids[b] and keys[a] == keys[b]
+                 and (sides is None or sides[a] != sides[b])]
+        return {"a": np.array([a for a, _ in found], np.int64), "b": np.array([b for _, b in found], np.int64)}
+
+    expected = sorted((i, j) for k, i in rows for m, j in rows if k == m and i < j)
+    for limit in (5, 40):
+        out = groups.pairs_in_groups(frame, "k", "id", T.StructType.fromDDL("a long, b long"), compare, limit)
+        assert sorted((r.a, r.b) for r in out.collect()) == expected
+    assert groups.pairs_in_groups(frame.limit(0), "k", "id", T.StructType.fromDDL("a long, b long"), compare, 5).count() == 0
+
+
+def test_parity_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 50, 500, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        for cut in {0, n // 20, n // 10, n // 9}:
+            other = np.concatenate([base[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)])
+            both = np.concatenate([base, other])
+            sketch = near_texts.parity_sketches(both, np.repeat([0, 1], [n, len(other)]), 2)
+            similar = (n - cut) / (n + cut) >= 0.8
+            assert not similar or near_texts.may_be_similar(np.array(n), np.array([len(other)]), sketch[0], sketch[1:], 0.8)[0]
 
 
 def brute_vectors(rows, threshold):
@@ -229,7 +297,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
             normal = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
             assert docs.count() == before.select(normal).distinct().count()
         if name == "SimHash near-dedup":
-            assert docs.count() == simhash.near_duplicates(before, id_col="doc_id").select("component_id").distinct().count()
+            assert docs.count() == len(set(similar_components([r.text for r in before.collect()])))
     assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
