@@ -8,9 +8,9 @@ are rare ones; the order decides how many pairs are compared, not which are foun
 Keys are shuffled once. Only those that several sets share go on, each member with a leader of its key (the smallest set that is
 not too small for it). Every set is first verified against the leader that most of its keys name; the components of the verified links
 leave only keys whose members lie in different components. Their members are compared pair by pair in ``groups.pairs_in_groups``, which deals
-a hot key into pairs of tiles, and a pair goes on only if its parity sketches allow the similarity: each set sets bit h of a sketch if
-an odd number of its shingles hash to h, so two sketches differ in at most as many bits as the sets differ in shingles. The sets of
-the pairs left are sent to their first end in a second shuffle, a set once for each pair at most; ends with many pairs are salted.
+a hot key into pairs of tiles, and a pair goes on only if its parity sketches allow the similarity: bit h of a sketch is set if an odd
+number of the set's shingles hash to h, so two sketches differ in at most as many bits as the sets differ in shingles. The texts of the
+pairs left meet at their first end, each once for a pair at most; ends with many pairs are salted.
 
 Defined results: words are those of ``simhash``; a text with fewer words than a shingle is one shingle, one without words an empty
 set, and empty sets equal each other. A set does not count repeats. Equal sets are told by a 64-bit digest. Null ids stay null;
@@ -32,13 +32,12 @@ from pyspark.sql import types as T
 from tabulon.llm import simhash
 from tabulon.llm.graph import components
 from tabulon.llm.groups import pairs_in_groups
-from tabulon.llm.shared import ship, small_batches, text_slices, written
+from tabulon.llm.shared import ship, small_batches, written
 
 WORDS = 5
 LEAST = 0.8
 SAMPLE = 10_000  # texts, chosen by hash, whose frequent shingles come last in the order
 FREQUENT = 200_000  # shingles at most that are sent to the workers
-SKETCH_WORDS = 16  # 64-bit words of a parity sketch
 GROUP = 4_096  # keys with more sets are dealt into tiles
 PAIRS_OF_END = 4_096  # pairs that one task verifies for one set
 BROADCAST_ROWS = 500_000  # rows of two longs that may be broadcast, counted beforehand
@@ -62,19 +61,51 @@ def _frequent(texts: DataFrame, words: int) -> np.ndarray:
     return np.array(sorted((r.shingle, r.n) for r in rows), np.int64).reshape(-1, 2)
 
 
-def parity_sketches(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, SKETCH_WORDS): for each set the bits that an odd number of its shingles (unsigned hashes) hit."""
-    bit = shingles >> np.uint64(64 - 10)
-    out = np.zeros(n * SKETCH_WORDS, np.uint64)
-    np.bitwise_xor.at(out, owner * SKETCH_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out.reshape(n, SKETCH_WORDS)
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of each set's sketch: a power of two with at least two bits for each shingle."""
+    return np.maximum(4, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 32)).clip(0).astype(np.int64))
 
 
-def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, least: float) -> np.ndarray:
-    """False only where sizes or sketches rule the similarity out."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    differing = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
-    return (small >= large * least - 1e-9) & (differing <= (size_a + size_b) * (1 - least) / (1 + least) + 1e-9)
+def parity_sketches(shingles: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each set the bits that an odd number of its shingles (unsigned hashes) hit."""
+    words = sketch_words(sizes)
+    ends = np.cumsum(words)
+    bit = shingles & np.repeat(words * 64 - 1, sizes).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, np.repeat(ends - words, sizes) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return np.split(out, ends[:-1])
+
+
+class Sketches:
+    """Sketches of many sets, compared in matrices; a longer one is folded to the length of a shorter one, which keeps the bound."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.words = np.array([len(s) for s in sketches])
+        self.places: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        lengths = sorted(set(self.words.tolist()))
+        for length in lengths:
+            near = np.flatnonzero((self.words == length) | (self.words == 2 * length))
+            self.places[length] = np.full(len(sketches), -1)
+            self.places[length][near] = np.arange(len(near))
+            self.rows[length] = np.stack([s if len(s) == length else s[:length] ^ s[length:] for s in (sketches[i] for i in near.tolist())])
+
+    def differing(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Differing bits, a lower bound of the shingles that only one of the two sets has; sketches of very different lengths count as 0."""
+        out = np.zeros(len(others), np.int64)
+        shared = np.minimum(self.words[one], self.words[others])
+        for length in set(shared.tolist()):
+            own, here = self.places[length][one], np.flatnonzero(shared == length)
+            place = self.places[length][others[here]]
+            here, place = here[place >= 0], place[place >= 0]
+            if own >= 0 and len(here):
+                out[here] = np.bitwise_count(self.rows[length][place] ^ self.rows[length][own]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def most_differing(size_a: np.ndarray, size_b: np.ndarray, least: float) -> np.ndarray:
+    """Shingles that only one of two similar sets has, at most."""
+    return (size_a + size_b) * (1 - least) / (1 + least) + 1e-9
 
 
 def _sketched(texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -83,7 +114,7 @@ def _sketched(texts: DataFrame, words: int, least: float) -> DataFrame:
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([texts.schema["doc_id"], texts.schema["tag"], T.StructField("node", T.LongType()),
                            T.StructField("size", T.LongType()), T.StructField("print", T.LongType()),
-                           T.StructField("sketch", longs), T.StructField("keys", longs)])
+                           T.StructField("sketch", T.BinaryType()), T.StructField("keys", longs)])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, number = frequent.value[:, 0].copy(), frequent.value[:, 1].copy()
@@ -101,7 +132,7 @@ def _sketched(texts: DataFrame, words: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
                  pa.array(sizes, pa.int64()), pa.array(prints.view(np.int64)),
-                 pa.array(list(parity_sketches(shingles, owner, len(part)).view(np.int64)), pa.list_(pa.int64())),
+                 pa.array([x.tobytes() for x in parity_sketches(shingles, sizes)], pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], schema.names)
 
     return texts.select("doc_id", "tag", "text").mapInArrow(sketch, schema)
@@ -155,42 +186,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     wanted = written(nodes.select("node", "tag").join(places, "node"))
     few = wanted.agg(F.count(F.lit(1)), F.sum(F.size("places"))).first()
     small = max(few[0], few[1] or 0) <= BROADCAST_ROWS
-    sets = texts.join(F.broadcast(wanted) if small else wanted, "tag").select("node", _set_of(words)("text").alias("shingles"), "places")
-    sent = sets.select(F.explode("places").alias("p"), "node", "shingles").select("p.*", "node", "shingles")
+    sent = texts.join(F.broadcast(wanted) if small else wanted, "tag").select(F.explode("places").alias("p"), "node", "text").select("p.*", "node", "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.int64)
-        for batch in batches:
+        own = np.zeros(0, np.uint64)
+        for batch, part in small_batches(batches):
+            shingles, sizes = simhash.shingle_sets(part, words)
             found = []
-            ends, roles, others = (batch.column(c).to_pylist() for c in ("a", "role", "node"))
-            lists = batch.column("shingles")
-            for i, (a, role, b) in enumerate(zip(ends, roles, others)):
-                shingles = lists[i].values.to_numpy()
+            for a, role, b, some in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "node")), np.split(shingles, np.cumsum(sizes)[:-1])):
                 if not role:
-                    own = shingles
+                    own = some
                     continue
-                common = len(np.intersect1d(own, shingles, assume_unique=True))
-                either = len(own) + len(shingles) - common
+                common = len(np.intersect1d(own, some, assume_unique=True))
+                either = len(own) + len(some) - common
                 if not either or common / either >= least:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 2)], ["a", "b"])
 
+    # Texts travel, not sets of hashes: these are several times as long, and no shuffle can compress them.
     return written(sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compared, "a long, b long"))
 
 
-def _set_of(words: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts, out = [t or "" for t in batch.to_pylist()], []
-            for a, b in text_slices(texts):
-                found, sizes = simhash.shingle_sets(texts[a:b], words)
-                out += np.split(found.view(np.int64), np.cumsum(sizes)[:-1])
-            yield pa.array(out, pa.list_(pa.int64()))
-
-    return shingles
-
-
 def _close_copies(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes with SimHashes that are equal or linked."""
     one = written(nodes.groupBy("print").agg(F.min("node").alias("node")))
@@ -242,7 +258,7 @@ def near_duplicates(docs: DataFrame, tag_col: str, id_col: str = "doc_id", text_
 def _similar_pairs(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None, least: float) -> dict[str, np.ndarray]:
     """Pairs a < b with one key, of different components and sides, that may be similar."""
     node, size, root = (rows.column(c).to_numpy() for c in ("node", "size", "root"))
-    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SKETCH_WORDS)
+    sketches = Sketches([np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()])
     pairs = [np.zeros((0, 2), np.int64)]
     opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     for start, end in zip(opens.tolist(), [*opens[1:].tolist(), len(keys)]):
@@ -256,7 +272,7 @@ def _similar_pairs(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None, l
             if sides is not None:
                 there = there[sides[there] != sides[here]]
             if len(there):
-                there = there[may_be_similar(size[here], size[there], sketch[here], sketch[there], least)]
+                there = there[sketches.differing(here, there) <= most_differing(size[here], size[there], least)]
                 pairs.append(np.stack([np.minimum(node[here], node[there]), np.maximum(node[here], node[there])], axis=1))
     found = np.unique(np.concatenate(pairs), axis=0)
     return {"a": found[:, 0], "b": found[:, 1]}

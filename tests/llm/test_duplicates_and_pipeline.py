@@ -183,9 +183,17 @@ def test_parity_sketches_never_rule_out_similar_sets():
         for cut in {0, n // 20, n // 10, n // 9}:
             other = np.concatenate([base[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)])
             both = np.concatenate([base, other])
-            sketch = near_texts.parity_sketches(both, np.repeat([0, 1], [n, len(other)]), 2)
-            similar = (n - cut) / (n + cut) >= 0.8
-            assert not similar or near_texts.may_be_similar(np.array(n), np.array([len(other)]), sketch[0], sketch[1:], 0.8)[0]
+            sketches = near_texts.Sketches(near_texts.parity_sketches(both, np.array([n, len(other), n])[:2]))
+            assert sketches.differing(0, np.array([1]))[0] <= 2 * cut
+
+
+def test_sketches_of_different_lengths_fold():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 140, dtype=np.uint64)
+    parts, sizes = [base, base[:120], base[:20]], np.array([140, 120, 20])
+    sketches = near_texts.Sketches(near_texts.parity_sketches(np.concatenate(parts), sizes))
+    assert sketches.words.tolist() == [8, 4, 4]
+    assert 0 < sketches.differing(0, np.array([1]))[0] <= 20 and 60 < sketches.differing(1, np.array([2]))[0] <= 100
 
 
 def brute_vectors(rows, threshold):
