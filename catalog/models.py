@@ -159,19 +159,19 @@ def _preprocess(spark, sf):
 @query("ml_regression_metrics")
 def _ml_regression(spark, sf):
     df = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
-    return automl.ml_regression(df, "l_extendedprice", max_depth=8).metrics()
+    return automl.ml_regression(df, "l_extendedprice").metrics()
 
 
 @query("ml_classification_metrics")
 def _ml_classification(spark, sf):
     df = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
-    return automl.ml_classification(df, "c_mktsegment", max_depth=8).metrics()
+    return automl.ml_classification(df, "c_mktsegment").metrics()
 
 
 @query("ml_confusion")
 def _ml_confusion(spark, sf):
     df = table(spark, sf, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
-    return automl.ml_classification(df, "c_mktsegment", max_depth=8).confusion()
+    return automl.ml_classification(df, "c_mktsegment").confusion()
 
 
 @query("confusion_matrix", """

@@ -13,6 +13,17 @@ def small_frame(spark: SparkSession, rows: Iterable[tuple], schema: str) -> Data
     return spark.createDataFrame(list(rows), schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of the table is called so; for columns that exist only inside a plan."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def explode_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
     """One row per struct expression: turns a one-row wide aggregate into a long table."""
     return df.select(F.inline(F.array(*structs)))

@@ -2,41 +2,71 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, is_numeric, to_numeric
-from tabulon.functions.frames import spread
-from tabulon.operators.actions import most_frequent
+from tabulon.functions.frames import spread, unused
+from tabulon.operators.forest import NODE_ROWS, fit_forest, stored_blocks
 from tabulon.operators.multivariate import KMeansFit
-from tabulon.operators.ranking import text_codes
+from tabulon.operators.ranking import text_positions
+from tabulon.sources.writers import stored
 
 MAX_CLASSES = 20
 
 
+# Columns with at most so many texts get their codes from a literal map, the others from a join.
+MAP_LEVELS = 1_000
+
+
 def preprocess(df: DataFrame) -> DataFrame:
     """Every column as a double: numbers with missing cells set to the mean, other values (as text, missing
-    cells set to the most frequent) as their position among the sorted distinct values."""
+    cells set to the most frequent, the smallest of equals) as their position among the sorted distinct values.
+
+    All texts are counted in one reading of the table, as one dictionary of (column, text); it gives the most frequent text of each column and,
+    ranked once, all positions. Columns of few texts are coded by literal maps. The cells of all others meet the dictionary in one join,
+    unpivoted, and are brought together again by row.
+    """
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     others = [c for c in df.columns if c not in numbers]
     means = df.agg(*[F.avg(to_numeric(df, c)).alias(f"m{i}") for i, c in enumerate(numbers)]).first() if numbers else ()
-    modes = most_frequent(df, others)
-    filled = df.select(
-        *[F.coalesce(to_numeric(df, c), F.lit(m).cast("double")).alias(c) for c, m in zip(numbers, means)],
-        *[F.coalesce(col(c).cast("string"), F.lit(modes.get(c, "")).cast(df.schema[c].dataType).cast("string")).alias(c)
-          for c in others])
-    for c in others:
-        codes = text_codes(filled, c).select(col(c).alias("_text"), F.col("code").cast("double").alias("_code"))
-        # A label shared by many rows is split by adaptive execution; small code tables are broadcast by size.
-        filled = filled.join(codes, col(c) == F.col("_text")).drop("_text").withColumn(c, F.col("_code")).drop("_code")
-    return filled.select(*[col(c) for c in df.columns])
+    place = {c: i for i, c in enumerate(df.columns)}
+    plain = {c: F.coalesce(to_numeric(df, c), F.lit(m).cast("double")).alias(f"x{place[c]}") for c, m in zip(numbers, means)}
+    if not others:
+        return df.select(*[plain[c].alias(c) for c in df.columns])
+
+    texts = {c: col(c).cast("string") for c in others}
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(place[c]).alias("i"), texts[c].alias("v")) for c in others])))
+    dictionary = stored(cells.where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count("*").alias("n")))
+    facts = {r.i: r for r in dictionary.groupBy("i").agg(
+        F.count("*").alias("levels"), F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("top")).collect()}
+    # A column without any value is all of one, empty, text.
+    filled = {c: F.coalesce(texts[c], F.lit(facts[place[c]].top.v)) if place[c] in facts else F.lit("") for c in others}
+    few = [c for c in others if place[c] in facts and facts[place[c]].levels <= MAP_LEVELS]
+    many = [c for c in others if place[c] in facts and facts[place[c]].levels > MAP_LEVELS]
+    plain |= {c: F.lit(0.0).alias(f"x{place[c]}") for c in others if place[c] not in facts}
+    listed: dict[int, list[str]] = {}
+    if few:
+        for r in dictionary.where(F.col("i").isin([place[c] for c in few])).select("i", "v").collect():  # at most MAP_LEVELS per column
+            listed.setdefault(r.i, []).append(r.v)
+    for c in few:
+        levels = sorted(listed[place[c]], key=lambda v: v.encode())  # as Spark orders texts
+        codes = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(float(i)))])
+        plain[c] = codes[filled[c]].alias(f"x{place[c]}")
+    if not many:
+        return df.select(*[plain[c].alias(c) for c in df.columns])
+
+    codes = text_positions(dictionary.where(F.col("i").isin([place[c] for c in many])))
+    # The rows are stored with their numbers, since two readings may number them differently.
+    rows = stored(df.select(F.monotonically_increasing_id().alias("row"), *plain.values(), *[filled[c].alias(f"t{place[c]}") for c in many]))
+    unpivoted = rows.select("row", F.inline(F.array(*[F.struct(F.lit(place[c]).alias("i"), F.col(f"t{place[c]}").alias("v")) for c in many])))
+    coded = unpivoted.join(codes, ["i", "v"]).groupBy("row").agg(
+        *[F.max(F.when(F.col("i") == place[c], F.col("code").cast("double"))).alias(f"x{place[c]}") for c in many])
+    return rows.join(coded, "row").select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def _split(df: DataFrame, key: Sequence[str], seed: int, test_tenths: int) -> tuple[DataFrame, DataFrame]:
@@ -46,10 +76,10 @@ def _split(df: DataFrame, key: Sequence[str], seed: int, test_tenths: int) -> tu
 
 
 class ForestRun:
-    """A random forest fitted on 80 % of the prepared rows and applied to the rest."""
+    """A random forest fitted on 80 % of the prepared rows and applied to the rest. Its trees end in pure leaves, whatever their depth."""
 
     def __init__(self, df: DataFrame, target: str, task: str, *, key: Sequence[str] | None, seed: int,
-                 num_trees: int, max_depth: int):
+                 num_trees: int, max_classes: int = MAX_CLASSES, node_rows: int = NODE_ROWS):
         if target not in df.columns:
             raise AnalysisError("missing_target", target)
         self.target, self._spark = target, df.sparkSession
@@ -59,35 +89,38 @@ class ForestRun:
             raise AnalysisError("missing_x")
         self.class_names: dict[float, str] = {}
         if task == "classification":
-            levels = [r[0] for r in prepared.select(col(target)).distinct().limit(MAX_CLASSES + 1).collect()]
-            if len(levels) > MAX_CLASSES:
-                raise AnalysisError("too_many_classes", f"{target} has more than {MAX_CLASSES} values")
-            self.class_names = self._names(df, target, levels)
-        train, test = _split(prepared, key or prepared.columns, seed, 2)
-        assemble = VectorAssembler(inputCols=features, outputCol="_features")
-        label = col(target)
-        if task == "classification":
-            self._order = sorted(self.class_names)
-            pairs = [x for i, v in enumerate(self._order) for x in (F.lit(v), F.lit(float(i)))]
-            label = F.create_map(*pairs)[col(target)]
-        learner = {"regression": RandomForestRegressor, "classification": RandomForestClassifier}[task]
-        data = assemble.transform(train).select(label.alias("_label"), "_features")
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            forest = learner(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth, seed=seed)
-            self.model = forest.fit(spread(data, data.count()))
-        finally:
-            data.unpersist()
-        scored = assemble.transform(test).select(label.alias("_label"), "_features")
-        self.predictions = self.model.transform(scored).select(
-            F.col("_label").alias("label"), F.col("prediction"))
+            levels = [r[0] for r in prepared.select(col(target)).distinct().limit(max_classes + 1).collect()]
+            if len(levels) > max_classes:
+                raise AnalysisError("too_many_classes", f"{target} has more than {max_classes} values")
+            self.class_names = self._names(df, target, levels, max_classes)
+        (label,) = unused(prepared, "label")
+        self._order = sorted(self.class_names)
+        value = col(target)
+        if self._order:
+            value = F.create_map(*[x for i, v in enumerate(self._order) for x in (F.lit(v), F.lit(float(i)))])[value]
+        prepared = prepared.withColumn(label, value)
+        train, test = _split(prepared, key or df.columns, seed, 2)
+        sides = []
+        for side in (train, test):
+            rows = spread(side, side.count())
+            sides.append(stored_blocks(rows, features, label))
+        n = sides[0].agg(F.sum("n")).first()[0] or 0
+        if not n:
+            raise AnalysisError("n_too_small", "no row to learn from")
+        # All columns are tried for numbers, the square root of their number for classes.
+        tried = max(1, math.isqrt(len(features))) if self._order else len(features)
+        self.model = fit_forest(sides[0], len(features), n, trees=num_trees, tried=tried, classes=len(self._order), seed=seed, node_rows=node_rows)
+        scored = self.model.predicted(sides[1])
+        mean = F.col("mean")
+        guess = (F.array_position(mean, F.array_max(mean)) - 1).cast("double") if self._order else mean[0]
+        self.predictions = scored.select("label", guess.alias("prediction"))
 
     @staticmethod
-    def _names(df: DataFrame, target: str, levels: list[float]) -> dict[float, str]:
+    def _names(df: DataFrame, target: str, levels: list[float], max_classes: int) -> dict[float, str]:
         if is_numeric(df.schema[target].dataType):
             return {v: f"{v:g}" for v in levels}
         texts = sorted(r[0] for r in df.where(col(target).isNotNull()).select(
-            col(target).cast("string")).distinct().limit(MAX_CLASSES + 1).collect())
+            col(target).cast("string")).distinct().limit(max_classes + 1).collect())
         return {float(i): t for i, t in enumerate(texts)}
 
 
@@ -115,15 +148,15 @@ class ClassificationRun(ForestRun):
         return confusion_matrix(named, "label", "prediction")
 
 
-def ml_regression(df: DataFrame, target: str, *, key: Sequence[str] | None = None, seed: int = 42,
-                  num_trees: int = 100, max_depth: int = 12) -> RegressionRun:
-    return RegressionRun(df, target, "regression", key=key, seed=seed, num_trees=num_trees, max_depth=max_depth)
+def ml_regression(df: DataFrame, target: str, *, key: Sequence[str] | None = None, seed: int = 42, num_trees: int = 100,
+                  node_rows: int = NODE_ROWS) -> RegressionRun:
+    return RegressionRun(df, target, "regression", key=key, seed=seed, num_trees=num_trees, node_rows=node_rows)
 
 
-def ml_classification(df: DataFrame, target: str, *, key: Sequence[str] | None = None, seed: int = 42,
-                      num_trees: int = 100, max_depth: int = 12) -> ClassificationRun:
-    return ClassificationRun(df, target, "classification", key=key, seed=seed, num_trees=num_trees,
-                             max_depth=max_depth)
+def ml_classification(df: DataFrame, target: str, *, key: Sequence[str] | None = None, seed: int = 42, num_trees: int = 100,
+                      max_classes: int = MAX_CLASSES, node_rows: int = NODE_ROWS) -> ClassificationRun:
+    return ClassificationRun(df, target, "classification", key=key, seed=seed, num_trees=num_trees, max_classes=max_classes,
+                             node_rows=node_rows)
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:

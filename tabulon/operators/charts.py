@@ -11,8 +11,7 @@ from tabulon.errors import AnalysisError
 from tabulon.functions.columns import as_label, col, existing, numeric_columns, numeric_view, to_numeric
 from tabulon.functions.distributions import NORMAL
 from tabulon.functions.frames import explode_structs, small_frame
-from tabulon.operators.actions import MAX_LEVELS
-from tabulon.operators.describe import group_summary
+from tabulon.operators.describe import MAX_LEVELS, group_summary
 from tabulon.operators.multivariate import KMeansFit, PcaFit
 from tabulon.operators.profiling import missing_top
 from tabulon.operators.quantiles import exact_quantiles, group_quantiles

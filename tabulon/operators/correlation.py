@@ -47,37 +47,41 @@ def _pearson(values: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[floa
     return found
 
 
-def with_ranks(values: DataFrame, names: Sequence[str], splits: dict[str, list[float]]) -> DataFrame:
-    """Rank columns ``r0, r1, ...`` of double columns without NULL.
+def _with_ranks(values: DataFrame, columns: list[str], gappy: set[str], splits: dict[str, list[float]]) -> DataFrame:
+    """Rank columns of columns ``x0, x1, ...``: ``x0_all`` among all rows that have x0, ``x0_x1`` among those that have both.
 
-    Rows meet the rank table of each column by value. A value shared by many rows makes one large
-    join partition, which adaptive execution splits; small rank tables are broadcast by their
-    measured size.
+    The ranks inside a pair's complete rows come from the same table of distinct values: next to the number of rows with a value it
+    counts those of them that have each gappy partner, and sums both along. So each column is ranked, and joined, once. Rows meet
+    the table by value; one shared by many rows makes one large join partition, which adaptive execution splits, and rows without a
+    value look for a hash, so that they are spread and find nothing.
     """
     ranked = values
-    for i, name in enumerate(names):
-        table = running_counts(values, name, splits=splits[name]).select(
-            col(name).alias("_value"), mid_rank().alias(f"r{i}"))
-        ranked = ranked.join(table, col(name) == F.col("_value")).drop("_value")
+    for name in columns:
+        partners = [p for p in columns if p in gappy and p != name]
+        has = {p: f"{p}_here" for p in partners}
+        rows = values.select(name, *[F.when(F.col(p).isNotNull(), 1).otherwise(0).alias(h) for p, h in has.items()])
+        counts = running_counts(rows, name, measures=list(has.values()), splits=splits[name])
+        table = counts.select(F.col(name).alias("value"), mid_rank().alias(f"{name}_all"),
+                              *[(F.col(f"{h}_upto") - (F.col(h) - 1) / 2).alias(f"{name}_{p}") for p, h in has.items()])
+        apart = F.xxhash64(*columns).cast("double") + 0.5 if name in gappy else None
+        at = F.col(name) if apart is None else F.coalesce(name, apart)
+        ranked = ranked.join(table, at == F.col("value"), "inner" if apart is None else "left").drop("value")
     return ranked
 
 
 def _spearman(values: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> list[tuple[float | None, int]]:
-    parts = [F.count("*"), *[F.count(col(n)) for n in names]]
-    counts = values.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)]).first()
-    full = [n for i, n in enumerate(names) if counts[i + 1] == counts[0]]
-    splits = value_splits(values, names)  # boundaries of a column fit any part of its rows
-    found: dict[tuple[str, str], tuple[float | None, int]] = {}
-    if len(full) > 1:  # columns without missing cells are ranked once for all of their pairs
-        ranked = with_ranks(values.select(*[col(n) for n in full]), full, splits)
-        ranked = ranked.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(full)])
-        complete = [p for p in pairs if p[0] in full and p[1] in full]
-        found.update(zip(complete, _pearson(ranked, complete)))
-    for a, b in pairs:  # elsewhere the missing cells differ by pair, and so do the ranks
-        if (a, b) not in found:
-            both = values.select(col(a), col(b)).dropna()
-            found[a, b] = _pearson(with_ranks(both, [a, b], splits).select("r0", "r1"), [("r0", "r1")])[0]
-    return [found[p] for p in pairs]
+    short = {c: f"x{i}" for i, c in enumerate(names)}
+    values = values.select(*[col(c).alias(s) for c, s in short.items()])
+    counts = values.agg(F.count("*").alias("n"), *[F.count(s).alias(s) for s in short.values()]).first()
+    gappy = {s for s in short.values() if counts[s] < counts.n}
+    columns = list(short.values())
+    ranked = _with_ranks(values, columns, gappy, value_splits(values, columns))
+    found = []
+    for a, b in ((short[a], short[b]) for a, b in pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        found.append([F.when(both, F.col(f"{x}_{y}" if y in gappy else f"{x}_all")) for x, y in ((a, b), (b, a))])
+    wide = ranked.select(*[c.alias(f"{side}{i}") for i, pair in enumerate(found) for side, c in zip("ab", pair)])
+    return _pearson(wide, [(f"a{i}", f"b{i}") for i in range(len(pairs))])
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import NULL_LABEL, as_label, col, existing, numeric_columns, to_numeric
 from tabulon.functions.frames import explode_structs
-from tabulon.operators.actions import MAX_LEVELS, levels_of
+from tabulon.operators.actions import levels_of
 from tabulon.operators.quantiles import exact_quantiles, group_quantiles
 
+# Columns that a wide cross table may have; the long form has no such limit.
+MAX_LEVELS = 1000
 AGGREGATES = ("mean", "median", "sum", "count")
 
 
 def frequency(df: DataFrame, column: str, *, top_n: int = 30, null_label: str = NULL_LABEL) -> DataFrame:
     """``value, n, pct`` of the most frequent values; missing cells are a value of their own."""
     counts = df.groupBy(as_label(df, column, null_label).alias("value")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()  # over the same shuffle
     return (counts.withColumn("pct", F.round(F.col("n") / total * 100, 2))
             .orderBy(F.desc("n"), "value").limit(top_n))
 
@@ -34,7 +36,7 @@ def crosstab_long(df: DataFrame, row: str, column: str, *, null_label: str | Non
 def crosstab(df: DataFrame, row: str, column: str, *, max_levels: int = MAX_LEVELS) -> DataFrame:
     """One row per row level, one 0-filled count column per column level."""
     pairs = crosstab_long(df, row, column)
-    levels = levels_of(pairs.select("col"), "col", max_levels)
+    (levels,) = levels_of(pairs, ["col"], max_levels)
     return (pairs.groupBy(F.col("row").alias(row)).pivot("col", levels).agg(F.sum("n"))
             .na.fill(0).orderBy(col(row)))
 
@@ -71,13 +73,10 @@ def group_summary(df: DataFrame, group_by: str, metric: str, agg: str = "mean")
     """``group_by, metric``, highest first. An unknown ``agg`` means the mean."""
     if group_by not in df.columns or metric not in df.columns:
         raise AnalysisError("missing_columns")
-    rows = df.select(as_label(df, group_by).alias(group_by), to_numeric(df, metric).alias("_metric"))
+    rows = df.select(as_label(df, group_by).alias("g"), to_numeric(df, metric).alias("y"))
     if agg == "median":
-        middle = group_quantiles(rows, group_by, "_metric", {"_q": 0.5})
-        result = middle.select(col(group_by), F.col("_q").alias(metric))
+        result = group_quantiles(rows, "g", "y", {"result": 0.5})
     else:
-        value = {
-            "sum": F.coalesce(F.sum("_metric"), F.lit(0.0)), "count": F.count("_metric"),
-        }.get(agg, F.avg("_metric"))
-        result = rows.groupBy(col(group_by)).agg(value.alias(metric))
-    return result.orderBy(col(metric).desc_nulls_last(), col(group_by))
+        value = {"sum": F.coalesce(F.sum("y"), F.lit(0.0)), "count": F.count("y")}.get(agg, F.avg("y"))
+        result = rows.groupBy("g").agg(value.alias("result"))
+    return result.orderBy(F.col("result").desc_nulls_last(), "g").select(F.col("g").alias(group_by), F.col("result").alias(metric))

@@ -116,7 +116,7 @@ def trend_contribution(df: DataFrame, dimension: str, value: str, top_n: int = 1
     """``dimension, total, share`` of the largest contributors."""
     v = to_numeric(df, value)
     sums = df.groupBy(as_label(df, dimension, NULL_LABEL).alias("dimension")).agg(F.sum(v).alias("total"))
-    whole = df.agg(F.sum(v)).scalar()
+    whole = sums.agg(F.sum("total")).scalar()  # over the same shuffle
     return (sums.withColumn("share", F.try_divide(F.col("total"), whole))
             .orderBy(F.col("total").desc_nulls_last(), "dimension").limit(top_n))
 

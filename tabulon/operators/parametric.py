@@ -226,41 +226,33 @@ def anova_oneway(df: DataFrame, y: str, group_col: str, *, null_group: str | Non
                        "y string, group string, k long, n long, f double, p double")
 
 
-def _corrected_2x2(cells: dict[tuple[str, str], int]) -> float:
-    """Chi-square of a 2x2 table with Yates' correction, which never moves a count past its expectation."""
-    rows, columns = ({k[i] for k in cells} for i in (0, 1))
-    total = sum(cells.values())
-    chi2 = 0.0
-    for r in rows:
-        for c in columns:
-            expected = (sum(n for k, n in cells.items() if k[0] == r)
-                        * sum(n for k, n in cells.items() if k[1] == c) / total)
-            gap = abs(cells.get((r, c), 0) - expected)
-            chi2 += (gap - min(0.5, gap)) ** 2 / expected
-    return chi2
-
-
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """``row, col, n, chi2, p, dof`` of the cross table, with the continuity correction at one degree of freedom."""
     _need(df, [row, column], "missing_columns")
+    # One job: the sums of rows and columns and their numbers come from the shuffled pairs, the table is read once.
     pairs = crosstab_long(df, row, column)
     row_sums = pairs.groupBy("row").agg(F.sum("n").alias("r"))
     col_sums = pairs.groupBy("col").agg(F.sum("n").alias("c"))
-    total = row_sums.agg(F.count("*").alias("k"), F.sum("r").alias("n")).first()
-    columns = col_sums.count()
-    dof = (total.k - 1) * (columns - 1)
+    total = pairs.agg(F.sum("n")).scalar()
+    expected = F.col("r").cast("double") * F.col("c") / total
+    gap = F.abs(F.col("n") - F.col("e"))
+    s = pairs.join(row_sums, "row").join(col_sums, "col").withColumn("e", expected).agg(
+        F.sum(gap * gap / F.col("e")).alias("chi2"), F.sum("e").alias("seen"), F.count("*").alias("cells"), F.sum("n").alias("n"),
+        F.max(gap).alias("gap"), F.max(row_sums.agg(F.count("*")).scalar()).alias("rows"), F.max(col_sums.agg(F.count("*")).scalar()).alias("columns"),
+        F.max(row_sums.agg(F.sum(1 / F.col("r"))).scalar()).alias("by_row"), F.max(col_sums.agg(F.sum(1 / F.col("c"))).scalar()).alias("by_column"),
+    ).first()
+    if not s.n:
+        raise AnalysisError("n_too_small", "the table has no rows")
+    dof = (s.rows - 1) * (s.columns - 1)
     if dof == 0:
         chi2 = 0.0
     elif dof == 1:
-        chi2 = _corrected_2x2({(r.row, r.col): r.n for r in pairs.collect()})  # at most 4 rows
+        # Yates: all four cells are equally far from their expectations, and no count is moved past its own.
+        chi2 = (s.gap - min(0.5, s.gap)) ** 2 * s.n * s.by_row * s.by_column
     else:
-        cells = pairs.join(row_sums, "row").join(col_sums, "col").withColumn(
-            "e", F.col("r").cast("double") * F.col("c") / F.lit(total.n))
-        s = cells.agg(F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), F.sum("e").alias("seen"),
-                      F.count("*").alias("cells")).first()
         # Pairs that never occur add their expected counts, which sum to the rest of the total.
-        chi2 = s.chi2 + (total.n - s.seen if s.cells < total.k * columns else 0.0)
+        chi2 = s.chi2 + (s.n - s.seen if s.cells < s.rows * s.columns else 0.0)
     spark = df.sparkSession
     p = 1.0 if dof == 0 else chi2_upper(spark, chi2, dof)
-    return small_frame(spark, [(row, column, total.n, chi2, p, dof)],
+    return small_frame(spark, [(row, column, s.n, chi2, p, dof)],
                        "row string, col string, n long, chi2 double, p double, dof long")

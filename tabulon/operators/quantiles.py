@@ -189,25 +189,26 @@ def group_quantiles(df: DataFrame, group: str, value: str, names: Mapping[str, f
     Many groups go through running counts, which spread a group of any size over the value buckets.
     Groups must not be NULL; one without any number keeps its row.
     """
-    sizes = df.groupBy(col(group)).agg(F.count(col(value)).alias("n"))
+    rows = df.select(col(group).alias("g"), col(value).alias("y"))  # whatever the columns are called
+    sizes = rows.groupBy("g").agg(F.count("y").alias("n"))
     first = sizes.limit(few_groups + 1).collect()
     if len(first) <= few_groups:
-        wide = df.select(*[F.when(col(group) == F.lit(r[0]), col(value)).alias(f"c{i}") for i, r in enumerate(first)])
+        wide = rows.select(*[F.when(F.col("g") == F.lit(r[0]), F.col("y")).alias(f"c{i}") for i, r in enumerate(first)])
         found = exact_quantiles(wide, {f"c{i}": list(names.values()) for i in range(len(first))},
                                 sizes={f"c{i}": r.n for i, r in enumerate(first)}) if first else {}
         schema = T.StructType([
             T.StructField(group, df.schema[group].dataType), T.StructField("n", T.LongType()),
             *[T.StructField(name, T.DoubleType()) for name in names]])
-        rows = [(r[0], r.n, *found[f"c{i}"]) for i, r in enumerate(first)]
-        return df.sparkSession.createDataFrame(rows, schema)
+        return df.sparkSession.createDataFrame([(r[0], r.n, *found[f"c{i}"]) for i, r in enumerate(first)], schema)
 
-    counts = running_counts(df, value, by=[group])
+    counts = running_counts(rows, "y", by=["g"])
     parts = []
-    for name, p in names.items():
+    for i, p in enumerate(names.values()):
         spot = F.lit(float(p)) * (F.col("total") - 1)
         floor, ceil = F.floor(spot), F.ceil(spot)
         here = lambda position: (position < F.col("upto")) & (position >= F.col("upto") - F.col("n"))
         weight = F.when(here(floor), 1 - (spot - floor)).otherwise(0.0) + \
             F.when(here(ceil), spot - floor).otherwise(0.0)
-        parts.append(F.sum(F.when(weight > 0, col(value) * weight)).alias(name))
-    return sizes.join(counts.groupBy(col(group)).agg(*parts), group, "left")
+        parts.append(F.sum(F.when(weight > 0, F.col("y") * weight)).alias(f"q{i}"))
+    return sizes.join(counts.groupBy("g").agg(*parts), "g", "left").select(
+        F.col("g").alias(group), "n", *[F.col(f"q{i}").alias(name) for i, name in enumerate(names)])

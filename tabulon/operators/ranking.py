@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulon.functions.columns import col
+from tabulon.sources.writers import stored
 
 BUCKET_VALUES = 50_000
 MAX_BUCKETS = 4096
@@ -140,29 +141,30 @@ def centred_rank():
 
 def text_codes(df: DataFrame, name: str, *, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """``name, code``: position of each distinct text in ascending order, from 0."""
-    values = df.select(col(name)).where(col(name).isNotNull())
-    count = values.agg(F.approx_count_distinct(col(name))).first()[0]
-    distinct = values.distinct()
+    values = df.select(F.lit(0).alias("i"), col(name).alias("v")).where(F.col("v").isNotNull()).distinct()
+    return text_positions(values, bucket_values=bucket_values).select(F.col("v").alias(name), "code")
+
+
+def text_positions(values: DataFrame, *, bucket_values: int = BUCKET_VALUES) -> DataFrame:
+    """``i, v, code`` of distinct pairs ``i, v``: position of v among the values with this i, from 0.
+
+    Many values are put in order by ranges and stored. A value's position is its place in its range, plus the sizes of the
+    ranges before it, less the sizes of the smaller i: one row per range and one per i.
+    """
+    values = stored(values.select("i", "v"))
+    count = values.count()
     if count <= bucket_values:
-        order = Window.partitionBy(F.lit(0)).orderBy(col(name))  # at most bucket_values rows
-        return distinct.select(col(name), (F.row_number().over(order) - 1).cast("long").alias("code"))
-    thin = max(1, count // (10 * SAMPLE_VALUES))
-    parts = min(256, math.ceil(count / bucket_values))
-    sample = values.where(F.pmod(F.xxhash64(col(name)), F.lit(thin)) == 0).distinct()
-    tile = F.ntile(parts).over(Window.partitionBy(F.lit(0)).orderBy(col(name)))  # a bounded sample
-    bounds = sorted(r[0] for r in sample.select(col(name), tile.alias("t")).groupBy("t").agg(F.min(col(name)).alias("low"))
-                    .select("low").collect())[1:]
-
-    def bucket(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(col(name) < F.lit(bounds[middle]), bucket(low, middle)).otherwise(bucket(middle + 1, high))
-
-    placed = distinct.withColumn("_bucket", bucket(0, len(bounds)))
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    order = Window.partitionBy("_bucket").orderBy(col(name))
-    return placed.withColumn("_row", F.row_number().over(order)).join(F.broadcast(offsets), "_bucket").select(
-        col(name), (F.col("_row") - 1 + F.col("_offset")).cast("long").alias("code"))
+        order = Window.partitionBy("i").orderBy("v")  # at most bucket_values rows
+        return values.select("i", "v", (F.row_number().over(order) - 1).cast("long").alias("code"))
+    ranges = math.ceil(count / bucket_values)
+    # Numbers given after the sort are the range's number in the high bits and the place in the range in the low 33.
+    ordered = stored(values.repartitionByRange(ranges, "i", "v").sortWithinPartitions("i", "v").withColumn("at", F.monotonically_increasing_id()))
+    line = Window.partitionBy(F.lit(0))
+    part = F.shiftright("at", 33).alias("part")
+    before = F.coalesce(F.sum("n").over(line.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges_before = ordered.groupBy(part).agg(F.count("*").alias("n")).select(F.col("part").alias("r"), before.alias("before"))
+    smaller = F.coalesce(F.sum("n").over(line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    smaller_i = ordered.groupBy("i").agg(F.count("*").alias("n")).select(F.col("i").alias("j"), smaller.alias("smaller"))
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(ranges_before, part == F.col("r")).join(smaller_i, F.col("i") == F.col("j")).select(
+        "i", "v", (place + F.col("before") - F.col("smaller")).cast("long").alias("code"))

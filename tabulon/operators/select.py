@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulon.functions.columns import as_label, col, existing, numeric_view
-from tabulon.functions.frames import estimated_tasks
+from tabulon.functions.frames import estimated_tasks, unused
 from tabulon.operators.quantiles import order_statistics
 
 # Above this size a sample is cut by a threshold instead of a top-n sort.
@@ -32,9 +32,10 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     so groups of tasks agree on their first n rows before; the result is the same.
     """
     if estimated_tasks(df) * n > MERGE_ROWS:
-        place = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-        df = (df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-              .withColumn("_place", place).where(F.col("_place") <= n).drop("_group", "_place"))
+        group, placed = unused(df, "group", "place")
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        df = (df.withColumn(group, F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+              .withColumn(placed, place).where(F.col(placed) <= n).drop(group, placed))
     return df.orderBy(*order).limit(n)
 
 
@@ -66,19 +67,17 @@ def numbered_copies(df: DataFrame, number: str) -> DataFrame:
     Equal rows are counted first and then dealt out again in runs of COPIES, so a row that fills a third of the table is neither
     shuffled as such nor dealt out in one task.
     """
-    runs = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias(number)).select(
-        *[col(c) for c in df.columns], F.col(number).alias(f"{number}_all"),
-        F.explode(F.sequence(F.lit(0), F.col(number) - 1, F.lit(COPIES))).alias(f"{number}_from"))
-    end = F.least(F.col(f"{number}_from") + COPIES, F.col(f"{number}_all")) - 1
-    dealt = runs.repartition(*[col(c) for c in df.columns], F.col(f"{number}_from"))
-    return dealt.select(*[col(c) for c in df.columns], F.explode(F.sequence(F.col(f"{number}_from"), end)).alias(number))
+    every, start = unused(df, "every", "start")
+    runs = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias(every)).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col(every) - 1, F.lit(COPIES))).alias(start))
+    end = F.least(F.col(start) + COPIES, F.col(every)) - 1
+    dealt = runs.repartition(*[col(c) for c in df.columns], F.col(start))
+    return dealt.select(*[col(c) for c in df.columns], F.explode(F.sequence(F.col(start), end)).alias(number))
 
 
 def sample_of_equals(df: DataFrame, n: int, *, seed: int = 42) -> DataFrame:
     """``n`` rows of a table without a key: chosen by their values, equal rows each on their own."""
-    number = "_copy"
-    while number in df.columns:
-        number += "_"
+    (number,) = unused(df, "copy")
     return sample_rows(numbered_copies(df, number), n, [*df.columns, number], seed=seed).drop(number)
 
 

@@ -52,8 +52,14 @@ def _frequency(df, p):
 
 def _crosstab(df, p):
     row, column = (_column(df, p, n, "missing_columns") for n in ("row", "col"))
-    return {"crosstab": describe.crosstab(df, row, column), "test": chi_square(df, row, column)}, \
-        {"heatmap": lambda: describe.crosstab_long(df, row, column)}
+    pairs = describe.crosstab_long(df, row, column)
+    try:
+        cross = describe.crosstab(df, row, column, max_levels=int(p.get("max_levels", describe.MAX_LEVELS)))
+    except AnalysisError as problem:
+        if problem.code != "too_many_levels":
+            raise
+        cross = pairs  # too wide for columns: the same counts, one row per pair
+    return {"crosstab": cross, "test": chi_square(df, row, column)}, {"heatmap": lambda: pairs}
 
 
 def _descriptive(df, p):
@@ -78,14 +84,14 @@ def _ttest(df, p):
         return {"test": ttest_one_sample(df, y, float(p.get("mu", 0.0)))}, \
             {"histogram": lambda: charts.chart_histogram(df, y)}
     if kind == "paired":
-        return {"test": ttest_paired(df, y, p.get("y2"))}, {"scatter": lambda: charts.chart_scatter(df, y, p["y2"])}
-    result = ttest_welch(df, y, p.get("group_col"), p.get("group_a"), p.get("group_b"))
+        return {"test": ttest_paired(df, y, p.get("y2"))}, {"scatter": lambda: charts.chart_scatter(df, y, p["y2"], key=_names(p, "key"))}
+    result = ttest_welch(df, y, p.get("group_col"), p.get("group_a"), p.get("group_b"), null_group=p.get("null_group"))
     return {"test": result}, {"boxplot": lambda: charts.chart_boxplot_by(df, y, p["group_col"])}
 
 
 def _anova(df, p):
     y, group = str(p.get("y")), str(p.get("group_col"))
-    return {"test": anova_oneway(df, y, group)}, {"boxplot": lambda: charts.chart_boxplot_by(df, y, group)}
+    return {"test": anova_oneway(df, y, group, null_group=p.get("null_group"))}, {"boxplot": lambda: charts.chart_boxplot_by(df, y, group)}
 
 
 def _nonparam(df, p):
@@ -93,9 +99,9 @@ def _nonparam(df, p):
     y, group = p.get("y"), p.get("group_col")
     box = {"boxplot": lambda: charts.chart_boxplot_by(df, y, group)}
     if test in ("mann_whitney", "mannwhitney"):
-        return {"test": mann_whitney(df, y, group, p.get("group_a"), p.get("group_b"))}, box
+        return {"test": mann_whitney(df, y, group, p.get("group_a"), p.get("group_b"), null_group=p.get("null_group"))}, box
     if test in ("kruskal", "kruskal_wallis"):
-        return {"test": kruskal_wallis(df, y, group)}, box
+        return {"test": kruskal_wallis(df, y, group, null_group=p.get("null_group"))}, box
     if test == "friedman":
         names = _names(p, "columns")
         return {"test": friedman(df, names)}, {"boxplot": lambda: charts.chart_boxplot(df, names)}
@@ -128,7 +134,7 @@ def _pca(df, p):
 
 
 def _kmeans(df, p):
-    fit = kmeans(df, _names(p, "columns"), int(p.get("k", 3)))
+    fit = kmeans(df, _names(p, "columns"), int(p.get("k", 3)), seed=int(p.get("seed", 42)))
     return {"info": fit.info(), "sizes": fit.sizes(), "centers": fit.centers()}, {"scatter": lambda: charts.chart_cluster_scatter(fit)}
 
 

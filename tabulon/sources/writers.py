@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tabulon-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written below the shared folder and read back: computed once, whatever is lost later."""
+    folder = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts with header lines, written by the tasks that hold the rows."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
