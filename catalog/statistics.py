@@ -56,8 +56,7 @@ def _kruskal_many(spark, sf):
 
 @query("normality_shapiro")
 def _shapiro(spark, sf):
-    return parametric.normality(table(spark, sf, "lineitem"), "l_extendedprice", "shapiro",
-                                key=["l_orderkey", "l_linenumber", "l_partkey"])
+    return parametric.normality(table(spark, sf, "lineitem"), "l_extendedprice", "shapiro")
 
 
 @query("normality_auto")

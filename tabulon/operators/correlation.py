@@ -10,19 +10,18 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import AnalysisError
-from tabulon.functions.columns import col, existing, numeric_columns, numeric_view
+from tabulon.functions.columns import col, existing, numeric_columns, numeric_view, to_numeric
 from tabulon.functions.distributions import t_two_sided
-from tabulon.functions.frames import in_batches, small_frame
+from tabulon.functions.frames import small_frame
+from tabulon.functions.rounds import Steps, solve
 from tabulon.operators.kendall import kendall_tau
 from tabulon.operators.ranking import mid_rank, running_counts, value_splits
 
 METHODS = ("pearson", "spearman", "kendall")
-# Pairs per aggregate: keeps the generated code of one pass within bounds.
-PAIRS_PER_PASS = 100
 
 
 def correlation_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -32,19 +31,20 @@ def correlation_columns(df: DataFrame, columns: Sequence[str] | None) -> list[st
     return names
 
 
-def _pearson(values: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[float | None, int]]:
-    found = []
-    for batch in in_batches(pairs, PAIRS_PER_PASS):
-        parts = []
-        for i, (a, b) in enumerate(batch):
-            both = col(a).isNotNull() & col(b).isNotNull()
-            # Not F.corr: it fails on a column without spread, where r is simply missing.
-            spread = F.stddev_pop(F.when(both, col(a))) * F.stddev_pop(F.when(both, col(b)))
-            r = F.try_divide(F.covar_pop(col(a), col(b)), spread)
-            parts += [r.alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
-        row = values.agg(*parts).first()
-        found += [(row[f"r{i}"], row[f"n{i}"]) for i in range(len(batch))]
-    return found
+def pearson_parts(columns: list[tuple[Column, Column]]) -> dict[str, Column]:
+    """The aggregates of each pair of columns."""
+    parts = {}
+    for i, (a, b) in enumerate(columns):
+        both = a.isNotNull() & b.isNotNull()
+        # Not F.corr: it fails on a column without spread, where r is simply missing.
+        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+        parts |= {f"r{i}": F.try_divide(F.covar_pop(a, b), spread), f"n{i}": F.count_if(both)}
+    return parts
+
+
+def _pearson_steps(columns: list[tuple[Column, Column]]) -> Steps:
+    found = yield pearson_parts(columns)
+    return [(found[f"r{i}"], found[f"n{i}"]) for i in range(len(columns))]
 
 
 def _with_ranks(values: DataFrame, columns: list[str], gappy: set[str], splits: dict[str, list[float]]) -> DataFrame:
@@ -81,23 +81,30 @@ def _spearman(values: DataFrame, names: list[str], pairs: list[tuple[str, str]])
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         found.append([F.when(both, F.col(f"{x}_{y}" if y in gappy else f"{x}_all")) for x, y in ((a, b), (b, a))])
     wide = ranked.select(*[c.alias(f"{side}{i}") for i, pair in enumerate(found) for side, c in zip("ab", pair)])
-    return _pearson(wide, [(f"a{i}", f"b{i}") for i in range(len(pairs))])
+    return solve(wide, _pearson_steps([(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(pairs))]))
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """``a, b, r, n, p`` for every pair, highest r first; p is NULL below 3 complete rows."""
+    return solve(df, correlation_steps(df, columns, method))
+
+
+def correlation_steps(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> Steps:
     method = method.lower() if (method or "").lower() in METHODS else "pearson"
     names = correlation_columns(df, columns)
-    values = numeric_view(df, names)
     pairs = list(combinations(names, 2))
     spark = df.sparkSession
     rows = []
     if method == "kendall":
         for a, b in pairs:
-            r, n, p = kendall_tau(values.select(col(a).alias("x"), col(b).alias("y")).dropna())
+            values = df.select(to_numeric(df, a).alias("x"), to_numeric(df, b).alias("y")).dropna()
+            r, n, p = kendall_tau(values)
             rows.append((a, b, r, n, p if n >= 3 else None))
     else:
-        found = _pearson(values, pairs) if method == "pearson" else _spearman(values, names, pairs)
+        if method == "pearson":
+            found = yield from _pearson_steps([(to_numeric(df, a), to_numeric(df, b)) for a, b in pairs])
+        else:
+            found = _spearman(numeric_view(df, names), names, pairs)
         for (a, b), (r, n) in zip(pairs, found):
             r = None if r is None or math.isnan(r) else max(-1.0, min(1.0, r))
             p = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import NULL_LABEL, as_label, col, existing, numeric_columns, to_numeric
 from tabulon.functions.frames import explode_structs
+from tabulon.functions.rounds import Steps, solve
 from tabulon.operators.actions import levels_of
 from tabulon.operators.quantiles import exact_quantiles, group_quantiles
 
@@ -43,21 +44,25 @@ def crosstab(df: DataFrame, row: str, column: str, *, max_levels: int = MAX_LEVE
 
 def descriptive(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, count, mean, std, min, q25, q50, q75, max, missing_pct, median``."""
+    return solve(df, descriptive_steps(df, columns))
+
+
+def descriptive_steps(df: DataFrame, columns: Sequence[str] | None = None) -> Steps:
     names = existing(df, columns) if columns else numeric_columns(df)
     if not names:
         raise AnalysisError("no_numeric_columns")
-    parts = [F.count("*").alias("rows")]
+    parts = {"rows": F.count("*")}
     for i, n in enumerate(names):
         v = to_numeric(df, n)
-        parts += [F.count(v).alias(f"c{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                  F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.count(col(n)).alias(f"n{i}")]
-    wide = df.agg(*parts).first()
+        parts |= {f"c{i}": F.count(v), f"a{i}": F.avg(v), f"s{i}": F.stddev_samp(v), f"l{i}": F.min(v), f"h{i}": F.max(v),
+                  f"n{i}": F.count(col(n))}
+    wide = yield parts
     sizes = {n: wide[f"c{i}"] for i, n in enumerate(names)}
     quartiles = exact_quantiles(df, {n: [0.25, 0.5, 0.75] for n in names}, sizes=sizes)
     number = lambda x: F.lit(x).cast("double")
     rows = []
     for i, n in enumerate(names):
-        missing = (wide.rows - wide[f"n{i}"]) / wide.rows * 100 if wide.rows else 0.0
+        missing = (wide["rows"] - wide[f"n{i}"]) / wide["rows"] * 100 if wide["rows"] else 0.0
         q25, q50, q75 = quartiles[n]
         rows.append(F.struct(
             F.lit(n).alias("column"), F.lit(wide[f"c{i}"]).cast("long").alias("count"),

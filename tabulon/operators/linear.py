@@ -11,46 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import AnalysisError
-from tabulon.functions.columns import col, existing
+from tabulon.functions.columns import col, existing, to_numeric
 from tabulon.functions.distributions import t_quantile, t_two_sided
-from tabulon.functions.frames import in_batches, small_frame
-from tabulon.operators.select import listwise_complete
+from tabulon.functions.frames import small_frame
+from tabulon.functions.rounds import Steps, solve
+from tabulon.operators.select import listwise_complete, without_nulls
 
 INTERCEPT = "intercept"
-_PAIRS_PER_PASS = 120
 _NEARLY_EXACT = 1e-8
 
 
 class OlsFit:
     """Coefficients and fit statistics of one least-squares model (driver-side scalars only)."""
 
-    def __init__(self, df: DataFrame, y: str, x: Sequence[str], *, min_rows: int = 5):
-        if y not in df.columns:
-            raise AnalysisError("missing_y")
-        self.y, self.x = y, [c for c in existing(df, x or []) if c != y]
-        if not self.x:
-            raise AnalysisError("missing_x")
-        self._rows = listwise_complete(df, [y, *self.x])
-        self._spark = df.sparkSession
-        self._read_moments(min_rows)
+    def __init__(self, rows: DataFrame, y: str, x: list[str], n: int, means: np.ndarray, cov: np.ndarray):
+        self.y, self.x, self.n = y, x, n
+        self._rows, self._spark, self._means, self._cov = rows, rows.sparkSession, means, cov
         self._solve()
 
-    def _read_moments(self, min_rows: int) -> None:
-        names = [self.y, *self.x]
-        pairs = list(combinations_with_replacement(range(len(names)), 2))
-        cov = np.zeros((len(names), len(names)))
-        for batch in in_batches(pairs, _PAIRS_PER_PASS):
-            parts = [F.count("*").alias("n"), *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]]
-            parts += [F.covar_pop(col(names[i]), col(names[j])).alias(f"c{i}_{j}") for i, j in batch]
-            row = self._rows.agg(*parts).first()
-            if row.n < min_rows:
-                raise AnalysisError("n_too_small", f"{min_rows} complete rows are needed")
-            for i, j in batch:
-                cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-        self.n = row.n
-        self._means = np.array([row[f"m{i}"] for i in range(len(names))])
-        self._cov = cov
-
     def _solve(self) -> None:
         n, k = self.n, len(self.x)
         sxx, sxy, syy = self._cov[1:, 1:], self._cov[1:, 0], self._cov[0, 0]
@@ -101,10 +79,32 @@ class OlsFit:
                            "y string, x string, n long, r2 double, adj_r2 double")
 
 
+def linear_steps(df: DataFrame, y: str, x: Sequence[str], *, min_rows: int = 5) -> Steps:
+    """The fit from means and covariances over the complete rows."""
+    if y not in df.columns:
+        raise AnalysisError("missing_y")
+    x = [c for c in existing(df, x or []) if c != y]
+    if not x:
+        raise AnalysisError("missing_x")
+    names = [y, *x]
+    values = [to_numeric(df, c) for c in names]
+    complete = without_nulls(values)
+    values = [F.when(complete, v) for v in values]
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    found = yield {"n": F.count_if(complete), **{f"m{i}": F.avg(v) for i, v in enumerate(values)},
+                   **{f"c{i}_{j}": F.covar_pop(values[i], values[j]) for i, j in pairs}}
+    if found["n"] < min_rows:
+        raise AnalysisError("n_too_small", f"{min_rows} complete rows are needed")
+    cov = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = found[f"c{i}_{j}"]
+    return OlsFit(listwise_complete(df, names), y, x, found["n"], np.array([found[f"m{i}"] for i in range(len(names))]), cov)
+
+
 def linear_regression(df: DataFrame, y: str, x: Sequence[str]) -> OlsFit:
-    return OlsFit(df, y, x)
+    return solve(df, linear_steps(df, y, x))
 
 
 def fit_linear_regression(df: DataFrame, y: str, x: Sequence[str]) -> OlsFit:
     """The same fit, allowed from two complete rows on."""
-    return OlsFit(df, y, x, min_rows=2)
+    return solve(df, linear_steps(df, y, x, min_rows=2))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import AnalysisError
@@ -18,8 +18,10 @@ from tabulon.functions.distributions import (
     NORMAL, chi2_upper, f_upper, normal_upper, t_two_sided,
 )
 from tabulon.functions.frames import small_frame
+from tabulon.functions.rounds import Steps, solve
 from tabulon.operators.describe import crosstab_long
-from tabulon.operators.select import sample_of_equals, sample_rows, top_groups
+from tabulon.operators.ranking import running_counts
+from tabulon.operators.select import top_groups
 
 SHAPIRO_ROWS = 5000
 ALPHA = 0.05
@@ -63,33 +65,70 @@ def _horner(coefficients: Sequence[float], x: float) -> float:
     return total
 
 
-def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
-    """W and p of Royston's 1995 approximation, for 3 to 5,000 values."""
-    x = sorted(values)
-    n = len(x)
-    mean = math.fsum(x) / n
-    spread = math.fsum((v - mean) ** 2 for v in x)
-    if n < 3 or spread == 0:
+# The rational approximations of the normal quantile, for the middle and for the two depths of the tail, lowest power first.
+MIDDLE = ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+           4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+          (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+           2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3))
+TAIL = ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+         1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+        (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+         1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+FAR_TAIL = ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+             2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+            (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+             7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
+
+def normal_score(p: Column) -> Column:
+    """The standard normal quantile of a column of probabilities between 0 and 1."""
+
+    def ratio(powers: tuple, x: Column) -> Column:
+        top, bottom = (_horner(coefficients[::-1], x) for coefficients in powers)
+        return top / bottom
+
+    centred = p - 0.5
+    depth = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(depth <= 5, ratio(TAIL, depth - 1.6)).otherwise(ratio(FAR_TAIL, depth - 5.0))
+    return F.when(F.abs(centred) <= 0.425, centred * ratio(MIDDLE, 0.180625 - centred * centred)).otherwise(F.signum(centred) * tail)
+
+
+# Ranks of one value that a task scores at a time.
+SCORED_RANKS = 1_000_000
+
+
+def shapiro_wilk(values: DataFrame, n: int, mean: float, variance: float) -> tuple[float, float]:
+    """W and p of Royston's 1995 approximation over all values of a column ``x``, which are neither collected nor sorted in one task.
+
+    The weights of the ordered values come from the normal scores of their ranks. Equal values are one row of the running counts; their
+    ranks are scored piece by piece.
+    """
+    if n < 3 or not variance:
         return (1.0, 1.0) if n >= 3 else (math.nan, math.nan)
+    spark, spread = values.sparkSession, variance * n
+    score = lambda i: NORMAL.inv_cdf((i - 0.375) / (n + 0.25))
+    rank = lambda c: normal_score((c - 0.375) / (n + 0.25))
     if n == 3:
-        weights = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+        inner, outer = 0.0, [math.sqrt(0.5)]
     else:
-        m = [NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-        mm = math.fsum(v * v for v in m)
+        squares = spark.range(1, n + 1).agg(F.sum(rank(F.col("id")) * rank(F.col("id")))).first()[0]
         u = 1 / math.sqrt(n)
         # Royston's polynomials for the outermost weights.
-        last = _horner((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / math.sqrt(mm)), u)
+        last = _horner((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, score(n) / math.sqrt(squares)), u)
+        outer = [last]
         if n > 5:
-            second = _horner((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)), u)
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            outer = [last, second]
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            outer = [last]
-        weights = [v / math.sqrt(phi) for v in m]
-        for i, a in enumerate(outer):
-            weights[n - 1 - i], weights[i] = a, -a
-    w = min(1.0, math.fsum(a * v for a, v in zip(weights, x)) ** 2 / spread)
+            outer.append(_horner((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, score(n - 1) / math.sqrt(squares)), u))
+        phi = (squares - 2 * sum(score(n - i) ** 2 for i in range(len(outer)))) / (1 - 2 * sum(a * a for a in outer))
+        inner = 1 / math.sqrt(phi)
+    counts = running_counts(values, "x").select("x", "n", "upto")
+    low = F.col("upto") - F.col("n") + 1
+    pieces = counts.select("x", "upto", F.explode(F.sequence(low, F.col("upto"), F.lit(SCORED_RANKS))).alias("first"))
+    ranks = pieces.select("x", F.explode(F.sequence("first", F.least(F.col("first") + SCORED_RANKS - 1, F.col("upto")))).alias("i"))
+    weight = rank(F.col("i")) * inner
+    for place, a in enumerate(outer):
+        weight = F.when(F.col("i") == n - place, a).when(F.col("i") == place + 1, -a).otherwise(weight)
+    total = ranks.agg(F.sum(weight * (F.col("x") - mean))).first()[0]  # the weights add up to nothing
+    w = min(1.0, total ** 2 / spread)
     if n == 3:
         p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
         return w, min(1.0, max(0.0, p))
@@ -112,34 +151,32 @@ def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
     return w, normal_upper((y - mu) / sigma)
 
 
-def normality(df: DataFrame, column: str, method: str = "auto", *, key: Sequence[str] = ()) -> DataFrame:
-    """``column, n, n_used, method, stat, p, rejected`` at the 5 % level.
+def normality(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
+    """``column, n, n_used, method, stat, p, rejected`` at the 5 % level, from all values.
 
-    ``auto`` takes Shapiro-Wilk up to 5,000 values and the D'Agostino-Pearson test beyond. An
-    explicit Shapiro-Wilk test of more values uses a hash sample of 5,000 (by ``key``, else by value, equal values
-    each on their own); ``n_used`` counts the values that the statistic comes from.
+    ``auto`` takes Shapiro-Wilk up to 5,000 values and the D'Agostino-Pearson test beyond.
     """
+    return solve(df, normality_steps(df, column, method))
+
+
+def normality_steps(df: DataFrame, column: str, method: str = "auto") -> Steps:
     _need(df, [column])
-    values = df.select(to_numeric(df, column).alias("x"), *[col(k).alias(f"k{i}") for i, k in enumerate(key)])
-    values = values.where(F.col("x").isNotNull())
-    facts = values.agg(F.count("x").alias("n"), F.skewness("x").alias("s"), F.kurtosis("x").alias("k")).first()
-    if facts.n < 3:
+    x = to_numeric(df, column)
+    facts = yield {"n": F.count(x), "s": F.skewness(x), "k": F.kurtosis(x), "mean": F.avg(x), "v": F.var_pop(x)}
+    n = facts["n"]
+    if n < 3:
         raise AnalysisError("n_too_small", "normality needs 3 values")
-    used, method = facts.n, (method or "auto").lower()
+    method = (method or "auto").lower()
     if method == "auto":
-        method = "shapiro" if facts.n <= SHAPIRO_ROWS else "normaltest"
+        method = "shapiro" if n <= SHAPIRO_ROWS else "normaltest"
     if method in ("jarque_bera", "normaltest"):
         test = {"jarque_bera": jarque_bera, "normaltest": dagostino_pearson}[method]
         # A column of one value has no skewness, and so no statistic.
-        stat, p = test(facts.n, facts.s, facts.k) if facts.s is not None else (math.nan, math.nan)
+        stat, p = test(n, facts["s"], facts["k"]) if facts["s"] is not None else (math.nan, math.nan)
     else:
         method = "shapiro"
-        used = min(used, SHAPIRO_ROWS)
-        if facts.n > used:
-            values = sample_rows(values, SHAPIRO_ROWS, [f"k{i}" for i in range(len(key))]) if key else sample_of_equals(
-                values, SHAPIRO_ROWS)
-        stat, p = shapiro_wilk([r.x for r in values.select("x").collect()])  # at most 5,000 numbers
-    return small_frame(df.sparkSession, [(column, facts.n, used, method, stat, p, p < ALPHA)],
+        stat, p = shapiro_wilk(df.select(x.alias("x")), n, facts["mean"], facts["v"])
+    return small_frame(df.sparkSession, [(column, n, n, method, stat, p, p < ALPHA)],
                        "column string, n long, n_used long, method string, stat double, p double, rejected boolean")
 
 
@@ -150,21 +187,31 @@ def _t_ratio(difference: float, error: float) -> float:
 
 
 def ttest_one_sample(df: DataFrame, y: str, mu: float = 0.0) -> DataFrame:
+    return solve(df, one_sample_steps(df, y, mu))
+
+
+def one_sample_steps(df: DataFrame, y: str, mu: float = 0.0) -> Steps:
     _need(df, [y], "missing_y")
     v = to_numeric(df, y)
-    r = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).first()
-    t = _t_ratio(r.mean - mu, r.sd / math.sqrt(r.n)) if r.n > 1 else math.nan
-    return small_frame(df.sparkSession, [(y, float(mu), r.n, t, t_two_sided(df.sparkSession, t, r.n - 1))],
+    r = yield {"n": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v)}
+    n = r["n"]
+    t = _t_ratio(r["mean"] - mu, r["sd"] / math.sqrt(n)) if n > 1 else math.nan
+    return small_frame(df.sparkSession, [(y, float(mu), n, t, t_two_sided(df.sparkSession, t, n - 1))],
                        "y string, mu double, n long, t double, p double")
 
 
 def ttest_paired(df: DataFrame, y: str, y2: str) -> DataFrame:
+    return solve(df, paired_steps(df, y, y2))
+
+
+def paired_steps(df: DataFrame, y: str, y2: str) -> Steps:
     _need(df, [y], "missing_y")
     _need(df, [y2], "missing_y2")
     d = to_numeric(df, y) - to_numeric(df, y2)
-    r = df.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).first()
-    t = _t_ratio(r.mean, r.sd / math.sqrt(r.n)) if r.n > 1 else math.nan
-    return small_frame(df.sparkSession, [(y, y2, r.n, t, t_two_sided(df.sparkSession, t, r.n - 1))],
+    r = yield {"n": F.count(d), "mean": F.avg(d), "sd": F.stddev_samp(d)}
+    n = r["n"]
+    t = _t_ratio(r["mean"], r["sd"] / math.sqrt(n)) if n > 1 else math.nan
+    return small_frame(df.sparkSession, [(y, y2, n, t, t_two_sided(df.sparkSession, t, n - 1))],
                        "y string, y2 string, n long, t double, p double")
 
 

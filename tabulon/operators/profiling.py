@@ -12,6 +12,7 @@ from tabulon.functions.columns import (
     as_label, col, distinct_key, existing, is_numeric, numeric_columns, to_numeric,
 )
 from tabulon.functions.frames import explode_structs, small_frame
+from tabulon.functions.rounds import Steps
 from tabulon.operators.quantiles import exact_quantiles
 from tabulon.operators.select import top_n
 
@@ -109,6 +110,12 @@ def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_cols"))
 
 
+def shape_steps(df: DataFrame) -> Steps:
+    """``table_shape`` in a round with other analyses."""
+    r = yield {"n": F.count("*")}
+    return small_frame(df.sparkSession, [(r["n"], len(df.columns))], "n_rows long, n_cols long")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``n_rows, n_duplicates, dup_pct``: rows equal to another, earlier row."""
     keys = [distinct_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]

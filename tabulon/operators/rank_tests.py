@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import AnalysisError
-from tabulon.functions.columns import col, existing
+from tabulon.functions.columns import col, existing, to_numeric
 from tabulon.functions.distributions import chi2_upper, normal_two_sided
 from tabulon.functions.frames import small_frame
+from tabulon.functions.rounds import Steps, solve
 from tabulon.operators.parametric import grouped_values, two_groups
 from tabulon.operators.ranking import centred_rank, running_counts
-from tabulon.operators.select import listwise_complete
+from tabulon.operators.select import without_nulls
 
 EXACT_ROWS = 8
 
@@ -121,24 +122,29 @@ def kruskal_wallis(df: DataFrame, y: str, group_col: str, *, null_group: str | N
 
 def friedman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``k, n, q, p`` of repeated measures. Ranks are taken inside each row, so nothing is shuffled."""
+    return solve(df, friedman_steps(df, columns))
+
+
+def friedman_steps(df: DataFrame, columns: Sequence[str]) -> Steps:
     names = existing(df, columns or [])
     if len(names) < 3:
         raise AnalysisError("need>=3_columns")
     k = len(names)
-    rows = listwise_complete(df, names)
-    ranks, ties = [], []
-    for name in names:
+    values = [to_numeric(df, c) for c in names]
+    complete = without_nulls(values)
+    ranks, ties = {}, F.lit(0)
+    for i, v in enumerate(values):
         # Mid-rank in the row (values below, plus half of the equal ones), minus the mean rank.
-        below = sum((F.when(col(o) < col(name), 1).otherwise(0) for o in names), F.lit(0))
-        equal = sum((F.when(col(o) == col(name), 1).otherwise(0) for o in names), F.lit(0))
-        ranks.append(F.sum(below + (equal - k) / 2).alias(f"r{len(ranks)}"))
-        ties.append(equal * equal - 1)
-    r = rows.agg(F.count("*").alias("n"), F.sum(sum(ties, F.lit(0))).alias("tie_term"), *ranks).first()
-    n = r.n
+        below = sum((F.when(o < v, 1).otherwise(0) for o in values), F.lit(0))
+        equal = sum((F.when(o == v, 1).otherwise(0) for o in values), F.lit(0))
+        ranks[f"r{i}"] = F.sum(F.when(complete, below + (equal - k) / 2))
+        ties = ties + equal * equal - 1
+    r = yield {"n": F.count_if(complete), "tie_term": F.sum(F.when(complete, ties)), **ranks}
+    n = r["n"]
     if not n:
         raise AnalysisError("n_too_small", "no complete row")
     squares = math.fsum(r[f"r{i}"] ** 2 for i in range(k))
-    correction = 1 - r.tie_term / (n * k * (k * k - 1))
+    correction = 1 - r["tie_term"] / (n * k * (k * k - 1))
     q = 12 / (n * k * (k + 1)) * squares / correction if correction > 0 else math.nan
     return small_frame(df.sparkSession, [(k, n, q, chi2_upper(df.sparkSession, q, k - 1))],
                        "k long, n long, q double, p double")

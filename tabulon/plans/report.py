@@ -1,4 +1,4 @@
-"""Batch report: a list of analyses, run one after the other over one table."""
+"""Batch report: a list of analyses over one table, which is read once per round for all of them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from tabulon.errors import AnalysisError
 from tabulon.functions.frames import small_frame
+from tabulon.functions.rounds import solve_all
 from tabulon.operators.select import sample_of_equals, sample_rows, select_columns
-from tabulon.plans.analyses import ANALYSES, run_analysis
+from tabulon.plans.analyses import ANALYSES, steps_of
 from tabulon.sources.writers import write_json_document, write_tables
 
 # Fixed value: the jobs of a report that asks for nothing.
@@ -36,19 +38,22 @@ def report_input(df: DataFrame, columns: Sequence[str] = (), n: int | None = Non
 def run_report(df: DataFrame, jobs: Sequence[Any], folder: str | None = None) -> DataFrame:
     """``job, analysis, status, table, n_rows``: one line per result table, or per failed job.
 
-    A failed job is noted and the next one runs. With a folder, every table is written below it
-    along with a manifest. The table is read by each job on its own: jobs touch few columns each,
-    which a columnar scan serves better than a cached copy of all of them.
+    What the jobs ask for is read in rounds, all jobs in one reading of the table per round. A job whose input is unusable is noted
+    and the others go on; any other error, such as a lost cluster, ends the report. With a folder, every table is written below it
+    along with a manifest; its rows are counted while it is written.
     """
     lines, manifest = [], []
-    for i, job in enumerate(usable_jobs(jobs), start=1):
+    usable = usable_jobs(jobs)
+    results = solve_all(df, [steps_of(df, job["analysis"], job["params"]) for job in usable])
+    for i, (job, result) in enumerate(zip(usable, results), start=1):
         key = f"job{i}_{job['analysis']}"
         try:
-            result = run_analysis(df, job["analysis"], job["params"])
-            paths = write_tables(result.tables, folder, key) if folder else {}
-            sizes = {name: table.count() for name, table in result.tables.items()}
-        except Exception as problem:
-            lines.append((key, job["analysis"], f"failed: {getattr(problem, 'code', type(problem).__name__)}", None, None))
+            if isinstance(result, AnalysisError):
+                raise result
+            paths, sizes = write_tables(result.tables, folder, key) if folder else ({}, {
+                name: table.count() for name, table in result.tables.items()})
+        except AnalysisError as problem:
+            lines.append((key, job["analysis"], f"failed: {problem.code}", None, None))
             manifest.append({"job": key, **job, "status": "failed", "reason": str(problem)[:500]})
             continue
         lines += [(key, job["analysis"], "done", name, size) for name, size in sizes.items()]

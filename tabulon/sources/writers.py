@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tabulon.errors import AnalysisError
 
@@ -36,14 +37,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_tables(tables: Mapping[str, DataFrame], folder: str, job: str) -> dict[str, str]:
-    """Each table of a job to ``<folder>/data/<job>_table_<i>.csv``; returns table name to path."""
-    written = {}
+def write_tables(tables: Mapping[str, DataFrame], folder: str, job: str) -> tuple[dict[str, str], dict[str, int]]:
+    """Each table of a job to ``<folder>/data/<job>_table_<i>.csv``; returns the path and the rows, counted on the way, by table name."""
+    paths, sizes = {}, {}
     for i, (name, table) in enumerate(tables.items(), start=1):
-        path = f"{folder.rstrip('/')}/data/{job}_table_{i}.csv"
-        write_csv(table, path)
-        written[name] = path
-    return written
+        seen = Observation()
+        paths[name] = f"{folder.rstrip('/')}/data/{job}_table_{i}.csv"
+        write_csv(table.observe(seen, F.count(F.lit(1)).alias("n")), paths[name])
+        sizes[name] = seen.get["n"]
+    return paths, sizes
 
 
 def write_json_document(spark: SparkSession, document: Any, path: str) -> None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon import AnalysisError, run_analysis, run_report
-from tabulon.operators import anomaly, kpi
+from tabulon.operators import actions, anomaly, kpi
 from tabulon.plans.report import report_input, usable_jobs
 from tabulon.sources.readers import csv_encoding, jdbc_url, read_csv, read_jdbc, read_json, with_row_id
 from tabulon.sources.writers import read_json_document, write_csv
@@ -169,3 +169,60 @@ def test_dau_spike(spark):
     df = spark.createDataFrame(rows, "u int, t timestamp")
     assert [str(r.period) for r in anomaly.anomaly_dau_spike(df, "t", "u").collect()] == ["2024-01-21"]
     assert anomaly.anomaly_dau_spike(df.where("t < '2024-01-02'"), "t", "u").count() == 0
+
+
+def test_ten_jobs_read_the_table_once(spark, lineitem, monkeypatch, tmp_path):
+    price, quantity, tax = "l_extendedprice", "l_quantity", "l_tax"
+    jobs = [
+        {"analysis": "ttest", "params": {"ttype": "one_sample", "y": price, "mu": 3.0}},
+        {"analysis": "ttest", "params": {"ttype": "one_sample", "y": tax, "mu": 0.04}},
+        {"analysis": "ttest", "params": {"ttype": "paired", "y": price, "y2": quantity}},
+        {"analysis": "normality", "params": {"column": price, "method": "jarque_bera"}},
+        {"analysis": "normality", "params": {"column": tax, "method": "normaltest"}},
+        {"analysis": "normality", "params": {"column": quantity, "method": "auto"}},
+        {"analysis": "correlation", "params": {"columns": [price, quantity, tax]}},
+        {"analysis": "linear_regression", "params": {"y": price, "x": [quantity, tax]}},
+        {"analysis": "linear_regression", "params": {"y": tax, "x": [quantity]}},
+        {"analysis": "nonparam", "params": {"test": "friedman", "columns": [price, quantity, tax]}},
+        {"analysis": "linear_regression", "params": {"y": "nope", "x": [quantity]}},
+    ]
+    read, plain = [], type(lineitem).agg
+
+    def counted(self, *parts):
+        read.append(self is lineitem)
+        return plain(self, *parts)
+
+    monkeypatch.setattr(type(lineitem), "agg", counted)
+    lines = run_report(lineitem, jobs, str(tmp_path / "r")).collect()
+    assert read == [True]
+    assert [r.status for r in lines if r.status != "done"] == ["failed: missing_y"]
+    monkeypatch.undo()
+    alone = {i: run_analysis(lineitem, j["analysis"], j["params"]) for i, j in enumerate(jobs[:-1], start=1)}
+    for i, result in alone.items():
+        for k, (name, table) in enumerate(result.tables.items(), start=1):
+            path = f"{tmp_path}/r/data/job{i}_{jobs[i - 1]['analysis']}_table_{k}.csv"
+            again = spark.read.option("header", True).schema(table.schema).csv(path)
+            assert sorted(map(str, again.collect())) == sorted(map(str, table.collect()))
+            (n,) = [r.n_rows for r in lines if r.job.startswith(f"job{i}_") and r.table == name]
+            assert n == table.count()
+
+
+def test_a_lost_cluster_ends_the_report(lineitem, monkeypatch):
+    from tabulon.operators import describe
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("no executor left")
+
+    monkeypatch.setattr(describe, "frequency", lost)
+    with pytest.raises(RuntimeError, match="no executor"):
+        run_report(lineitem, [{"analysis": "frequency", "params": {"column": "l_returnflag"}}])
+
+
+def test_cross_tables_of_any_width(spark):
+    table = spark.range(6000).select((F.col("id") % 1500).alias("wide"), (F.col("id") % 4).alias("narrow"))
+    found = run_analysis(table, "chi_square", {"row": "narrow", "col": "wide"}).tables
+    assert found["crosstab"].columns == ["row", "col", "n"] and found["crosstab"].count() == 1500
+    test = found["test"].first()
+    assert test.dof == 3 * 1499 and test.n == 6000
+    flags = actions.one_hot_encode(table, ["wide", "narrow"])
+    assert len(flags.columns) == 1504

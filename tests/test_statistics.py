@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -38,8 +39,8 @@ def test_normality(weights, method, stat, p):
 def test_normality_dispatch(spark, weights, lineitem):
     assert parametric.normality(weights, "x").first().method == "shapiro"
     assert parametric.normality(lineitem, "l_quantity").first().method == "normaltest"
-    sampled = parametric.normality(lineitem, "l_extendedprice", "shapiro", key=["l_orderkey", "l_linenumber"]).first()
-    assert sampled.method == "shapiro" and 0.9 < sampled.stat < 1
+    whole = parametric.normality(lineitem, "l_extendedprice", "shapiro").first()
+    assert whole.method == "shapiro" and 0.9 < whole.stat < 1 and whole.n_used == whole.n == lineitem.count()
     with pytest.raises(AnalysisError, match="n_too_small"):
         parametric.normality(weights.limit(2), "x")
     with pytest.raises(AnalysisError, match="missing_column"):
@@ -53,13 +54,44 @@ def test_normality_of_a_constant(spark):
         assert math.isnan(row.stat) and not row.rejected
 
 
-def test_shapiro_small_sizes():
-    w, p = parametric.shapiro_wilk([1.0, 2.0, 4.0])
-    assert w == pytest.approx(0.9642857) and p == pytest.approx(0.6368868, abs=1e-5)
-    assert parametric.shapiro_wilk([3.0] * 5) == (1.0, 1.0)
+def plain_shapiro_w(values):
+    """W over a sorted list, with the library's normal quantile."""
+    x, n = sorted(values), len(values)
+    score = statistics.NormalDist().inv_cdf
+    m = [score((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    mm, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    if n == 3:
+        a = [-math.sqrt(0.5), 0, math.sqrt(0.5)]
+    else:
+        poly = lambda c, last: sum(k * u**(5 - i) for i, k in enumerate(c)) + last
+        ends = [poly((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157), m[-1] / math.sqrt(mm))]
+        if n > 5:
+            ends.append(poly((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981), m[-2] / math.sqrt(mm)))
+        phi = (mm - 2 * sum(m[-1 - i] ** 2 for i in range(len(ends)))) / (1 - 2 * sum(e * e for e in ends))
+        a = [v / math.sqrt(phi) for v in m]
+        for i, e in enumerate(ends):
+            a[i], a[-1 - i] = -e, e
+    mean = sum(x) / n
+    return sum(v * w for v, w in zip(a, x)) ** 2 / sum((v - mean) ** 2 for v in x)
+
+
+def test_shapiro_equals_the_plain_sum(spark, monkeypatch):
+    monkeypatch.setattr(parametric, "SCORED_RANKS", 7)
     rng = random.Random(5)
-    rejected = sum(parametric.shapiro_wilk([rng.gauss(0, 1) for _ in range(20)])[1] < 0.05 for _ in range(1000))
-    assert 25 < rejected < 80
+    for values in ([1.0, 2.0, 4.0], [1, 2, 2, 9], [3, 1, 4, 1, 5], [1, 2, 3, 4, 5, 60], [rng.gauss(10, 2) for _ in range(300)],
+                   [float(rng.randrange(6)) for _ in range(2000)], [1e9 + rng.random() for _ in range(50)]):
+        row = parametric.normality(spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3), "x", "shapiro").first()
+        assert row.stat == pytest.approx(plain_shapiro_w(values), rel=1e-6)
+    three = parametric.normality(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double"), "x", "shapiro").first()
+    assert three.stat == pytest.approx(0.9642857) and three.p == pytest.approx(0.6368868, abs=1e-5)
+    same = parametric.normality(spark.createDataFrame([(3.0,)] * 5, "x double"), "x", "shapiro").first()
+    assert (same.stat, same.p) == (1.0, 1.0)
+
+
+def test_normal_scores(spark):
+    ps = [10.0**-k for k in range(1, 300, 13)] + [i / 97 for i in range(1, 97)] + [1 - 1e-9]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").select("p", parametric.normal_score(F.col("p")).alias("z")).collect()
+    assert all(r.z == pytest.approx(statistics.NormalDist().inv_cdf(r.p), rel=1e-12, abs=1e-15) for r in rows)
 
 
 def test_tail_functions(spark):
