@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import language, quality, simhash, toxicity, vector_dedup, word_bpe
 from tabulon.llm.byte_bpe import decoder, encode_documents
 from tabulon.llm.conversation_repair import damaged, read_turns, repair_conversations
-from tabulon.llm.exact_dedup import DigestIndex
+from tabulon.llm.exact_dedup import deduplicate_in_batches
 from tabulon.llm.metric_trees import vector_codes
 from tabulon.llm.oracles import repair_sql, vector_codes_sql
 from tabulon.llm.packing import pack_documents
@@ -143,8 +142,7 @@ WITH rows AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM rows WINDOW g AS (PARTITION BY text_sha256)""")
 def op10(spark, sf_dir):
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return index.deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate_in_batches(table(spark, sf_dir, "documents"))
 
 
 @query("op11_conversation_repair", repair_sql())

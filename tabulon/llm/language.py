@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.shared import held_out, ship, text_slices
@@ -27,6 +27,7 @@ HIDDEN = 8
 STRETCH = 32
 TRAIN_DOCUMENTS = 2000  # the most labelled documents that are learnt from, per language
 TRAIN_STRETCHES = 24_000
+MOST_LANGUAGES = 200  # the most frequent ones are learnt
 STEPS = 500
 BATCH = 512
 RATE = 0.02
@@ -123,6 +124,12 @@ class Network:
                     total += scores
         return total.T
 
+    def labels(self, text: bytes) -> np.ndarray:
+        """The likeliest language at every byte of a text, as a number."""
+        data, _, _ = stretches([text])
+        states = np.concatenate([np.stack(self._run(data, way, None), axis=1) for way in (0, 1)], axis=2)
+        return (states @ self.weights["out"] + self.weights["bias"]).argmax(axis=2).ravel()[:len(text)]
+
     def gradient(self, data: np.ndarray, used: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over all positions in use."""
         w, h = self.weights, self.hidden
@@ -184,30 +191,39 @@ class Network:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = TRAIN_DOCUMENTS) -> Network:
-    """A network fitted on at most ``per_language`` documents of each language that are not held out, by the hash of their ids.
+          per_language: int = TRAIN_DOCUMENTS, most_languages: int = MOST_LANGUAGES) -> Network:
+    """A network fitted on at most ``per_language`` different documents of each of the most frequent languages, none of them held out.
 
-    The sample is bounded by the parameter times the number of languages; of its texts at most TRAIN_STRETCHES stretches are learnt, drawn
-    over the whole texts.
+    Documents are chosen, and put in order, by a hash of id and text, so the sample is the same however files are cut and rows repeat, and
+    rows of one id, or without ids, are chosen by their texts. The sample is bounded by the two parameters; of each of its texts at most
+    TRAIN_STRETCHES / TRAIN_DOCUMENTS stretches (12 of 32 bytes) are learnt, spread evenly over the whole text.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    # Thinned by a hash threshold per language, then cut exactly: no sort over the table, no group in one task.
-    share = F.lit(False)
-    for lang, n in counts.items():
-        share = share | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(1 << 30))
-                                                    < int(min(1.0, per_language / n) * (1 << 30))))
-    sampled = known.where(share).select("lang", _sampled_stretches(docs)("text").alias("parts"))
-    data, used, target, languages = [], [], [], sorted(counts)
-    for row in sampled.collect():
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))).select(
+        "lang", "text", F.xxhash64(F.col("id").cast("string"), "text", F.lit("fit")).alias("order"))
+    # Languages are bounded; their different documents are counted roughly, to thin them to a few times the sample before the exact cut.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("order").alias("different"))
+    shares = {r.lang: int(min(1.0, 2 * per_language / r.different) * (1 << 30))
+              for r in counts.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    if not shares:
+        return Network([])
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
+    thinned = known.where(F.pmod("order", F.lit(1 << 30)) < share).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    sampled = thinned.withColumn("place", place).where(F.col("place") <= per_language).select(
+        "lang", "order", _sampled_stretches(docs)("text").alias("parts"))
+    rows = sorted(sampled.collect(), key=lambda r: (r.lang, r.order))
+    languages = sorted({r.lang for r in rows})
+    data, used, target = [], [], []
+    for row in rows:
         part = np.frombuffer(row.parts, np.uint8).reshape(-1, STRETCH + 1)
         data.append(part[:, 1:])
         used.append(part[:, 0])
         target.append(np.full(len(part), languages.index(row.lang)))
-    network = Network(languages)
-    return network.fit(np.concatenate(data), np.concatenate(used).astype(np.int64), np.concatenate(target)) if data else network
+    if not sum(map(len, data)):
+        return Network([])
+    return Network(languages).fit(np.concatenate(data), np.concatenate(used).astype(np.int64), np.concatenate(target))
 
 
 def _sampled_stretches(docs: DataFrame, each: int = max(1, TRAIN_STRETCHES // TRAIN_DOCUMENTS)):
@@ -256,6 +272,28 @@ def predictor(docs: DataFrame, network: Network):
     return predict
 
 
+def labelled_positions(docs: DataFrame, network: Network, text_col: str = "text", out: str = "positions") -> DataFrame:
+    """The table with the language of every position: runs (start, end, lang) over the text's bytes; none where nothing was learnt."""
+    ship(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(network))
+    schema = "array<struct<start: long, end: long, lang: string>>"
+
+    @F.arrow_udf(schema)
+    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _loaded(shipped.value)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+        for batch in batches:
+            found = []
+            for text in batch.to_pylist():
+                label = model.labels(text.encode()) if text and model.languages else np.zeros(0, np.int64)
+                first = np.flatnonzero(np.diff(label, prepend=-1))
+                found.append([{"start": s, "end": e, "lang": model.languages[label[s]]}
+                              for s, e in zip(first.tolist(), [*first[1:].tolist(), len(label)])])
+            yield pa.array(found, kind)
+
+    return docs.withColumn(out, runs(F.col(f"`{text_col}`").cast("string")))
+
+
 def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "language",
                network: Network | None = None) -> DataFrame:
     """The table with a struct column (lang, score); trains on the table itself unless a network is given."""

@@ -1,5 +1,6 @@
 """Near and exact duplicates, preference formatting and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 import uuid
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from tabulon.llm import groups, near_texts, preference, simhash, vector_dedup
+from tabulon.llm import exact_dedup, groups, near_texts, preference, simhash, vector_dedup
 from tabulon.llm.exact_dedup import DigestIndex
 from tabulon.llm.graph import components, local_roots
 
@@ -237,7 +238,8 @@ def test_exact_index_keeps_over_batches(spark, tmp_path):
     index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", str(tmp_path / "index"), buckets=4)
     first = [(5, "a  b"), (2, "a b"), (2, "a\tb"), (None, "a b"), (None, "only null"), (7, None), (6, ""), (8, "c")]
     schema = "doc_id long, text string, digest string, row string"
-    got = index.deduplicate(spark.createDataFrame([(*r, "x", "y") for r in first], schema)).collect()
+    rows = spark.createDataFrame([(*r, "x", "y") for r in first], schema)
+    got = index.deduplicate(rows, "one").collect()
     assert len(got) == 8
     by = {}
     for r in got:
@@ -245,12 +247,40 @@ def test_exact_index_keeps_over_batches(spark, tmp_path):
     sizes = sorted((len(v), v[0].group_size, v[0].keep_id, sum(r.kept for r in v)) for v in by.values() if v[0].keep_id is not None)
     assert sizes == [(1, 1, 8, 1), (2, 2, 6, 1), (4, 4, 2, 1)]
     assert [r.kept for r in got if r.keep_id is None] == [True]
-    second = index.deduplicate(spark.createDataFrame([(1, "a b", "", ""), (9, "new", "", ""), (8, "c", "", "")], schema)).collect()
-    assert {(r.doc_id, r.keep_id, r.kept) for r in second} == {(1, 2, False), (9, 9, True), (8, 8, False)}
+    # Given again, as after a lost driver, the batch decides as before and adds nothing.
+    assert sorted(map(str, index.deduplicate(rows, "one").collect())) == sorted(map(str, got))
+    assert index.read().count() == 4
+    later = spark.createDataFrame([(1, "a b", "", ""), (9, "new", "", ""), (8, "c", "", "")], schema)
+    for _ in range(2):
+        second = index.deduplicate(later, "two").collect()
+        assert {(r.doc_id, r.keep_id, r.kept) for r in second} == {(1, 2, False), (9, 9, True), (8, 8, False)}
     assert index.read().count() == 5
     plan = index.read().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # bucketed by digest
-    assert index.deduplicate(spark.createDataFrame([], schema)).count() == 0
+    assert index.deduplicate(spark.createDataFrame([], schema), "three").count() == 0
+    index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_decide_like_the_whole(spark, batches):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(40)]), rng.choice(["a", "a ", "a  ", None, "", f"t{rng.randrange(9)}"]), "x") for _ in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, batch string").repartition(3)
+    tables = spark.catalog.listTables()
+    got = exact_dedup.deduplicate_in_batches(frame, batches).collect()
+    assert len(spark.catalog.listTables()) == len(tables)
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(re.sub("[ \t-\r]+", " ", t or ""), []).append(i)
+    expected = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    assert len(got) == len(rows)
+    for digest, ids in expected.items():
+        own = [r for r in got if r.text_sha256 == digest]
+        smallest = min((i for i in ids if i is not None), default=None)
+        assert sorted(map(str, (r.doc_id for r in own))) == sorted(map(str, ids))
+        assert {r.keep_id for r in own} == {smallest} and {r.group_size for r in own} == {len(ids)}
+        assert [r.doc_id for r in own if r.kept] == [smallest]
+    assert exact_dedup.deduplicate_in_batches(frame.limit(0), batches).count() == 0
 
 
 def test_preference(spark):

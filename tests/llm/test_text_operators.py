@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabulon.llm import byte_bpe, language, packing, quality, shared, simhash, token_files, toxicity
@@ -29,7 +30,6 @@ def odd(spark):
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
 
 
@@ -230,6 +230,49 @@ def test_language(labelled):
     assert {r.own.lang for r in language.identified(docs.drop("lang").selectExpr("*", "string(null) lang"), out="own").collect()} == {"und"}
 
 
+def test_language_is_learnt_alike_however_rows_lie(spark, labelled, monkeypatch):
+    """The same rows in one and in nine partitions, with repeats or without ids, give the same training data."""
+    docs, _ = labelled
+    seen = []
+
+    class Recorder(language.Network):
+        def fit(self, data, used, target, steps=0):
+            seen.append((self.languages, data.tobytes(), used.tobytes(), target.tobytes()))
+            return self
+
+    monkeypatch.setattr(language, "Network", Recorder)
+    for rows in (docs.repartition(1), docs.repartition(9), docs.unionByName(docs), docs.unionByName(docs.limit(5)).repartition(4)):
+        language.train(rows, per_language=20)
+    assert len(seen) == 4 and all(x == seen[0] for x in seen)
+    same_id = docs.withColumn("doc_id", F.lit(3).cast("long"))
+    no_id = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for rows in (same_id, no_id):
+        before = len(seen)
+        language.train(rows, per_language=20)
+        assert len(seen) == before + 1 and len(seen[-1][1]) > 0
+    assert len(language.train(docs, per_language=20, most_languages=1).languages) == 1
+
+
+def test_nothing_to_learn_from(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    docs = spark.createDataFrame([(held, "some words", "en"), (held, "weitere Worte", "de")], "doc_id long, text string, lang string")
+    assert {tuple(r.own) for r in language.identified(docs, out="own").collect()} == {("und", 0.0)}
+
+
+def test_positions_are_labelled(labelled):
+    docs, _ = labelled
+    network = language.train(docs)
+    rows = language.labelled_positions(docs, network, out="own").collect()
+    agreed = total = 0
+    for r in rows:
+        assert [x.start for x in r.own] == [0, *[x.end for x in r.own]][:len(r.own)]
+        assert sum(x.end - x.start for x in r.own) == len((r.text or "").encode())
+        if r.lang in network.languages and r.text:
+            agreed += sum(x.end - x.start for x in r.own if x.lang == r.lang)
+            total += len(r.text.encode())
+    assert agreed > 0.7 * total
+
+
 def test_network_gradient():
     network = language.Network(["a", "b", "c"], hidden=3)
     network.weights = {k: v.astype(np.float64) for k, v in network.weights.items()}
