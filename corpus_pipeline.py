@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import language, near_texts, quality
-from tabulon.llm.exact_dedup import DigestIndex
+from tabulon.llm.exact_dedup import deduplicate_in_batches
 from tabulon.llm.packing import pack_documents
 from tabulon.llm.shared import unused, written
 
@@ -34,8 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the smallest id."""
     rows, row = _numbered(docs)
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    found = index.deduplicate(rows.select("doc_id", "text", F.col(row).alias("tag")), tag_col="tag")
+    found = deduplicate_in_batches(rows.select("doc_id", "text", F.col(row).alias("tag")), tag_col="tag")
     return _without(docs, rows, row, found.where(~F.col("kept")))
 
 
