@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabulon.llm.shared import unused, written
 
-# Compares rows with equal keys (ascending); with sides only rows of different sides.
-Compare = Callable[[np.ndarray, pa.Table, np.ndarray | None], dict[str, np.ndarray]]
+# Compares rows with equal keys (ascending); with sides only rows of different sides. Results come in pieces that fit into memory.
+Compare = Callable[[np.ndarray, pa.Table, np.ndarray | None], Iterator[dict[str, np.ndarray]]]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int | None) -> Iterator[tuple[pa.Table, bool]]:
@@ -59,8 +59,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int | None)
         yield from cut(pa.Table.from_batches(held))
 
 
-def pairs_in_groups(rows: DataFrame, key: str, order: str, found: T.StructType, compare: Compare, limit: int) -> DataFrame:
-    """All that ``compare`` finds between rows with equal keys (a long or int column); ``order`` is a column that differs inside a key."""
+def pairs_in_groups(rows: DataFrame, key: str, order: str, found: T.StructType, compare: Compare, limit: int,
+                    salt: int | None = None) -> DataFrame:
+    """All that ``compare`` finds between rows with equal keys (a long or int column); ``order`` is a column that differs inside a key.
+
+    With a salt, the rows of a hot key meet only those of their own tile, which the salt chooses: a look at part of the pairs.
+    """
     kept, (given,) = rows.columns, unused(rows, "given")
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in found), T.StructField(given, rows.schema)])
     arrow, plain = to_arrow_schema(out), to_arrow_schema(found)
@@ -77,8 +81,9 @@ def pairs_in_groups(rows: DataFrame, key: str, order: str, found: T.StructType,
                                                        fields=list(arrow.field(given).type))
                     yield pa.RecordBatch.from_arrays([*columns, again], schema=arrow)
             else:
-                columns = result(compare(table.column(key).to_numpy(), table, None), plain)
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), arrow.field(given).type)], schema=arrow)
+                for values in compare(table.column(key).to_numpy(), table, None):
+                    columns = result(values, plain)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), arrow.field(given).type)], schema=arrow)
 
     first = written(rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(compared, out))
     links = first.where(F.col(given).isNull()).drop(given)
@@ -89,8 +94,8 @@ def pairs_in_groups(rows: DataFrame, key: str, order: str, found: T.StructType,
     n, tile, other, cell, side = unused(hot, "n", "tile", "other", "cell", "side")
     tiles = F.ceil(F.col(n) / (limit / 2))
     sizes = written(hot.groupBy(key).agg(F.count(F.lit(1)).alias(n)))
-    dealt = hot.join(sizes, key).withColumn(tile, F.pmod(F.xxhash64(order), tiles)).withColumn(
-        other, F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    dealt = hot.join(sizes, key).withColumn(tile, F.pmod(F.xxhash64(order, F.lit(salt or 0)), tiles)).withColumn(
+        other, F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)) if salt is None else F.col(tile))
     # Cells that a hash takes together are compared together, which adds pairs of other keys to those that are checked anyway.
     dealt = dealt.withColumns({
         cell: F.xxhash64(key, F.least(tile, other), F.greatest(tile, other)),
@@ -102,6 +107,7 @@ def pairs_in_groups(rows: DataFrame, key: str, order: str, found: T.StructType,
             for mask, given_sides in ((sides == 0, None), (sides > 0, sides[sides > 0])):
                 if mask.any():
                     part = table.filter(pa.array(mask))
-                    yield pa.RecordBatch.from_arrays(result(compare(part.column(cell).to_numpy(), part, given_sides), plain), schema=plain)
+                    for values in compare(part.column(cell).to_numpy(), part, given_sides):
+                        yield pa.RecordBatch.from_arrays(result(values, plain), schema=plain)
 
     return links.unionByName(dealt.repartition(cell).sortWithinPartitions(cell, side).mapInArrow(crossed, found))

@@ -7,8 +7,9 @@ are rare ones; the order decides how many pairs are compared, not which are foun
 
 Keys are shuffled once. Only those that several sets share go on, each member with a leader of its key (the smallest set that is
 not too small for it). Every set is first verified against the leader that most of its keys name; the components of the verified links
-leave only keys whose members lie in different components. Their members are compared pair by pair in ``groups.pairs_in_groups``, which deals
-a hot key into pairs of tiles, and a pair goes on only if its parity sketches allow the similarity: bit h of a sketch is set if an odd
+leave only keys whose members lie in different components, one of those with the same members. In two rounds every member looks for
+the nearest one of another component, which lets families grow together; then all members are compared pair by pair in
+``groups.pairs_in_groups``, which deals a hot key into pairs of tiles. In all rounds a pair goes on only if its parity sketches allow the similarity: bit h of a sketch is set if an odd
 number of the set's shingles hash to h, so two sketches differ in at most as many bits as the sets differ in shingles. The texts of the
 pairs left meet at their first end, each once for a pair at most; ends with many pairs are salted.
 
@@ -38,7 +39,8 @@ WORDS = 5
 LEAST = 0.8
 SAMPLE = 10_000  # texts, chosen by hash, whose frequent shingles come last in the order
 FREQUENT = 200_000  # shingles at most that are sent to the workers
-GROUP = 4_096  # keys with more sets are dealt into tiles
+GROUP = 2_048  # keys with more sets are dealt into tiles
+PAIRS_HELD = 500_000  # pairs that a task collects before they go out
 PAIRS_OF_END = 4_096  # pairs that one task verifies for one set
 BROADCAST_ROWS = 500_000  # rows of two longs that may be broadcast, counted beforehand
 
@@ -237,29 +239,50 @@ def near_duplicates(docs: DataFrame, tag_col: str, id_col: str = "doc_id", text_
         F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
     found = _verified(tested, texts, nodes, words, least)
 
-    root = written(components(found))
-    placed = written(shared.drop("leader").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
     sketches = rows.join(nodes.select("tag"), "tag", "left_semi").select("node", "sketch")
-    wanted = placed.join(sketches, "node")
-
-    def compared(keys: np.ndarray, part: pa.Table, sides: np.ndarray | None) -> dict[str, np.ndarray]:
-        return _similar_pairs(keys, part, sides, least)
-
-    apart = pairs_in_groups(wanted, "key", "node", T.StructType.fromDDL("a long, b long"), compared, limit=GROUP)
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(apart.distinct().join(known, ["a", "b"], "left_anti"))
-    found = found.unionByName(_verified(rest, texts, nodes, words, least))
+    # First every set looks for the nearest one of another component, twice: families grow together, and few pairs are left to all of them.
+    for salt in (1, 2, None):
+        root = written(components(found))
+        apart = written(_apart(shared, root, sketches, least, salt))
+        if salt == 1:
+            # A key none of whose pairs may be similar is done with; a hot one, of which a part was seen, is not.
+            hot = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key")
+            shared = written(shared.join(apart.select("key").unionByName(hot).distinct(), "key", "left_semi"))
+        rest = written(apart.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+        found = found.unionByName(_verified(rest, texts, nodes, words, least))
+        known = known.unionByName(rest)
     root = written(components(found))
     return rows.join(root, "node", "left").select("doc_id", "tag", F.coalesce("root", "node").alias("component"))
 
 
-def _similar_pairs(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None, least: float) -> dict[str, np.ndarray]:
-    """Pairs a < b with one key, of different components and sides, that may be similar."""
-    node, size, root = (rows.column(c).to_numpy() for c in ("node", "size", "root"))
+def _apart(shared: DataFrame, root: DataFrame, sketches: DataFrame, least: float, salt: int | None) -> DataFrame:
+    """(key, a, b), a < b: sets that share a key, lie in different components and may be similar; with a salt only some, the nearest ones."""
+    placed = written(shared.drop("leader").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Keys with the same members bring the same pairs: one of them is enough.
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in range(2)]
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *members).where(
+        "low <> high").groupBy("n", "members0", "members1").agg(F.min("key").alias("key")).select("key")
+    # Cells of a hot key come under a key of their own, so the key goes along.
+    wanted = placed.join(mixed, "key", "left_semi").join(sketches, "node").withColumn("of", F.col("key"))
+
+    def compared(keys: np.ndarray, part: pa.Table, sides: np.ndarray | None) -> Iterator[dict[str, np.ndarray]]:
+        return _similar_pairs(keys, part, sides, least, salt is not None)
+
+    return pairs_in_groups(wanted, "key", "node", T.StructType.fromDDL("key long, a long, b long"), compared, limit=GROUP, salt=salt)
+
+
+def _similar_pairs(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None, least: float, nearest: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Pairs a < b with one key, of different components and sides, that may be similar; or the nearest of them for each row."""
+    node, size, root, key = (rows.column(c).to_numpy() for c in ("node", "size", "root", "of"))
     sketches = Sketches([np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()])
-    pairs = [np.zeros((0, 2), np.int64)]
+    pairs, held = [np.zeros((0, 3), np.int64)], 0
+
+    def unique() -> dict[str, np.ndarray]:
+        found = np.concatenate(pairs)
+        first = np.unique(found[:, 1:] if not nearest else found, axis=0, return_index=True)[1]
+        return dict(zip(("key", "a", "b"), found[first].T))
+
     opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     for start, end in zip(opens.tolist(), [*opens[1:].tolist(), len(keys)]):
         order = start + np.argsort(size[start:end], kind="stable")
@@ -271,8 +294,16 @@ def _similar_pairs(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None, l
             there = there[root[there] != root[here]]
             if sides is not None:
                 there = there[sides[there] != sides[here]]
-            if len(there):
-                there = there[sketches.differing(here, there) <= most_differing(size[here], size[there], least)]
-                pairs.append(np.stack([np.minimum(node[here], node[there]), np.maximum(node[here], node[there])], axis=1))
-    found = np.unique(np.concatenate(pairs), axis=0)
-    return {"a": found[:, 0], "b": found[:, 1]}
+            if not len(there):
+                continue
+            differing = sketches.differing(here, there)
+            may = differing <= most_differing(size[here], size[there], least)
+            if nearest and may.any():
+                may = np.flatnonzero(may)[[np.argmin(differing[may])]]
+            there = there[may]
+            pairs.append(np.stack([np.full(len(there), key[here]), np.minimum(node[here], node[there]), np.maximum(node[here], node[there])], axis=1))
+            held += len(there)
+            if held > PAIRS_HELD:
+                yield unique()
+                pairs, held = [np.zeros((0, 3), np.int64)], 0
+    yield unique()

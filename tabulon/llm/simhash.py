@@ -234,11 +234,11 @@ def links(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
                 row, key = fuzzy_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(part[row])], ["key", "print"])
 
-    def compared(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None) -> dict[str, np.ndarray]:
+    def compared(keys: np.ndarray, rows: pa.Table, sides: np.ndarray | None) -> Iterator[dict[str, np.ndarray]]:
         own = rows.column("print").to_numpy().view(np.uint64)
         a, b = _links_of_groups(keys, own, most) if sides is None else _links_of_sides(keys, own, sides, most)
         pairs = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
-        return {"a": pairs[:, 0], "b": pairs[:, 1]}
+        yield {"a": pairs[:, 0], "b": pairs[:, 1]}
 
     keys = prints.select("print").mapInArrow(keyed, "key int, print long")
     return pairs_in_groups(keys, "key", "print", T.StructType.fromDDL("a long, b long"), compared, limit=GROUP)

@@ -126,6 +126,7 @@ def test_near_dedup_stage_finds_all_similar_texts(spark, sf, tmp_path, monkeypat
     monkeypatch.setattr(near_texts, "GROUP", group)
     monkeypatch.setattr(simhash, "GROUP", group)
     monkeypatch.setattr(near_texts, "PAIRS_OF_END", group)
+    monkeypatch.setattr(near_texts, "PAIRS_HELD", group)
     rng = random.Random(7)
     texts = [None, "", " \n", "One two", "one TWO", "one two three", "all rights reserved by the owner of these words"]
     for _ in range(60):
@@ -168,7 +169,7 @@ def test_pairs_in_groups_of_any_size(spark):
         ids = table.column("id").to_numpy()
         found = [(ids[a], ids[b]) for a in range(len(ids)) for b in range(len(ids)) if ids[a] < ids[b] and keys[a] == keys[b]
                  and (sides is None or sides[a] != sides[b])]
-        return {"a": np.array([a for a, _ in found], np.int64), "b": np.array([b for _, b in found], np.int64)}
+        yield {"a": np.array([a for a, _ in found], np.int64), "b": np.array([b for _, b in found], np.int64)}
 
     expected = sorted((i, j) for k, i in rows for m, j in rows if k == m and i < j)
     for limit in (5, 40):
