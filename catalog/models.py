@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import GAPPY_CUSTOMER, gappy_customer, query, rounded, table
 from tabulon.operators import automl, charts
 from tabulon.operators.linear import fit_linear_regression, linear_regression
-from tabulon.operators.logistic import logistic_regression, roc_auc, roc_points
+from tabulon.operators.logistic import logistic_regression, roc_auc, roc_curve, roc_points
 from tabulon.operators.multivariate import kmeans, pca
 
 # Normal equations of l_extendedprice on l_quantity and l_discount, by covariances.
@@ -96,6 +96,31 @@ def _roc_points(spark, sf):
     return rounded(roc_points(_labelled(spark, sf), "quality", "n_chars"), 8, "fpr", "tpr")
 
 
+@query("roc_curve", f"""
+    WITH d AS (SELECT n_chars AS s, sum(quality) AS p, sum(1 - quality) AS n FROM {_LABELLED} GROUP BY 1),
+         c AS (SELECT s::DOUBLE AS threshold, sum(n) OVER w / sum(n) OVER () AS fpr, sum(p) OVER w / sum(p) OVER () AS tpr
+               FROM d WINDOW w AS (ORDER BY s DESC)),
+         k AS (SELECT *, row_number() OVER (PARTITION BY floor((fpr + tpr) / 2 * 50) ORDER BY threshold) AS up,
+                      row_number() OVER (PARTITION BY floor((fpr + tpr) / 2 * 50) ORDER BY threshold DESC) AS down FROM c)
+    SELECT threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr FROM k WHERE up = 1 OR down = 1
+    UNION ALL SELECT NULL, 0.0, 0.0""")
+def _roc_curve(spark, sf):
+    return rounded(roc_curve(_labelled(spark, sf), "quality", "n_chars", 50), 8, "fpr", "tpr")
+
+
+# With one 0/1 column the likelihood is largest at the log odds of the four counts.
+@query("logit_two_by_two", """
+    WITH c AS (SELECT count_if(quality = 1 AND toxic = 1)::DOUBLE AS a, count_if(quality = 0 AND toxic = 1)::DOUBLE AS b,
+                      count_if(quality = 1 AND toxic = 0)::DOUBLE AS c, count_if(quality = 0 AND toxic = 0)::DOUBLE AS d FROM labels),
+         t AS (SELECT 'intercept' AS term, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM c
+               UNION ALL SELECT 'toxic', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM c)
+    SELECT term, round(coef, 6) AS coef, round(exp(coef), 6) AS odds_ratio, round(exp(coef - 1.959963984540054 * se), 6) AS or_low,
+           round(exp(coef + 1.959963984540054 * se), 6) AS or_high FROM t""")
+def _logit_two_by_two(spark, sf):
+    fit = logistic_regression(table(spark, sf, "labels"), "quality", ["toxic"])
+    return rounded(fit.coefficients().drop("p"), 6, "coef", "odds_ratio", "or_low", "or_high")
+
+
 @query("pca_variance", """
     WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
     SELECT 'PC1' AS component, round((1 + r) / 2, 6) AS ratio, round((1 + r) / 2, 6) AS cumulative FROM c

@@ -13,7 +13,7 @@ from tabulon.functions.rounds import Steps, finished, solve
 from tabulon.operators import charts, describe, profiling
 from tabulon.operators.correlation import correlation_columns, correlation_matrix, correlation_steps, top_pairs
 from tabulon.operators.linear import linear_steps
-from tabulon.operators.logistic import logistic_regression, roc_auc, roc_points
+from tabulon.operators.logistic import logistic_regression, roc_auc, roc_curve
 from tabulon.operators.multivariate import kmeans, pca
 from tabulon.operators.parametric import anova_oneway, chi_square, normality_steps, one_sample_steps, paired_steps, ttest_welch
 from tabulon.operators.rank_tests import friedman_steps, kruskal_wallis, mann_whitney
@@ -131,7 +131,7 @@ def _linear(df, p):
 def _logistic(df, p):
     fit = logistic_regression(df, str(p.get("y")), _names(p, "x"))
     tables = {"info": fit.info(), "coefficients": fit.coefficients(), "auc": roc_auc(fit.scores(), "label", "score")}
-    return (yield from finished((tables, {"roc": lambda: roc_points(fit.scores(), "label", "score")})))
+    return (yield from finished((tables, {"roc": lambda: roc_curve(fit.scores(), "label", "score")})))
 
 
 def _pca(df, p):

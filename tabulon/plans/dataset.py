@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import normalize_missing, resolve_columns
-from tabulon.operators.actions import ACTIONS, apply_actions, replace_missing, validate_actions
-from tabulon.sources.writers import read_json_document, write_json_document
+from tabulon.operators.actions import ACTIONS, apply_action, replace_missing, validate_actions
+from tabulon.sources.writers import delete_folder, folder_exists, read_json_document, write_json_document
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,7 @@ class Dataset:
         self.meta = {k: dict(v) for k, v in (meta or {}).items()}
         self.order_by = list(order_by)
         self._tables = [self.raw]  # the plan after 0, 1, 2, ... actions, as far as it was asked for
+        self._facts: list[dict[str, Any]] = []  # what each of these actions has read of the data
 
     # -- the current table ------------------------------------------------------------------
 
@@ -59,8 +61,11 @@ class Dataset:
     def df(self) -> DataFrame:
         """The raw table after the first ``cursor`` actions, with column metadata attached."""
         # Numbers that an action computed from the data (a mean, a quantile) are literals of its plan: no action is resolved twice.
-        for action in self.actions[len(self._tables) - 1:self.cursor]:
-            self._tables.append(apply_actions(self._tables[-1], [action], order_by=self.order_by))
+        for i in range(len(self._tables) - 1, self.cursor):
+            if i == len(self._facts):
+                self._facts.append({})
+            self._tables.append(normalize_missing(apply_action(
+                self._tables[-1], self.actions[i], order_by=self.order_by, facts=self._facts[i])))
         table = self._tables[self.cursor]
         for original, current in self.current_names().items():
             if original in self.meta and current in table.columns:
@@ -93,7 +98,7 @@ class Dataset:
         copy = Dataset.__new__(Dataset)
         copy.__dict__.update(raw=self.raw, _stored=self._stored, **{**state, **changes})
         same = next((i for i, (a, b) in enumerate(zip(copy.actions, self.actions)) if a != b), min(len(copy.actions), len(self.actions)))
-        copy._tables = self._tables[:same + 1]
+        copy._tables, copy._facts = self._tables[:same + 1], self._facts[:same]
         return copy
 
     def new_baseline(self, df: DataFrame) -> Dataset:
@@ -154,27 +159,43 @@ class Dataset:
     def save(self, path: str) -> None:
         """The raw table as Parquet and the recipe as JSON. The current table is replayed, not stored.
 
-        The raw table never changes, so it is written only where it does not lie already; each write goes to a
-        folder of its own, which the recipe names last. A save that breaks off leaves the earlier state.
+        The raw table never changes, so it is written only where it does not lie already, each time to a folder of its own. Recipes
+        are numbered folders of one file each, which appears as a whole or not at all; the one with the highest number counts, and the
+        others go only after it is there. So a save that breaks off anywhere leaves a state that loads. What the actions have read of
+        the data (means, quantiles, levels) is stored with them.
         """
         path = path.rstrip("/")
+        spark = self.raw.sparkSession
         if self._stored is None or self._stored[0] != path:
             folder = f"raw-{uuid.uuid4().hex}"
             self.raw.write.parquet(f"{path}/{folder}")
             self._stored = (path, folder)
-        recipe = {"version": 2, "raw": self._stored[1], "actions": self.actions, "cursor": self.cursor, "meta": self.meta,
-                  "order_by": self.order_by}
-        write_json_document(self.raw.sparkSession, recipe, f"{path}/recipe")
+        recipe = {"version": 3, "raw": self._stored[1], "actions": self.actions, "cursor": self.cursor, "meta": self.meta,
+                  "order_by": self.order_by, "facts": self._facts}
+        older = [number for number, _ in _recipes(spark, path)]
+        write_json_document(spark, recipe, f"{path}/recipes/number={max(older, default=-1) + 1}")
+        for number in older:
+            delete_folder(spark, f"{path}/recipes/number={number}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Dataset:
+        """The dataset of the newest recipe; no action reads the data again whose facts were stored."""
         path = path.rstrip("/")
-        recipe = read_json_document(spark, f"{path}/recipe")
+        found = _recipes(spark, path)
+        recipe = json.loads(max(found)[1]) if found else read_json_document(spark, f"{path}/recipe")
         folder = recipe.get("raw", "raw")
         data = Dataset(spark.read.parquet(f"{path}/{folder}"), recipe["actions"], recipe["cursor"], recipe["meta"],
                        recipe["order_by"])
+        data._facts = recipe.get("facts", [])
         data._stored = (path, folder)
         return data
 
 
+def _recipes(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and text of each recipe of a saved dataset."""
+    if not folder_exists(spark, f"{path}/recipes"):
+        return []
+    return [(r.number, r.value) for r in spark.read.schema("value string, number long").text(f"{path}/recipes").collect()]
+
+
 SUPPORTED_ACTIONS = tuple(ACTIONS)

@@ -56,3 +56,19 @@ def write_json_document(spark: SparkSession, document: Any, path: str) -> None:
 
 def read_json_document(spark: SparkSession, path: str) -> Any:
     return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, whichever it is, and the path in it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _hadoop(spark, path)
+    return files.exists(place)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, place = _hadoop(spark, path)
+    files.delete(place, True)

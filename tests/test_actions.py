@@ -180,3 +180,41 @@ def test_transform(mixed):
     assert data.transform(lambda df: df) is data
     after = data.transform(lambda df: df.where("id > 1"))
     assert after.history()["total"] == 0 and after.df.count() == data.df.where("id > 1").count()
+
+
+def test_saved_states_survive_breaks_and_load_without_reading_the_data(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "d")
+    rows = spark.createDataFrame([(i, float(i % 7) if i % 5 else None, "ab"[i % 2]) for i in range(60)], "id int, x double, s string")
+    steps = [{"type": "fillna", "params": {"columns": ["x"], "strategy": "median"}}, {"type": "winsorize", "params": {"columns": ["x"]}},
+             {"type": "standardize", "params": {"columns": ["x"]}}, {"type": "one_hot_encode", "params": {"columns": ["s"]}}]
+    data = Dataset(rows, order_by=["id"]).apply(*steps)
+    expected = sorted(map(tuple, data.df.collect()))
+    data.undo().save(path)
+    data.save(path)
+    assert len(list((tmp_path / "d" / "recipes").glob("number=*"))) == 1
+
+    def broken(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:  # a break before the new recipe is there, and one before the old one goes
+        patch.setattr("tabulon.plans.dataset.write_json_document", broken)
+        with pytest.raises(OSError):
+            data.undo().save(path)
+    assert sorted(map(tuple, Dataset.load(spark, path).df.collect())) == expected
+    with monkeypatch.context() as patch:
+        patch.setattr("tabulon.plans.dataset.delete_folder", broken)
+        with pytest.raises(OSError):
+            data.undo().save(path)
+    loaded = Dataset.load(spark, path)
+    assert loaded.cursor == 3
+
+    spark.sparkContext.setJobGroup("replay", "")
+    again = loaded.redo()
+    three = loaded.df
+    tracker = spark.sparkContext.statusTracker()
+    assert not tracker.getJobIdsForGroup("replay")  # all numbers came from the recipe
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert three.count() == 60
+    assert sorted(map(tuple, again.df.collect())) == expected
+    changed = loaded.undo().apply({"type": "standardize", "params": {"columns": ["id"]}})
+    assert changed.df.columns == ["id", "x", "s"] and abs(changed.df.agg({"id": "avg"}).first()[0]) < 1e-9

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulon import AnalysisError
 from tabulon.operators import automl, charts
 from tabulon.operators.linear import fit_linear_regression, linear_regression
-from tabulon.operators.logistic import logistic_regression, roc_auc, roc_points
+from tabulon.operators.logistic import logistic_regression, roc_auc, roc_curve, roc_points
 from tabulon.operators.multivariate import kmeans, pca
 
 
@@ -98,6 +98,34 @@ def test_separated_classes_fall_back_to_ridge(spark):
     assert roc_auc(fit.scores(), "label", "score").first().auc == 1.0
 
 
+def test_the_branch_of_a_logistic_fit_is_proved(spark):
+    """Separation and dependence are found by counting rows and by eigenvalues, not guessed from sizes."""
+    rng = random.Random(8)
+    steep = [(x, int(x + rng.gauss(0, 0.02) > 0)) for x in (rng.uniform(-1, 1) for _ in range(300))]
+    fit = logistic_regression(spark.createDataFrame(steep, "x double, y int"), "y", ["x"])
+    data = np.array(steep)
+    assert fit.used == "likelihood" and fit.slopes[0] > 20  # very large, and finite
+    assert fit.slopes[0] == pytest.approx(newton(data[:, :1], data[:, 1])[0][1], rel=1e-4)
+    # All rows with the mark are of one class, the others mixed: no row contradicts the mark's direction.
+    quasi = [(float(i % 4 == 0), rng.gauss(0, 1), int(i % 4 == 0 or i % 3 == 0)) for i in range(200)]
+    assert logistic_regression(spark.createDataFrame(quasi, "m double, x double, y int"), "y", ["m", "x"]).used == "ridge"
+    twice = [(float(i), 3.0 - 2 * i, i * 7 % 5 > 2) for i in range(60)]
+    assert logistic_regression(spark.createDataFrame(twice, "a double, b double, y boolean"), "y", ["a", "b"]).used == "ridge"
+    constant = [(float(i), 1.0, i * 7 % 5 > 2) for i in range(60)]
+    assert logistic_regression(spark.createDataFrame(constant, "a double, b double, y boolean"), "y", ["a", "b"]).used == "ridge"
+
+
+def test_a_long_roc_curve_keeps_its_shape(spark):
+    rng = random.Random(9)
+    rows = [(int(rng.random() < s), s) for s in (rng.random() for _ in range(5000))]
+    df = spark.createDataFrame(rows, "y int, s double")
+    short = sorted((r.fpr, r.tpr, r.threshold) for r in roc_curve(df, "y", "s", 40).collect())
+    assert len(short) <= 2 * 41 + 1 and short[0] == (0.0, 0.0, None) and short[-1][:2] == (1.0, 1.0)
+    assert all(b[0] - a[0] <= 2 / 40 and b[1] - a[1] <= 2 / 40 for a, b in zip(short, short[1:]))
+    whole = {r.threshold: (r.fpr, r.tpr) for r in roc_points(df, "y", "s").collect()}
+    assert all(whole[t] == (f, p) for f, p, t in short[1:])
+
+
 def test_logistic_guards(spark, binary):
     with pytest.raises(AnalysisError, match="y_not_binary"):
         logistic_regression(binary.withColumn("z", F.col("a").cast("string")), "z", ["b"])
