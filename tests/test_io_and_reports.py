@@ -226,3 +226,27 @@ def test_cross_tables_of_any_width(spark):
     assert test.dof == 3 * 1499 and test.n == 6000
     flags = actions.one_hot_encode(table, ["wide", "narrow"])
     assert len(flags.columns) == 1504
+
+
+def test_csv_encoding_of_the_header_alone(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_bytes("城市,金额\na,1\n".encode("gbk"))
+    assert read_csv(spark, str(path)).columns == ["城市", "金额"]
+
+
+def test_csv_types_come_from_one_reading(spark, tmp_path, monkeypatch):
+    path = tmp_path / "t.csv"
+    path.write_text("a,long,big,x,day,at,flag,text,none,mark\n"
+                    "1,9007199254740993,123456789012345678901234567890,1.5,2024-01-05,2024-01-05 10:00:00,true,1d,NA,ok\n"
+                    "NA,NA,7,1e3,NA,2024-01-06T11:30:00,False,2,,\ufffd\n"
+                    " 3 ,9007199254740995,NA,-2,2024-02-05,NA,NA,x,null,é\n", encoding="utf-8")
+    read, plain = [], type(spark.range(1)).agg
+    monkeypatch.setattr(type(spark.range(1)), "agg", lambda self, *parts: read.append(1) or plain(self, *parts))
+    df = read_csv(spark, str(path))
+    monkeypatch.undo()
+    assert read == [1]
+    assert [t for _, t in df.dtypes] == ["int", "bigint", "decimal(38,0)", "double", "date", "timestamp", "boolean", "string", "string", "string"]
+    rows = df.orderBy("x").collect()
+    assert [r.long for r in rows] == [9007199254740995, 9007199254740993, None]
+    assert [r.a for r in rows] == [3, 1, None] and [r.flag for r in rows] == [None, True, False]
+    assert rows[1].big == 123456789012345678901234567890 and [r.mark for r in rows] == ["é", "ok", "\ufffd"]
