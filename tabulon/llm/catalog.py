@@ -15,7 +15,7 @@ from tabulon.llm.exact_dedup import deduplicate_in_batches
 from tabulon.llm.metric_trees import vector_codes
 from tabulon.llm.oracles import repair_sql, vector_codes_sql
 from tabulon.llm.packing import pack_documents
-from tabulon.llm.preference import last_answer_pairs, preference_turns
+from tabulon.llm.preference import assembled, neighbour_pairs, preference_turns, spans_as_text
 from tabulon.llm.shared import held_out, written
 from tabulon.llm.token_files import round_trip
 
@@ -89,40 +89,36 @@ def op6(spark, sf_dir):
 
 
 @query("op7_preference_format", r"""
-WITH turns AS (
-    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS sub
+WITH sides AS (
+    SELECT conv_id - (conv_id & 1) AS pair_id, CASE WHEN conv_id & 1 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text,
+           row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS sub
     FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
-answers AS (
-    SELECT * FROM turns WHERE role = 'assistant'
-    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, sub DESC) = 1),
-chosen AS (
-    SELECT t.* FROM turns t JOIN answers a USING (conv_id) WHERE (t.turn, t.sub) <= (a.turn, a.sub)),
-rejected AS (
-    SELECT t.* FROM turns t JOIN answers a USING (conv_id) WHERE (t.turn, t.sub) < (a.turn, a.sub)
-    UNION ALL
-    SELECT a.conv_id, a.turn, o.role, o.text, a.sub FROM answers a JOIN answers o ON xor(a.conv_id, 1) = o.conv_id),
 places AS (
-    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.sub, r.sub) AS sub,
-           c.conv_id IS NOT NULL AS in_c, c.role AS c_role, c.text AS c_text,
-           r.conv_id IS NOT NULL AS in_r, r.role AS r_role, r.text AS r_text,
-           NOT (c.conv_id IS NOT NULL AND r.conv_id IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role
-                AND c.text IS NOT DISTINCT FROM r.text) AS differs
-    FROM chosen c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.turn = r.turn AND c.sub = r.sub),
+    SELECT pair_id, turn, sub, c.side IS NOT NULL AS in_c, c.role AS c_role, c.text AS c_text, r.side IS NOT NULL AS in_r, r.role AS r_role,
+           r.text AS r_text, NOT (c.side IS NOT NULL AND r.side IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role
+                                  AND c.text IS NOT DISTINCT FROM r.text) AS differs
+    FROM (SELECT * FROM sides WHERE side = 'chosen') c FULL JOIN (SELECT * FROM sides WHERE side = 'rejected') r USING (pair_id, turn, sub)),
 parted AS (
-    SELECT *, bool_or(differs) OVER (PARTITION BY conv_id ORDER BY turn, sub ROWS UNBOUNDED PRECEDING) AS after
-    FROM places),
+    SELECT *, bool_or(differs) OVER (PARTITION BY pair_id ORDER BY turn, sub ROWS UNBOUNDED PRECEDING) AS after FROM places),
 parts AS (
-    SELECT conv_id, 'prompt' AS part, turn, sub, c_role AS role, c_text AS text FROM parted WHERE NOT after
-    UNION ALL
-    SELECT conv_id, 'chosen', turn, sub, c_role, c_text FROM parted WHERE after AND in_c
-    UNION ALL
-    SELECT conv_id, 'rejected', turn, sub, r_role, r_text FROM parted WHERE after AND in_r)
-SELECT conv_id AS pair_id, part, turn, sub::INT AS sub, role,
-       '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
-       coalesce(part <> 'prompt' AND role = 'assistant', false) AS learnt
-FROM parts""")
+    SELECT pair_id, 'prompt' AS part, turn, sub, c_role AS role, c_text AS text FROM parted WHERE NOT after
+    UNION ALL SELECT pair_id, 'chosen', turn, sub, c_role, c_text FROM parted WHERE after AND in_c
+    UNION ALL SELECT pair_id, 'rejected', turn, sub, r_role, r_text FROM parted WHERE after AND in_r),
+said AS (
+    SELECT *, floor(turn / 4096)::BIGINT AS block,
+           '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM parts),
+ended AS (
+    SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, block, part ORDER BY turn, sub ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM said),
+spans AS (SELECT *, (stop - length(rendered)) || '-' || stop AS span FROM ended)
+SELECT pair_id, block, coalesce(string_agg(rendered, '' ORDER BY turn, sub) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY turn, sub) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY turn, sub) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY turn, sub) FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_learnt,
+       coalesce(string_agg(span, ',' ORDER BY turn, sub) FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_learnt
+FROM spans GROUP BY pair_id, block""")
 def op7(spark, sf_dir):
-    return preference_turns(last_answer_pairs(table(spark, sf_dir, "conversations")))
+    pairs = assembled(preference_turns(neighbour_pairs(table(spark, sf_dir, "conversations"))))
+    return pairs.withColumns({c: spans_as_text(F.col(c)) for c in ("chosen_learnt", "rejected_learnt")})
 
 
 @query("op8_embedding_dedup")

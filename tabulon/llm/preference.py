@@ -2,8 +2,8 @@
 
 A pair is a chosen and a rejected conversation. Their longest common prefix of turns is rendered once, as the
 prompt; what follows it is the chosen and the rejected completion. Training loss falls only on the turns of the assistant
-in a completion. The result has one row per rendered turn, so that no conversation, however long, has to
-fit into one row or one task; ``assembled`` joins the turns of ordinary conversations to strings with spans.
+in a completion. ``preference_turns`` has one row per rendered turn, ``assembled`` joins them to strings with the spans that are learnt,
+one row per pair, or per 4,096 turn numbers of a long one, so that no conversation has to fit into one row or one task.
 
 Defined results: rows with a null conversation or turn belong to no conversation and are left out; rows that repeat
 (conversation, turn, role, text) count once; different rows of one turn number are taken in the order of role and text. A null
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEARNT_ROLE = "assistant"
+BLOCK_TURNS = 4_096
 SIDES = ("chosen", "rejected")
 
 
@@ -26,29 +27,36 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
 
 
-def numbered_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, sub, role, text) with repeated rows removed; ``sub`` counts different rows of one turn."""
-    rows = turns.select("conv_id", "turn", "role", "text").where(
-        F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct()
-    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return rows.withColumn("sub", F.row_number().over(order))
+def neighbour_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs for a table without ratings: whole conversations whose ids differ in the lowest bit, the even one chosen.
+
+    Every turn of every conversation is in exactly one pair; one without a neighbour is a pair with an empty side. Returns pair_id (the even id),
+    side, turn, role, text.
+    """
+    return turns.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
+        F.col("conv_id").bitwiseAND(F.lit(-2).cast("long")).alias("pair_id"),
+        F.when(F.col("conv_id").bitwiseAND(F.lit(1).cast("long")) == 0, SIDES[0]).otherwise(SIDES[1]).alias("side"), "turn", "role", "text")
 
 
 def preference_turns(sides: DataFrame) -> DataFrame:
     """Split the turns of pairs into prompt and completions.
 
-    ``sides`` has the columns pair_id, side ('chosen' or 'rejected'), turn, sub, role, text. Returns pair_id, part
-    ('prompt', 'chosen', 'rejected'), turn, sub, role, rendered, learnt.
+    ``sides`` has the columns pair_id, side ('chosen' or 'rejected'), turn, role, text. Returns pair_id, part
+    ('prompt', 'chosen', 'rejected'), turn, sub, role, rendered, learnt; ``sub`` counts different rows of one turn.
     """
-    # Both sides of one place meet in one row; the first place where they differ ends the prompt.
+    # All that concerns one turn of a pair happens where its rows meet first: repeats go, rows are numbered, both sides of a place
+    # come together. The first place at which they differ ends the prompt.
+    rows = sides.where(F.col("pair_id").isNotNull()).select("pair_id", "side", "turn", "role", "text").repartition("pair_id", "turn").distinct()
+    order = Window.partitionBy("pair_id", "turn", "side").orderBy("role", "text")
+    rows = rows.withColumn("sub", F.row_number().over(order))
+
     def of(side: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.struct("role", "text")))
 
-    places = sides.where(F.col("pair_id").isNotNull()).groupBy("pair_id", "turn", "sub").agg(
-        *(of(side).alias(side) for side in SIDES))
+    places = rows.groupBy("pair_id", "turn", "sub").agg(*(of(side).alias(side) for side in SIDES))
     differs = ~(F.col("chosen").eqNullSafe(F.col("rejected")))
-    first = places.where(differs).groupBy("pair_id").agg(F.min(F.struct("turn", "sub")).alias("first"))
-    parted = places.join(first, "pair_id", "left").withColumn(
+    first = places.groupBy("pair_id").agg(F.min(F.when(differs, F.struct("turn", "sub"))).alias("first"))
+    parted = places.join(first, "pair_id").withColumn(
         "common", F.col("first").isNull() | (F.struct("turn", "sub") < F.col("first")))
     part = F.when(F.col("common"), F.array(F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("said")))).otherwise(
         F.array(*(F.struct(F.lit(side).alias("part"), F.col(side).alias("said")) for side in SIDES)))
@@ -59,42 +67,35 @@ def preference_turns(sides: DataFrame) -> DataFrame:
         F.coalesce((F.col("p.part") != "prompt") & (F.col("p.said.role") == LEARNT_ROLE), F.lit(False)).alias("learnt"))
 
 
-def last_answer_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs for a table without ratings: each conversation against itself with the last answer of its neighbour.
+def assembled(parts: DataFrame, block: int = BLOCK_TURNS) -> DataFrame:
+    """pair_id, block, prompt, chosen, rejected as strings, and the learnt character spans of both completions.
 
-    The chosen side is the conversation up to its last assistant turn. The rejected side has, in place of that turn, the last
-    assistant turn of the conversation whose id differs in the lowest bit, or nothing if there is none.
-    """
-    rows = numbered_turns(turns)
-    answers = rows.where(F.col("role") == LEARNT_ROLE).groupBy("conv_id").agg(
-        F.max(F.struct("turn", "sub", "role", "text")).alias("last"))
-    own = rows.join(answers, "conv_id").where(F.struct("turn", "sub") <= F.struct("last.turn", "last.sub"))
-    own = own.withColumn("is_last", (F.col("turn") == F.col("last.turn")) & (F.col("sub") == F.col("last.sub")))
-    columns = ["turn", "sub", "role", "text"]
-    chosen = own.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), *columns)
-    kept = own.where(~F.col("is_last")).select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), *columns)
-    other = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last").alias("theirs"))
-    swapped = answers.join(other, "conv_id").select(
-        F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("last.turn").alias("turn"),
-        F.col("last.sub").alias("sub"), F.col("theirs.role").alias("role"), F.col("theirs.text").alias("text"))
-    return chosen.unionByName(kept).unionByName(swapped)
-
-
-def assembled(parts: DataFrame) -> DataFrame:
-    """One row per pair: prompt, chosen, rejected as strings, and the learnt character spans of both completions.
-
-    For pairs whose turns fit into one row; ``preference_turns`` itself has no such need.
+    One row per pair, or one per ``block`` turn numbers of a longer one: the strings of its rows follow each other, and spans count
+    within the row.
     """
-    place = Window.partitionBy("pair_id", "part").orderBy("turn", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    ended = parts.withColumn("end", F.sum(F.length("rendered")).over(place))
-    ended = ended.withColumn("span", F.when(F.col("learnt"), F.struct((F.col("end") - F.length("rendered")).alias("start"), "end")))
+    blocks = parts.withColumn("block", F.floor(F.col("turn") / block))
+
+    def turns(part: str) -> Column:
+        said = F.struct("turn", "sub", "rendered", "learnt")
+        return F.array_sort(F.collect_list(F.when(F.col("part") == part, said)))
+
+    rows = blocks.groupBy("pair_id", "block").agg(turns("prompt").alias("prompt"), *(turns(s).alias(s) for s in SIDES))
 
     def text(part: str) -> Column:
-        turns = F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "sub", "rendered"))))
-        return F.array_join(F.transform(turns, lambda x: x["rendered"]), "")
+        return F.array_join(F.transform(part, lambda x: x["rendered"]), "")
 
     def spans(part: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("part") == part, F.col("span"))))
+        # The running end of the turns, and a span for each learnt one.
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+        return F.aggregate(part, start, lambda done, x: F.struct(
+            (done["end"] + F.length(x["rendered"])).alias("end"),
+            F.when(x["learnt"], F.concat(done["spans"], F.array(F.struct(done["end"].alias("start"), (done["end"] + F.length(x["rendered"])).alias("end")))))
+            .otherwise(done["spans"]).alias("spans")))["spans"]
+
+    return rows.select("pair_id", "block", text("prompt").alias("prompt"), *(text(s).alias(s) for s in SIDES),
+                       *(spans(s).alias(f"{s}_learnt") for s in SIDES))
+
 
-    return ended.groupBy("pair_id").agg(
-        text("prompt").alias("prompt"), *(text(s).alias(s) for s in SIDES), *(spans(s).alias(f"{s}_learnt") for s in SIDES))
+def spans_as_text(spans: Column) -> Column:
+    """Spans as ``start-end`` with commas between them."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")

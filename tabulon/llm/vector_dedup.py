@@ -44,6 +44,13 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return whole, scale, np.linalg.norm(unit - back, axis=1), np.linalg.norm(back, axis=1)
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one. They are first scaled by a power of two, which changes no digit and keeps squares within range."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    scaled = np.ldexp(vectors, -exponent)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def tile_links(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of unit vectors of two tiles whose cosine reaches the threshold."""
     (a, scale_a, error_a, norm_a), (b, scale_b, error_b, _) = quantised(left), quantised(right)
@@ -66,8 +73,7 @@ def tile_links(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[n
 def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one pair of tiles: (node, links, other) with counts (other null) and spanning links."""
     own = rows["side"].to_numpy() == 0
-    vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = unit_vectors(np.stack(rows["vector"].to_numpy()).astype(np.float64))
     node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
     first = np.flatnonzero(own)
     if rows["same"].iloc[0]:
@@ -95,8 +101,7 @@ def _pivots(groups: DataFrame, per_cell: int) -> list[np.ndarray]:
     for row in largest.orderBy(F.desc("n")).limit(64).collect():
         wanted = min(MAX_PIVOTS, math.ceil(row.n / per_cell))
         sample = groups.where(F.size("vector") == row.width).orderBy(F.xxhash64("node")).limit(wanted).select("vector").collect()
-        unit = np.array([r.vector for r in sample], np.float64)
-        out.append(unit / np.linalg.norm(unit, axis=1, keepdims=True))
+        out.append(unit_vectors(np.array([r.vector for r in sample], np.float64)))
     return out
 
 
@@ -117,8 +122,7 @@ def _celled(groups: DataFrame, pivots: list[np.ndarray], threshold: float) -> Da
                 if pivot is None:
                     continue
                 at = np.flatnonzero(widths == width)
-                unit = vectors.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, width)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = unit_vectors(vectors.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, width))
                 dot = unit @ pivot.T
                 near = dot.argmax(axis=1)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * pivot @ pivot.T))

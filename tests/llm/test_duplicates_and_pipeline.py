@@ -226,6 +226,14 @@ def test_vectors(spark, tile):
     assert vector_dedup.near_duplicates(frame.where("vec_id = 300")).count() == 1
 
 
+def test_vectors_of_any_magnitude(spark):
+    shape = [[1.0, 2.0, -3.0, 0.5], [1.0, 2.0, -3.0, 0.5001], [3.0, -1.0, 0.5, 2.0]]
+    rows = [(10 * k + i, [x * scale for x in v], 1) for k, scale in enumerate((1e200, 1e-200, 1.0, 5e-310)) for i, v in enumerate(shape)]
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {(r.n_links, r.component_id) for k, r in got.items() if k % 10 < 2} == {(7, 0)}
+    assert {(r.n_links, r.component_id) for k, r in got.items() if k % 10 == 2} == {(3, 2)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(4)
     unit = rng.normal(size=(200, 32))
@@ -286,13 +294,13 @@ def test_batches_decide_like_the_whole(spark, batches):
 
 def test_preference(spark):
     def side(pair, name, *turns):
-        return [(pair, name, t, 1, role, text) for t, (role, text) in enumerate(turns)]
+        return [(pair, name, t, role, text) for t, (role, text) in enumerate(turns)]
 
     u, a = ("user", "q"), ("assistant", "one")
     rows = (side(1, "chosen", u, a) + side(1, "rejected", u, ("assistant", "two"), ("user", "more"))
             + side(2, "chosen", u, a) + side(2, "rejected", u, a)
             + side(3, "chosen", u) + side(4, "chosen", (None, None), a) + side(4, "rejected", (None, None), ("assistant", None)))
-    parts = preference.preference_turns(spark.createDataFrame(rows, "pair_id long, side string, turn long, sub int, role string, text string"))
+    parts = preference.preference_turns(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"))
     got = {(r.pair_id, r.part, r.turn): r.learnt for r in parts.collect()}
     assert got == {(1, "prompt", 0): False, (1, "chosen", 1): True, (1, "rejected", 1): True, (1, "rejected", 2): False,
                    (2, "prompt", 0): False, (2, "prompt", 1): False, (3, "chosen", 0): False,
@@ -306,15 +314,36 @@ def test_preference(spark):
 
 def test_preference_of_odd_turns(spark):
     schema = "conv_id long, turn long, role string, text string, side string, sub int"
-    rows = [(0, 0, "user", "hi"), (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "assistant", "no"), (2, 0, "user", "alone"),
-            (None, 0, "user", "x"), (0, None, "user", "y"), (4, 0, "assistant", None), (4, 0, "assistant", "b")]
+    rows = [(0, 0, "user", "hi"), (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", "why"),
+            (2, 0, "user", "alone"), (None, 0, "user", "x"), (0, None, "user", "y"), (4, 0, "assistant", None), (4, 0, "assistant", "b"),
+            (5, 0, "assistant", None), (7, 1, "assistant", "right side only")]
     frame = spark.createDataFrame([(*r, "s", 7) for r in rows], schema)
-    got = {(r.pair_id, r.part, r.turn, r.sub, r.rendered.split("\n")[1]) for r in
-           preference.preference_turns(preference.last_answer_pairs(frame)).collect()}
+    parts = preference.preference_turns(preference.neighbour_pairs(frame))
+    got = {(r.pair_id, r.part, r.turn, r.sub, r.rendered.split("\n")[1]) for r in parts.collect()}
     assert got == {(0, "prompt", 0, 1, "hi<|end|>"), (0, "chosen", 1, 1, "yes<|end|>"), (0, "rejected", 1, 1, "no<|end|>"),
-                   (1, "chosen", 0, 1, "no<|end|>"), (1, "rejected", 0, 1, "yes<|end|>"),
-                   (4, "prompt", 0, 1, "<|end|>"), (4, "chosen", 0, 2, "b<|end|>")}
-    assert preference.preference_turns(preference.last_answer_pairs(frame.limit(0))).count() == 0
+                   (0, "rejected", 2, 1, "why<|end|>"), (2, "chosen", 0, 1, "alone<|end|>"),
+                   (4, "prompt", 0, 1, "<|end|>"), (4, "chosen", 0, 2, "b<|end|>"), (6, "rejected", 1, 1, "right side only<|end|>")}
+    assert preference.preference_turns(preference.neighbour_pairs(frame.limit(0))).count() == 0
+
+
+def test_every_turn_is_in_one_pair(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    parts = preference.preference_turns(preference.neighbour_pairs(turns))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 8
+    # A prompt turn stands for one turn of both sides, any other for one of its side.
+    counted = parts.groupBy("part").count().collect()
+    assert sum(r["count"] * (2 if r.part == "prompt" else 1) for r in counted) == turns.distinct().count()
+    whole = preference.assembled(parts).collect()
+    assert {r.pair_id for r in whole} == {r.conv_id // 2 * 2 for r in turns.collect()}
+    for r in whole:
+        for side in ("chosen", "rejected"):
+            for span in r[f"{side}_learnt"]:
+                assert r[side][span.start:span.end].startswith("<|assistant|>\n") and r[side][:span.end].endswith("<|end|>\n")
+    cut = preference.assembled(parts, block=2).orderBy("pair_id", "block").collect()
+    for r in whole:
+        own = [c for c in cut if c.pair_id == r.pair_id]
+        assert all("".join(c[k] for c in own) == r[k] for k in ("prompt", "chosen", "rejected"))
 
 
 def test_pipeline_stages(spark, sf, tmp_path):
