@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -307,6 +308,83 @@ def test_fast_network_equals_plain():
     assert network.summed_log_odds(data, used) == pytest.approx(expected, rel=1e-3, abs=1e-3)
 
 
+def plain_margin(model, text):
+    """The worst window of a text by loops over words and subwords, with buckets of one word at a time."""
+    slope = model.weights[:, 1].astype(float) - model.weights[:, 0]
+    each = []
+    for word in toxicity.words_of(text):
+        buckets, _ = toxicity.subwords([word])
+        each.append(sum(float(model.table[b].astype(float) @ slope) for b in buckets.tolist()) / len(buckets))
+    if len(each) <= toxicity.WINDOW:
+        found = sum(each) / len(each) if each else 0.0
+    else:
+        found = max(sum(each[i:i + toxicity.WINDOW]) / toxicity.WINDOW for i in range(len(each) - toxicity.WINDOW + 1))
+    return found + float(model.intercept[1]) - float(model.intercept[0])
+
+
+def test_toxicity_scores_equal_plain_loops(labelled, spark):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    texts = [r.text for r in docs.limit(40).collect()] + ["", None, "word " * 30, " ".join(f"w{i}" for i in range(20_000))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.own for r in toxicity.scored(frame, labels, out="own", model=model).collect()}
+    for i, text in enumerate(texts[:-1]):
+        z = model.scale[0] * plain_margin(model, text or "") + model.scale[1]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    assert 0 <= got[len(texts) - 1] <= 1
+
+
+def test_toxicity_gradient():
+    """One step's slopes against differences of the loss, written out for whole bags."""
+    model = toxicity.BagModel()
+    model.table, model.weights, model.intercept = (v.astype(np.float64) for v in (model.table, model.weights, model.intercept))
+    bags, labels = [["bad", "word", "bad"], ["fine", "words", "here"], ["other", "fine"]], np.array([1, 0, 0])
+    ids = {}
+    coded = [np.array([ids.setdefault(w, len(ids)) for w in b], np.int32) for b in bags]
+    buckets, counts = toxicity.subwords(list(ids))
+    weights = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+
+    def loss(table, out, intercept):
+        total = 0.0
+        for bag, y, w in zip(bags, labels, weights):
+            means = [table[toxicity.subwords([word])[0]].mean(axis=0) for word in bag]
+            scores = np.mean(means, axis=0) @ out + intercept
+            total += w * (np.log(np.exp(scores).sum()) - scores[y])
+        return total / len(bags)
+
+    before = [v.copy() for v in (model.table, model.weights, model.intercept)]
+    model._state = [[np.zeros_like(v), np.zeros_like(v)] for v in before]
+    model._steps = 0
+    model._epoch(coded, labels, buckets, counts, np.random.default_rng(0))
+    used = int(toxicity.subwords(["bad"])[0][0])
+    for k, places in ((0, [(used, 0), (used, 3)]), (1, [(0, 0), (3, 1)]), (2, [(0,), (1,)])):
+        for place in places:
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = [v.copy() for v in before]
+                moved[k][place] += step
+                ends.append(loss(*moved))
+            assert model._state[k][0][place] / 0.1 == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_quality_scores_equal_plain_compression(labelled, spark):
+    """Sizes by the library's plain calls, piece by piece over whole texts."""
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    texts = [r.text for r in docs.limit(30).collect()] + ["", None, "the same few words " * 20_000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.own for r in quality.scored(frame, labels, out="own", model=model).collect()}
+    for i, text in enumerate(texts):
+        data, sizes = (text or "").encode(), []
+        for shared in (model.good, model.bad):
+            coder = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(shared), write_content_size=False,
+                                             write_dict_id=False)
+            sizes.append(sum(len(coder.compress(data[k:k + quality.PIECE])) for k in range(0, len(data), quality.PIECE)))
+        good, bad = sizes
+        difference = (bad - good) / (bad + good + quality.SHORT) if good + bad else 0.0
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.scale[0] * difference + model.scale[1]))), abs=0.02)
+
+
 def test_unseen_misspelling_is_caught():
     rng = random.Random(6)
     texts = [made_up(rng, "abcdefg", rng.choice([20, 200, 1000])) + (" villainous" if i % 2 else "") for i in range(400)]
