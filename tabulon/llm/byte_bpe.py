@@ -358,8 +358,8 @@ ENCODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_s
 def encoder(spark: SparkSession, rank_file: str, offsets: bool = False) -> Callable[[Column], Column]:
     """A function of a text column that gives a struct of ``ids`` and ``n_slices``.
 
-    ``ids`` are unsigned little-endian 32-bit integers. With ``offsets`` the struct also has ``slice_ends``: for each slice, as such
-    integers too, its number of ids, so that any slice can be found and decoded by itself.
+    ``ids`` are unsigned little-endian 32-bit integers. With ``offsets`` the struct also has ``slice_ids``: for each slice, as such
+    integers too, its number of ids, so that any slice can be found and decoded by itself (``slice_of``).
     """
     ship(spark)
     shipped = spark.sparkContext.broadcast(read_ranks(rank_file))
@@ -389,6 +389,21 @@ def encoder(spark: SparkSession, rank_file: str, offsets: bool = False) -> Calla
     return encode
 
 
+def slice_of(encoded: Column, place: Column) -> Column:
+    """The ids of one slice (numbered from 0) of a struct that ``encoder`` wrote with offsets, to be decoded by itself; NULL past the last."""
+
+    @F.arrow_udf(T.BinaryType())
+    def cut(ids: pa.Array, sizes: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for raw, counts, at in zip(ids.to_pylist(), sizes.to_pylist(), places.to_pylist()):
+            ends = np.cumsum(np.frombuffer(counts or b"", "<u4").astype(np.int64))
+            inside = raw is not None and at is not None and 0 <= at < len(ends)
+            out.append(raw[4 * int(ends[at - 1] if at else 0):4 * int(ends[at])] if inside else None)
+        return pa.array(out, pa.binary())
+
+    return cut(encoded["ids"], encoded["slice_ids"], place.cast("long"))
+
+
 def decoder(spark: SparkSession, rank_file: str) -> Callable[[Column], Column]:
     """A function of a column of ids (as ``encoder`` writes them) that gives the bytes they stand for."""
     ship(spark)

@@ -73,6 +73,9 @@ def test_encode_and_decode_columns(spark, odd, library):
         assert bytes(row.back) == (row.text or "").encode()
         assert np.frombuffer(row.encoded.slice_ids, "<u4").sum() * 4 == len(row.encoded.ids)
     assert byte_bpe.encode_documents(odd.limit(0), RANKS).count() == 0
+    one = byte_bpe.encode_documents(spark.createDataFrame([("It's we'll go", k) for k in (0, 1, 4, 5, None)], "text string, k long"), RANKS, offsets=True)
+    found = one.withColumn("back", byte_bpe.decoder(spark, RANKS)(byte_bpe.slice_of(F.col("encoded"), F.col("k")))).collect()
+    assert [r.back and bytes(r.back) for r in found] == [b"It", b"'s", b" go", None, None]
 
 
 def pieces_are_right(frame, texts, library, length):
