@@ -17,7 +17,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ from tabulon.operators.ranking import running_counts, value_splits
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGIT_BITS = 8
+# Cells that a task scores together, besides a table that is not whole yet (at most 65,536).
+CELLS_AT_A_TIME = 100_000
 _EXACT_ROWS = 33
 
 
@@ -56,16 +58,35 @@ def _ordered_pairs(table: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarra
     return score
 
 
-def _table_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scores(cells: np.ndarray) -> float:
+    """Weighted sum of ``_ordered_pairs`` over whole tables; ``cells`` has the rows px, py, gx, gy, x, y, n, tables in a row."""
+    table = np.cumsum(np.r_[False, (cells[:4, 1:] != cells[:4, :-1]).any(axis=0)])
+    some = np.bincount(table)[table] > 1  # one cell alone holds no pair that counts here
+    x, y, n = cells[4:, some]
+    n = n.astype(np.float64)
+    return float((_ordered_pairs(table[some], x, y, n) * n).sum()) if len(n) else 0.0
+
+
+def _table_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each run of cells, which come sorted by table; a table that goes on in the next batch waits for its end."""
+    waiting, rows = [], 0
+
+    def scored(cells: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"s": [_scores(cells)]})
+
     for batch in batches:
-        sizes = batch["cells"].str.len().to_numpy()
-        if not len(sizes):
+        waiting.append(np.stack([c.to_numpy() for c in batch.columns]).astype(np.int64))
+        rows += batch.num_rows
+        if rows < CELLS_AT_A_TIME:
             continue
-        cells = np.concatenate([np.stack([np.array([c[k] for c in g], dtype=np.float64) for k in ("x", "y", "n")])
-                                for g in batch["cells"]], axis=1)
-        x, y = cells[0].astype(np.int64), cells[1].astype(np.int64)
-        table = np.repeat(np.arange(len(sizes)), sizes)
-        yield pd.DataFrame({"s": [float((_ordered_pairs(table, x, y, cells[2]) * cells[2]).sum())]})
+        cells = np.concatenate(waiting, axis=1)
+        new = np.flatnonzero((cells[:4, 1:] != cells[:4, :-1]).any(axis=0))
+        ready = int(new[-1]) + 1 if len(new) else 0
+        if ready:
+            yield scored(cells[:, :ready])
+        waiting, rows = [cells[:, ready:].copy()], cells.shape[1] - ready
+    if rows:
+        yield scored(np.concatenate(waiting, axis=1))
 
 
 def _places(distinct: int) -> int:
@@ -90,15 +111,10 @@ def concordance(ranked: DataFrame, x_places: int, y_places: int) -> float:
             _digit(F.col("y"), F.col("p.py")).cast("int").alias("y"), "n")
         .groupBy("px", "py", "gx", "gy", "x", "y").agg(F.sum("n").alias("n"))
     )
-    # At most 65,536 cells each; one cell alone holds no pair that counts here.
-    tables = cells.groupBy("px", "py", "gx", "gy").agg(F.collect_list(F.struct("x", "y", "n")).alias("cells"))
-    tables = tables.where(F.size("cells") > 1)
-    a, b = F.col("cells")[0], F.col("cells")[1]
-    two_cells = F.signum((a["x"] - b["x"]) * (a["y"] - b["y"]).cast("double")) * a["n"] * b["n"]
-    # Both branches read the same shuffled tables; only larger ones go through Python.
-    pairs = tables.where(F.size("cells") == 2).select(two_cells.cast("double").alias("s"))
-    larger = tables.where(F.size("cells") > 2).select("cells").mapInPandas(_table_scores, "s double")
-    return pairs.unionAll(larger).agg(F.sum("s")).first()[0] or 0.0
+    # The tables pass as plain rows, never as one value each: a task holds a few batches of them.
+    table = ["px", "py", "gx", "gy"]
+    sorted_cells = cells.repartition(*table).sortWithinPartitions(*table)
+    return sorted_cells.mapInArrow(_table_scores, "s double").agg(F.sum("s")).first()[0] or 0.0
 
 
 def _exact_p(n: int, discordant: int) -> float:

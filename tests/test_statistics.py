@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,25 @@ def test_kendall_exact_p(spark):
         extreme = [z for z in itertools.permutations(range(4)) if abs(concordance(range(4), z)) >= abs(s)]
         assert p == pytest.approx(len(extreme) / 24)
     assert kendall._exact_p(200, 0) == 0.0 and kendall._exact_p(5, 1) == pytest.approx(2 / 24 * 1.0, rel=1)
+
+
+def test_kendall_tables_pass_as_rows(spark, monkeypatch):
+    """A table of many cells is spread over batches and never one value; whole tables are scored a few cells at a time."""
+    monkeypatch.setattr(kendall, "CELLS_AT_A_TIME", 7)
+    rng = np.random.default_rng(4)
+    cells = np.array(sorted({(0, 0, int(g), 0, int(a), int(b)) for g, a, b in zip(rng.integers(0, 9, 300), rng.integers(0, 9, 300), rng.integers(0, 9, 300))}))
+    cells = np.column_stack([cells, rng.integers(1, 5, len(cells))]).astype(np.int64)
+    expected = sum(n * m * np.sign(x - u) * np.sign(y - v) for _, _, g, _, x, y, n in cells for _, _, h, _, u, v, m in cells if g == h) / 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in cells[i:i + 5].T], ["px", "py", "gx", "gy", "x", "y", "n"]) for i in range(0, len(cells), 5)]
+    parts = [b.column("s")[0].as_py() for b in kendall._table_scores(iter(batches))]
+    assert len(parts) > 3 and sum(parts) == expected
+
+    x, y = rng.integers(0, 500, 900), rng.integers(0, 500, 900)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        tau, n, _ = kendall.kendall_tau(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tied = lambda v: sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1])
+    total = n * (n - 1) / 2
+    assert tau == pytest.approx(concordance(x, y) / math.sqrt((total - tied(x)) * (total - tied(y))), abs=1e-12)
