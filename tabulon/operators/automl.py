@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, is_numeric, to_numeric
 from tabulon.functions.frames import spread, unused
-from tabulon.operators.forest import NODE_ROWS, fit_forest, stored_blocks
+from tabulon.operators.forest import NODE_ROWS, entries, fit_forest, stored_blocks
 from tabulon.operators.multivariate import KMeansFit
 from tabulon.operators.ranking import text_positions
 from tabulon.sources.writers import stored
@@ -104,7 +104,7 @@ class ForestRun:
         for side in (train, test):
             rows = spread(side, side.count())
             sides.append(stored_blocks(rows, features, label))
-        n = sides[0].agg(F.sum("n")).first()[0] or 0
+        n = entries(sides[0])  # nodes need be no smaller than one task can hold
         if not n:
             raise AnalysisError("n_too_small", "no row to learn from")
         # All columns are tried for numbers, the square root of their number for classes.

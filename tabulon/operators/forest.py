@@ -5,19 +5,23 @@ level find the range of each of its columns and histograms over that range, whic
 node and chooses nothing but what the tasks already found. A histogram cell keeps its smallest and largest value, so a split lies
 half-way between two values of the table, and a column that varies can always be split. Phase two sends the rows of every other
 node to one task, by (tree, node), and finishes the subtree there: columns are sorted once, and one step splits all nodes of a level
-with exact running sums. A table of at most ``node_rows`` rows needs no phase one, its trees are exact from the root.
+with exact running sums. A table with at most ``node_rows`` different rows of features needs no phase one, its trees are exact from the root.
+
+Rows are stored in the order of their features. Equal ones lie side by side, and no split tells them apart: a block sends one entry for
+them, with the sums of their labels and the smallest and largest one, and asks for one prediction.
 
 Rows are weighted by a Poisson draw with mean one from a hash of their number and the tree, so a retried task draws the same. Which
 columns a node tries follows from the node's path, so both phases grow the same tree. Subtrees are rows of a stored table
-(flat arrays), upper trees stay small: fewer nodes than trees times rows / node_rows. To predict, rows are routed through the upper trees
-and meet their subtrees in a shuffle by (tree, node); whole subtrees are applied to blocks of rows at a time.
+(flat arrays in chunks of a bounded number of nodes, so that no row of the table is large), upper trees stay small: fewer nodes than trees
+times rows / node_rows. To predict, rows are routed through the upper trees and meet their subtrees in a shuffle by (tree, node); whole
+subtrees are applied to blocks of rows at a time.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
-from tabulon.sources.writers import shared_folder
+from tabulon.sources.writers import shared_folder, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
 NODE_ROWS = 200_000
 BINS = 256
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
+# Rows of a stored part, about; nodes in a row of the table of subtrees.
+PART_ROWS = 1_000_000
+CHUNK_NODES = 4_096
 # Numbers of histograms that a task keeps at a time; the nodes of a level are taken in parts of that size.
 HISTOGRAM_CELLS = 8_000_000
 
@@ -48,18 +55,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hash(*parts) -> np.ndarray:
-    out = np.uint64(0x9E3779B97F4A7C15)
+def _hash(*parts, begun: np.ndarray | None = None) -> np.ndarray:
+    """A hash of all parts in turn; ``begun`` may carry that of the parts before them."""
+    out = np.uint64(0x9E3779B97F4A7C15) if begun is None else begun
     with np.errstate(over="ignore"):
         for part in parts:
             out = _mixed(out + np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     return out
 
 
-def bootstrap_weights(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """How often each numbered row is drawn for a tree."""
-    uniform = (_hash(rows, tree, seed) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    return np.searchsorted(POISSON, uniform, side="right").astype(np.float64)
+def bootstrap_weights(rows: np.ndarray, tree: int, seed: int, begun: np.ndarray | None = None) -> np.ndarray:
+    """How often each numbered row is drawn for a tree; ``begun`` may carry ``_hash(rows)``."""
+    uniform = (_hash(tree, seed, begun=_hash(rows) if begun is None else begun) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    drawn = np.zeros(len(uniform), np.uint8)
+    for bound in POISSON[:8]:
+        drawn += uniform >= bound
+    rare = np.flatnonzero(drawn == 8)
+    drawn[rare] = np.searchsorted(POISSON, uniform[rare], side="right")
+    return drawn.astype(np.float64)
 
 
 def tried_columns(keys: np.ndarray, varies: np.ndarray, tried: int) -> np.ndarray:
@@ -107,15 +120,19 @@ def targets_of(y: np.ndarray, classes: int) -> np.ndarray:
 
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, key: int, tried: int, classes: int) -> Tree:
     """The tree of all rows with a weight, down to pure leaves: squared error for numbers, Gini impurity for classes."""
+    return grow_entries(x, weight, targets_of(y, classes) * weight[:, None], y, y, key, tried)
+
+
+def grow_entries(x: np.ndarray, weight: np.ndarray, weighted: np.ndarray, least: np.ndarray, most: np.ndarray, key: int, tried: int) -> Tree:
+    """The tree of entries that stand for rows of equal features: their weight, their weighted targets' sums, their smallest and largest label."""
     n, columns = x.shape
-    target = targets_of(y, classes)
-    weighted = target * weight[:, None]
+    targets = weighted.shape[1]
     node = np.zeros(n, np.int64)  # place in the current level
     orders = [np.argsort(x[:, f], kind="stable") for f in range(columns)]
     keys = np.array([key], np.uint64)
     level = np.zeros(1, np.int64)  # number of each node of the level in the tree
     out: dict[str, list] = {"column": [np.zeros(1, np.int32)], "threshold": [np.zeros(1)], "left": [np.full(1, -1)], "right": [np.full(1, -1)],
-                            "value": [np.zeros((1, target.shape[1]))]}
+                            "value": [np.zeros((1, targets))]}
     made = 1
     while len(level):
         rows = orders[0]
@@ -123,7 +140,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, key: int, tried: int,
         total_w = np.add.reduceat(weight[rows], starts)
         total = np.add.reduceat(weighted[rows], starts, axis=0)
         _put(out["value"], level, total / total_w[:, None])
-        pure = np.minimum.reduceat(y[rows], starts) == np.maximum.reduceat(y[rows], starts)
+        pure = np.minimum.reduceat(least[rows], starts) == np.maximum.reduceat(most[rows], starts)
         varies = np.empty((len(level), columns), bool)
         for f, order in enumerate(orders):
             own = x[order, f]
@@ -145,7 +162,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, key: int, tried: int,
         made += 2 * len(chosen)
         for name, fill in (("column", 0), ("threshold", 0.0), ("left", -1), ("right", -1)):
             out[name].append(np.full(2 * len(chosen), fill, out[name][0].dtype))
-        out["value"].append(np.zeros((2 * len(chosen), target.shape[1])))
+        out["value"].append(np.zeros((2 * len(chosen), targets)))
         place = np.full(len(level), -1)
         place[chosen] = np.arange(len(chosen))
         goes_on = place[node] >= 0
@@ -228,22 +245,51 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def stored_blocks(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """The rows of double columns in numbered blocks, kept for the passes to come: ``n, rows, x, y``."""
+    """The rows of double columns in numbered blocks, in the order of the features, kept for the passes to come: ``n, rows, x, y``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            numbers, *columns, y = (c.to_numpy() for c in table.columns)
+            x = np.column_stack([np.asarray(c, float) for c in columns])
+            return pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int32()), "rows": [numbers.astype("<i8").tobytes()],
+                                               "x": [x.astype("<f8").tobytes()], "y": [np.asarray(y, float).astype("<f8").tobytes()]})
+
         for batch in batches:
-            columns = [np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns[1:]]
-            numbers = batch.column(0).to_numpy()
-            for at in range(0, len(numbers), BLOCK_ROWS):
-                here = slice(at, at + BLOCK_ROWS)
-                x = np.column_stack([c[here] for c in columns[:-1]])
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int32()), "rows": [numbers[here].astype("<i8").tobytes()],
-                                                  "x": [x.astype("<f8").tobytes()], "y": [columns[-1][here].astype("<f8").tobytes()]})
+            waiting.append(batch)
+            held += batch.num_rows
+            while held >= BLOCK_ROWS:
+                table = pa.Table.from_batches(waiting)
+                yield block(table.slice(0, BLOCK_ROWS))
+                waiting = table.slice(BLOCK_ROWS).to_batches()
+                held -= BLOCK_ROWS
+        if held:
+            yield block(pa.Table.from_batches(waiting))
+
+    spark, names = df.sparkSession, [f"c{i}" for i in range(len(features) + 1)]
+    numbered = stored(df.select(F.monotonically_increasing_id().alias("row"), *[  # numbers of two readings may differ
+        col(c).cast("double").alias(name) for c, name in zip([*features, label], names)]))
+    parts = max(spark.sparkContext.defaultParallelism, -(-numbered.count() // PART_ROWS))
+    order = [*names[:-1], "row"]
+    folder = shared_folder(spark)
+    (numbered.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+     .mapInArrow(pack, "n int, rows binary, x binary, y binary").write.parquet(folder))
+    return spark.read.schema("n int, rows binary, x binary, y binary").parquet(folder)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal rows begin."""
+    return np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1)))
+
+
+def entries(blocks: DataFrame) -> int:
+    """The number of runs of equal features in the stored blocks, at least that of different rows of features."""
 
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), *[col(c).alias(f"c{i}") for i, c in enumerate([*features, label])])
-    folder = shared_folder(df.sparkSession)
-    numbered.mapInArrow(pack, "n int, rows binary, x binary, y binary").write.parquet(folder)  # numbers of two readings may differ
-    return df.sparkSession.read.schema("n int, rows binary, x binary, y binary").parquet(folder)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(_runs(x)) for _, x, _ in _blocks(batches))], pa.int64())})
+
+    return blocks.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 class Forest:
@@ -253,7 +299,7 @@ class Forest:
         self.upper, self.subtrees, self.targets = upper, subtrees, targets
 
     def node_table(self) -> DataFrame:
-        """``tree, root, column, threshold, left, right, value``: arrays of each subtree; ``root`` is its node in the upper tree."""
+        """``tree, root, chunk, column, threshold, left, right, value``: arrays of each chunk of a subtree; ``root`` is its node in the upper tree."""
         return self.subtrees
 
     def predicted(self, blocks: DataFrame) -> DataFrame:
@@ -261,67 +307,95 @@ class Forest:
         upper, targets = self.upper, self.targets
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, x, _ in _blocks(batches):
+                yield from _by_node(upper, rows, x)
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, x, y in _blocks(batches):
-                yield from _by_node(upper, rows, x, y)
+                first = _runs(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows[first], np.diff(np.append(first, len(x))))), pa.array(rows), pa.array(y)],
+                                                 ["number", "row", "label"])
 
         def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = None
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if r["column"] is not None:
-                        tree = _unpacked(r, targets)
-                        continue
-                    x = np.frombuffer(r["x"], "<f8").reshape(r["n"], -1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.frombuffer(r["rows"], "<i8")), pa.array(np.frombuffer(r["y"], "<f8")),
-                         pa.array(list(tree.value[tree.leaf_of(x)]), pa.list_(pa.float64()))], ["row", "label", "value"])
+            current, chunks, tree = None, [], None
+            for r in _single_rows(batches):
+                if (r["tree"], r["root"]) != current:
+                    current, chunks, tree = (r["tree"], r["root"]), [], None
+                if r["column"] is not None:
+                    chunks.append(r)
+                    continue
+                if chunks:
+                    chunks, tree = [], _unpacked(chunks, targets)
+                if tree is None:  # no row was drawn for it
+                    continue
+                x = np.frombuffer(r["x"], "<f8").reshape(r["n"], -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(r["number"], "<i8")),
+                     pa.FixedSizeListArray.from_arrays(pa.array(tree.value[tree.leaf_of(x)].ravel()), targets).cast(pa.list_(pa.float64()))],
+                    ["number", "value"])
 
         empty = [F.lit(None).cast("binary").alias(c) for c in ("column", "threshold", "left", "right", "value")]
-        rows = blocks.mapInArrow(dealt, "tree int, root int, n int, rows binary, x binary, y binary").select("*", *empty, F.lit(1).alias("kind"))
-        trees = self.subtrees.select("tree", "root", F.lit(0).alias("n"), *[F.lit(None).cast("binary").alias(c) for c in ("rows", "x", "y")],
+        rows = blocks.mapInArrow(dealt, "tree int, root int, n int, number binary, x binary, sums binary").select(
+            "tree", "root", F.lit(0).alias("chunk"), "n", "number", "x", *empty, F.lit(1).alias("kind"))
+        trees = self.subtrees.select("tree", "root", "chunk", F.lit(0).alias("n"), *[F.lit(None).cast("binary").alias(c) for c in ("number", "x")],
                                      "column", "threshold", "left", "right", "value", F.lit(0).alias("kind"))
-        met = trees.unionByName(rows).repartition("tree", "root").sortWithinPartitions("tree", "root", "kind")
-        votes = met.mapInArrow(applied, "row long, label double, value array<double>")
-        return votes.groupBy("row").agg(
-            F.first("label").alias("label"), F.array(*[F.avg(F.col("value")[i]) for i in range(targets)]).alias("mean"))
+        met = trees.unionByName(rows).repartition("tree", "root").sortWithinPartitions("tree", "root", "kind", "chunk")
+        votes = met.mapInArrow(applied, "number long, value array<double>")
+        means = votes.groupBy("number").agg(F.array(*[F.avg(F.col("value")[i]) for i in range(targets)]).alias("mean"))
+        return blocks.mapInArrow(members, "number long, row long, label double").join(means, "number").select("row", "label", "mean")
 
 
-def _by_node(upper: list[Tree], rows: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int | None = None,
-             settled: list[list[int]] | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows of a block by (tree, node of its upper tree); with a seed only those drawn for the tree, less those in settled nodes."""
+def _single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches, one copied at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _by_node(upper: list[Tree], rows: np.ndarray, x: np.ndarray, settled: list[list[int]] | None = None,
+             sums_of: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """The different rows of a block by (tree, node of its upper tree), each with the number of its first row; with ``sums_of`` only those
+    that were drawn for the tree and lie in no settled node, each with its sums."""
+    first = _runs(x)
+    numbers, x = rows[first], x[first]
     for t, tree in enumerate(upper):
         node = tree.leaf_of(x)
-        drawn = np.arange(len(x)) if seed is None else np.flatnonzero(bootstrap_weights(rows, t, seed))
+        sums = np.zeros((len(x), 0)) if sums_of is None else sums_of(t, first)
+        kept = np.arange(len(x)) if sums_of is None else np.flatnonzero(sums[:, 0])
         if settled and settled[t]:
-            drawn = drawn[~np.isin(node[drawn], settled[t])]
-        drawn = drawn[np.argsort(node[drawn], kind="stable")]
-        found, first = np.unique(node[drawn], return_index=True)
-        out: dict[str, list] = {c: [] for c in ("tree", "root", "n", "rows", "x", "y")}
-        for root, some in zip(found.tolist(), np.split(drawn, first[1:])):
-            for c, value in zip(out, (t, root, len(some), rows[some].astype("<i8").tobytes(), x[some].astype("<f8").tobytes(),
-                                      y[some].astype("<f8").tobytes())):
+            kept = kept[~np.isin(node[kept], settled[t])]
+        kept = kept[np.argsort(node[kept], kind="stable")]
+        found, start = np.unique(node[kept], return_index=True)
+        out: dict[str, list] = {c: [] for c in ("tree", "root", "n", "number", "x", "sums")}
+        for root, some in zip(found.tolist(), np.split(kept, start[1:])):
+            for c, value in zip(out, (t, root, len(some), numbers[some].astype("<i8").tobytes(), x[some].astype("<f8").tobytes(),
+                                      sums[some].astype("<f8").tobytes())):
                 out[c].append(value)
         if out["tree"]:
             types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), types)], list(out))
 
 
-NODE_COLUMNS = ["tree", "root", "column", "threshold", "left", "right", "value"]
+NODE_COLUMNS = ["tree", "root", "chunk", "column", "threshold", "left", "right", "value"]
 
 
-def _packed(tree: int, root: int, grown: Tree) -> tuple:
-    return (tree, root, grown.column.astype("<i4").tobytes(), grown.threshold.astype("<f8").tobytes(), grown.left.astype("<i4").tobytes(),
-            grown.right.astype("<i4").tobytes(), grown.value.astype("<f8").tobytes())
+def _packed(tree: int, root: int, grown: Tree) -> Iterator[tuple]:
+    """A row per chunk of the nodes."""
+    for chunk, at in enumerate(range(0, len(grown.left), CHUNK_NODES)):
+        here = slice(at, at + CHUNK_NODES)
+        yield (tree, root, chunk, grown.column[here].astype("<i4").tobytes(), grown.threshold[here].astype("<f8").tobytes(),
+               grown.left[here].astype("<i4").tobytes(), grown.right[here].astype("<i4").tobytes(), grown.value[here].astype("<f8").tobytes())
 
 
-def _unpacked(row: dict, targets: int) -> Tree:
-    return Tree(np.frombuffer(row["column"], "<i4"), np.frombuffer(row["threshold"], "<f8"), np.frombuffer(row["left"], "<i4"),
-                np.frombuffer(row["right"], "<i4"), np.frombuffer(row["value"], "<f8").reshape(-1, targets))
+def _unpacked(chunks: list[dict], targets: int) -> Tree:
+    column, threshold, left, right, value = (np.frombuffer(b"".join(r[c] for r in chunks), kind) for c, kind in (
+        ("column", "<i4"), ("threshold", "<f8"), ("left", "<i4"), ("right", "<i4"), ("value", "<f8")))
+    return Tree(column, threshold, left, right, value.reshape(-1, targets))
 
 
 def fit_forest(blocks: DataFrame, columns: int, rows: int, *, trees: int, tried: int, classes: int = 0, seed: int = 42,
                node_rows: int = NODE_ROWS) -> Forest:
-    """Grow a forest on stored blocks of ``rows`` rows; ``classes`` 0 means a number as label."""
+    """Grow a forest on stored blocks of ``rows`` rows, or of as many ``entries``; ``classes`` 0 means a number as label."""
     upper = [UpperTree(key=[int(_hash(t, seed))], open=[0] if rows > node_rows else []) for t in range(trees)]
     while any(tree.open for tree in upper):
         _grow_level(blocks, upper, columns, tried, classes, seed, node_rows)
@@ -331,36 +405,44 @@ def fit_forest(blocks: DataFrame, columns: int, rows: int, *, trees: int, tried:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for numbers, x, y in _blocks(batches):
-            yield from _by_node(flat, numbers, x, y, seed, settled)
-
-    def finish(tree: int, root: int, held: list[dict]) -> pa.RecordBatch:
-        x = np.concatenate([np.frombuffer(r["x"], "<f8").reshape(r["n"], -1) for r in held])
-        numbers, y = (np.concatenate([np.frombuffer(r[c], kind) for r in held]) for c, kind in (("rows", "<i8"), ("y", "<f8")))
-        order = np.argsort(numbers)  # whatever the order of arrival
-        x, y, numbers = x[order], y[order], numbers[order]
-        grown = grow(x, y, bootstrap_weights(numbers, tree, seed), keys[tree][root], tried, classes)
-        return pa.RecordBatch.from_arrays([pa.array([v]).cast(t) for v, t in zip(
-            _packed(tree, root, grown), [pa.int32()] * 2 + [pa.binary()] * 5)], NODE_COLUMNS)
+            begun, target = _hash(numbers), targets_of(y, classes)
+
+            def sums_of(t: int, first: np.ndarray, begun=begun, target=target, y=y, numbers=numbers) -> np.ndarray:
+                weight = bootstrap_weights(numbers, t, seed, begun)
+                return np.column_stack([
+                    np.add.reduceat(weight, first), np.add.reduceat(target * weight[:, None], first, axis=0),
+                    np.minimum.reduceat(np.where(weight > 0, y, np.inf), first), np.maximum.reduceat(np.where(weight > 0, y, -np.inf), first)])
+
+            yield from _by_node(flat, numbers, x, settled, sums_of)
+
+    def finish(tree: int, root: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        numbers, x, sums = (np.concatenate([np.frombuffer(r[c], kind).reshape(r["n"], -1) for r in held]) for c, kind in (
+            ("number", "<i8"), ("x", "<f8"), ("sums", "<f8")))
+        held.clear()
+        order = np.argsort(numbers[:, 0])  # whatever the order of arrival
+        x, sums = x[order], sums[order]
+        grown = grow_entries(x, sums[:, 0], sums[:, 1:-2], sums[:, -2], sums[:, -1], keys[tree][root], tried)
+        for row in _packed(tree, root, grown):
+            yield pa.RecordBatch.from_arrays([pa.array([v]).cast(t) for v, t in zip(row, [pa.int32()] * 3 + [pa.binary()] * 5)], NODE_COLUMNS)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (r["tree"], r["root"]) != current and held:
-                    yield finish(*current, held)
-                    held = []
-                current = r["tree"], r["root"]
-                held.append(r)
+        for r in _single_rows(batches):
+            if (r["tree"], r["root"]) != current and held:
+                yield from finish(*current, held)
+                held = []
+            current = r["tree"], r["root"]
+            held.append(r)
         if held:
-            yield finish(*current, held)
+            yield from finish(*current, held)
 
-    parts = blocks.mapInArrow(dealt, "tree int, root int, n int, rows binary, x binary, y binary")
-    schema = "tree int, root int, column binary, threshold binary, left binary, right binary, value binary"
+    parts = blocks.mapInArrow(dealt, "tree int, root int, n int, number binary, x binary, sums binary")
+    schema = "tree int, root int, chunk int, column binary, threshold binary, left binary, right binary, value binary"
     spark, folder = blocks.sparkSession, shared_folder(blocks.sparkSession)
     (parts.repartition("tree", "root").sortWithinPartitions("tree", "root").mapInArrow(finished, schema)
      .write.option("compression", "zstd").parquet(folder))
-    leaves = [_packed(t, node, Tree(np.zeros(1), np.zeros(1), np.array([-1]), np.array([-1]), np.array([value])))
-              for t, tree in enumerate(upper) for node, value in tree.settled.items()]
+    leaves = [row for t, tree in enumerate(upper) for node, value in tree.settled.items()
+              for row in _packed(t, node, Tree(np.zeros(1), np.zeros(1), np.array([-1]), np.array([-1]), np.array([value])))]
     if leaves:
         spark.createDataFrame(leaves, schema).write.mode("append").option("compression", "zstd").parquet(folder)
     return Forest(flat, spark.read.schema(schema).parquet(folder), targets)

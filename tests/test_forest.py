@@ -111,3 +111,38 @@ def test_classes_of_text(spark):
     assert {(r.label, r.prediction) for r in run.confusion().collect()} == {(c, c) for c in ("low", "mid", "high")}
     with pytest.raises(automl.AnalysisError, match="too_many_classes"):
         automl.ml_classification(table, "class", max_classes=2)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_subtrees_are_stored_in_chunks(spark, classes, monkeypatch):
+    """No row of the table of subtrees grows with the tree, and the chunks give the tree again."""
+    x, y = sample(classes)
+    rows = [(*map(float, r), float(v)) for r, v in zip(x, y)]
+    blocks = forest.stored_blocks(spark.createDataFrame(rows, "a double, b double, c double, d double, y double"), ["a", "b", "c", "d"], "y")
+    whole = {r.row: r["mean"] for r in forest.fit_forest(blocks, 4, 300, trees=3, tried=2, classes=classes, seed=9).predicted(blocks).collect()}
+    monkeypatch.setattr(forest, "CHUNK_NODES", 16)
+    fitted = forest.fit_forest(blocks, 4, 300, trees=3, tried=2, classes=classes, seed=9)
+    table = fitted.node_table()
+    assert table.groupBy("tree").count().agg(F.min("count")).first()[0] > 3
+    assert table.agg(F.max(F.length("left"))).first()[0] == 64
+    assert {r.row: r["mean"] for r in fitted.predicted(blocks).collect()} == whole
+
+
+def test_rows_of_equal_features_are_one_entry(spark):
+    """Twelve kinds of rows, many times each: what is grown and asked for goes with the kinds, and every row gets its prediction."""
+    table = spark.range(24_000).select((F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+                                       (F.col("id") % 12 * 10 + F.col("id") % 7).cast("double").alias("y")).repartition(6)
+    blocks = forest.stored_blocks(table, ["a", "b"], "y")
+    assert 12 <= forest.entries(blocks) <= 12 + blocks.count()
+    fitted = forest.fit_forest(blocks, 2, forest.entries(blocks), trees=4, tried=2, node_rows=200)
+    assert all(len(t.left) == 1 for t in fitted.upper)  # exact from the root, though there are more rows than a node may hold
+    rows = np.concatenate([np.column_stack([n, x, y]) for n, x, y in forest._blocks(blocks.select("rows", "x", "y", "n").toArrow().to_batches())])
+    found = {r.row: r for r in fitted.predicted(blocks).collect()}
+    assert len(found) == 24_000
+    expected = np.zeros(len(rows))
+    for t in range(4):
+        weight = forest.bootstrap_weights(rows[:, 0].astype(np.int64), t, 42)
+        for kind in np.unique(rows[:, 1:3], axis=0):
+            here = (rows[:, 1:3] == kind).all(axis=1)
+            expected[here] += np.average(rows[here, 3], weights=weight[here]) / 4
+    assert np.allclose([found[n]["mean"][0] for n in rows[:, 0].astype(int).tolist()], expected)
