@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tabulon.functions.columns import col, existing
 from tabulon.functions.frames import small_frame, spread
 from tabulon.operators.select import listwise_complete
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
 # Rows travel to the k-means passes in blocks of about this size.
 BLOCK_BYTES = 64 << 10
@@ -109,13 +111,13 @@ class KMeansFit:
             iterations, moving = np.zeros(n_init, int), np.arange(n_init)
             while len(moving) and iterations[moving[0]] < max_iter:
                 sums = _cluster_sums(blocks, centres[moving])
-                sizes = sums[:, :, -2, None]
-                after = np.where(sizes > 0, sums[:, :, :-2] / np.maximum(sizes, 1), centres[moving])
+                sizes = sums[:, :, -1, None]
+                after = np.where(sizes > 0, sums[:, :, :-1] / np.maximum(sizes, 1), centres[moving])
                 shift = ((after - centres[moving]) ** 2).sum(axis=(1, 2))
                 centres[moving] = after
                 iterations[moving] += 1
                 moving = moving[shift > limit]
-            final = _cluster_sums(blocks, centres)
+            final = _cluster_sums(blocks, centres, spread_too=True)
         finally:
             blocks.unpersist()
         inertia = final[:, :, -1].sum(axis=1)
@@ -163,6 +165,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions(*rows.columns).mapInArrow(pack, "place long, data binary")
 
 
+def _block_rows(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The rows of each block of an Arrow batch, which are not copied."""
+    data = batch.column(1)
+    return (np.frombuffer(data[i].as_buffer()).reshape(-1, width) for i in range(len(data)))
+
+
 def _with_next_start(blocks: DataFrame, centres: np.ndarray, seed: int) -> np.ndarray:
     """One more centre for every run, drawn with a chance in proportion to the squared distance to the nearest one.
 
@@ -173,8 +181,7 @@ def _with_next_start(blocks: DataFrame, centres: np.ndarray, seed: int) -> np.nd
     def draw(batches):
         best = {}
         for batch in batches:
-            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(data).reshape(-1, width)
+            for place, x in zip(batch.column(0).to_pylist(), _block_rows(batch, width)):
                 noise = np.random.default_rng([seed, count, place]).standard_exponential((runs, len(x)))
                 for run in range(runs):
                     weight = np.ones(len(x))
@@ -194,34 +201,41 @@ def _with_next_start(blocks: DataFrame, centres: np.ndarray, seed: int) -> np.nd
     return np.stack([np.vstack([c, found.get(run, c[:1])]) for run, c in enumerate(centres)])
 
 
-def _cluster_sums(blocks: DataFrame, centres: np.ndarray) -> np.ndarray:
-    """For every run and centre: column sums, number and summed squared distance of the rows nearest to it."""
+def _nearest(x: np.ndarray, flat: np.ndarray, offsets: np.ndarray, runs: int) -> np.ndarray:
+    """(runs, centres, rows): 1 where the centre is the nearest one of its run, the first of equally near ones."""
+    reach = flat @ x.T
+    reach *= -2
+    reach += offsets[:, None]
+    reach = reach.reshape(runs, -1, len(x))
+    hot = (reach == reach.min(axis=1)[:, None]).astype(float)
+    for run in np.flatnonzero(hot.sum(axis=(1, 2)) != len(x)).tolist():
+        hot[run] = np.arange(reach.shape[1])[:, None] == reach[run].argmin(axis=0)
+    return hot
+
+
+def _cluster_sums(blocks: DataFrame, centres: np.ndarray, spread_too: bool = False) -> np.ndarray:
+    """For every run and centre: column sums and number of the rows nearest to it, and at will their summed squared distance."""
     runs, k, width = centres.shape
     flat = centres.reshape(-1, width)
-    offsets = (flat * flat).sum(axis=1)
+    offsets, wide = (flat * flat).sum(axis=1), width + 1 + spread_too
 
     def add_up(batches):
-        total = np.zeros((runs * k, width + 2))
+        total = np.zeros((runs * k, wide))
         for batch in batches:
-            for data in batch.column(1).to_pylist():
-                x = np.frombuffer(data).reshape(-1, width)
-                reach = (offsets - 2 * (x @ flat.T)).reshape(len(x), runs, k)
-                near = reach.argmin(axis=2)
-                hot = np.zeros((len(x), runs, k))
-                np.put_along_axis(hot, near[:, :, None], 1.0, axis=2)
-                hot = hot.reshape(len(x), -1)
-                total[:, :width] += hot.T @ x
-                total[:, width] += hot.sum(axis=0)
-                for run in range(runs):
-                    gap = x - centres[run][near[:, run]]
-                    total[run * k:(run + 1) * k, -1] += np.bincount(near[:, run], (gap * gap).sum(axis=1), k)
+            for x in _block_rows(batch, width):
+                hot = _nearest(x, flat, offsets, runs).reshape(runs * k, -1)
+                total[:, :width] += hot @ x
+                total[:, width] += hot.sum(axis=1)
+                for c in range(runs * k if spread_too else 0):
+                    gap = x[hot[c] > 0] - flat[c]
+                    total[c, -1] += (gap * gap).sum()
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int32()), "value": pa.array(total.ravel()[slot])})
 
-    result = np.zeros(runs * k * (width + 2))
+    result = np.zeros(runs * k * wide)
     for r in blocks.mapInArrow(add_up, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect():
         result[r.slot] = r.value
-    return result.reshape(runs, k, width + 2)
+    return result.reshape(runs, k, wide)
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int = 3, *, n_init: int = 10, seed: int = 42,

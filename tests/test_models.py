@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -11,6 +12,7 @@ from tabulon import AnalysisError
 from tabulon.operators import automl, charts
 from tabulon.operators.linear import fit_linear_regression, linear_regression
 from tabulon.operators.logistic import logistic_regression, roc_auc, roc_curve, roc_points
+from tabulon.operators import multivariate
 from tabulon.operators.multivariate import kmeans, pca
 
 
@@ -193,3 +195,30 @@ def test_preprocess_fills_and_codes(spark):
                                "s string, x double, f boolean")
     got = automl.preprocess(df).collect()
     assert sorted(map(tuple, got)) == [(0.0, 3.0, 1.0), (1.0, 1.0, 1.0), (1.0, 4.0, 0.0), (1.0, 4.0, 1.0)]
+
+
+def test_nearest_centres_take_the_first_of_equals():
+    rng = np.random.default_rng(2)
+    x, centres = rng.integers(-3, 4, (500, 2)).astype(float), rng.integers(-3, 4, (6, 4, 2)).astype(float)
+    centres[2, 3] = centres[2, 0]  # a repeated centre stays empty
+    flat = centres.reshape(-1, 2)
+    hot = multivariate._nearest(x, flat, (flat * flat).sum(axis=1), 6)
+    near = ((x[None, None] - centres[:, :, None]) ** 2).sum(axis=3).argmin(axis=1)
+    assert (hot.argmax(axis=1) == near).all() and (hot.sum(axis=1) == 1).all()
+
+
+def test_kmeans_blocks_are_read_in_place(spark):
+    """Blocks are views of the Arrow batch, and summed distances are only asked for at the end."""
+    batch = pa.RecordBatch.from_pydict({"place": [0, 1], "data": [np.arange(6.0).tobytes(), np.arange(4.0).tobytes()]})
+    parts = list(multivariate._block_rows(batch, 2))
+    assert [p.tolist() for p in parts] == [[[0, 1], [2, 3], [4, 5]], [[0, 1], [2, 3]]]
+    assert all(not p.flags.owndata and not p.flags.writeable for p in parts)
+    rows = [(float(i % 7), float(i % 5)) for i in range(210)]
+    blocks = multivariate._blocks(spark.createDataFrame(rows, "x0 double, x1 double").repartition(3))
+    centres = np.array([[[0.0, 0.0], [5.0, 3.0]], [[2.0, 2.0], [2.0, 2.0]]])
+    x = np.array(rows)
+    gaps = ((x[None, None] - centres[:, :, None]) ** 2).sum(axis=3)
+    sums = multivariate._cluster_sums(blocks, centres, spread_too=True)
+    assert np.allclose(sums[:, :, -1].sum(axis=1), gaps.min(axis=1).sum(axis=1))
+    assert sums[1, 1].tolist() == [0, 0, 0, 0] and sums[1, 0, 2] == 210
+    assert multivariate._cluster_sums(blocks, centres).shape == (2, 2, 3)
