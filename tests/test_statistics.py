@@ -310,3 +310,18 @@ def test_kendall_tables_pass_as_rows(spark, monkeypatch):
     tied = lambda v: sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1])
     total = n * (n - 1) / 2
     assert tau == pytest.approx(concordance(x, y) / math.sqrt((total - tied(x)) * (total - tied(y))), abs=1e-12)
+
+
+def test_normal_scores_and_ranks_by_whole_pieces(spark, monkeypatch):
+    """Scores of whole arrays equal the plain quantile, in the middle and in both tails, and pieces split values with many ranks."""
+    p = np.concatenate([[1e-300, 1e-13, 1e-5, 0.02, 0.0749, 0.075, 0.3, 0.5], 1 - np.array([1e-13, 1e-5, 0.02, 0.075, 0.3])])
+    assert np.allclose(parametric.normal_scores(p), [statistics.NormalDist().inv_cdf(v) for v in p], rtol=1e-12, atol=1e-15)
+    monkeypatch.setattr(parametric, "SCORED_RANKS", 9)
+    score = lambda i, n: statistics.NormalDist().inv_cdf((i - 0.375) / (n + 0.25))
+    for n in (4, 5, 60, 61):
+        assert parametric._sum_of_squares(spark, n) == pytest.approx(sum(score(i, n) ** 2 for i in range(1, n + 1)), rel=1e-12)
+    counts = spark.createDataFrame([(1.0, 2, 2), (5.0, 50, 52), (7.0, 1, 53), (9.0, 7, 60)], "x double, n long, upto long").coalesce(1)
+    x = [1.0] * 2 + [5.0] * 50 + [7.0] + [9.0] * 7
+    weight = [score(i, 60) * 0.3 for i in range(1, 61)]
+    weight[0], weight[1], weight[-2], weight[-1] = -0.5, -0.4, 0.4, 0.5
+    assert parametric._weighted_sum(counts, 60, 5.0, 0.3, [0.5, 0.4]) == pytest.approx(sum(w * (v - 5.0) for w, v in zip(weight, x)), rel=1e-12)
