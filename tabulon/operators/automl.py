@@ -104,12 +104,14 @@ class ForestRun:
         for side in (train, test):
             rows = spread(side, side.count())
             sides.append(stored_blocks(rows, features, label))
-        n = entries(sides[0])  # nodes need be no smaller than one task can hold
+        n = sides[0].agg(F.sum("n")).first()[0] or 0
         if not n:
             raise AnalysisError("n_too_small", "no row to learn from")
         # All columns are tried for numbers, the square root of their number for classes.
         tried = max(1, math.isqrt(len(features))) if self._order else len(features)
-        self.model = fit_forest(sides[0], len(features), n, trees=num_trees, tried=tried, classes=len(self._order), seed=seed, node_rows=node_rows)
+        merge = n > node_rows  # a node need be no smaller than the different rows that one task can hold
+        self.model = fit_forest(sides[0], len(features), entries(sides[0]) if merge else n, trees=num_trees, tried=tried, classes=len(self._order),
+                                seed=seed, node_rows=node_rows, merge=merge)
         scored = self.model.predicted(sides[1])
         mean = F.col("mean")
         guess = (F.array_position(mean, F.array_max(mean)) - 1).cast("double") if self._order else mean[0]

@@ -353,10 +353,10 @@ def _single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _by_node(upper: list[Tree], rows: np.ndarray, x: np.ndarray, settled: list[list[int]] | None = None,
-             sums_of: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+             sums_of: Callable[[int, np.ndarray], np.ndarray] | None = None, merge: bool = True) -> Iterator[pa.RecordBatch]:
     """The different rows of a block by (tree, node of its upper tree), each with the number of its first row; with ``sums_of`` only those
-    that were drawn for the tree and lie in no settled node, each with its sums."""
-    first = _runs(x)
+    that were drawn for the tree and lie in no settled node, each with its sums. Without ``merge`` every row counts as different."""
+    first = _runs(x) if merge else np.arange(len(x))
     numbers, x = rows[first], x[first]
     for t, tree in enumerate(upper):
         node = tree.leaf_of(x)
@@ -394,8 +394,11 @@ def _unpacked(chunks: list[dict], targets: int) -> Tree:
 
 
 def fit_forest(blocks: DataFrame, columns: int, rows: int, *, trees: int, tried: int, classes: int = 0, seed: int = 42,
-               node_rows: int = NODE_ROWS) -> Forest:
-    """Grow a forest on stored blocks of ``rows`` rows, or of as many ``entries``; ``classes`` 0 means a number as label."""
+               node_rows: int = NODE_ROWS, merge: bool = True) -> Forest:
+    """Grow a forest on stored blocks of ``rows`` rows, or of as many ``entries``; ``classes`` 0 means a number as label.
+
+    Without ``merge`` rows of equal features are added up one by one; the last digits of a sum may decide between equally good splits.
+    """
     upper = [UpperTree(key=[int(_hash(t, seed))], open=[0] if rows > node_rows else []) for t in range(trees)]
     while any(tree.open for tree in upper):
         _grow_level(blocks, upper, columns, tried, classes, seed, node_rows)
@@ -413,7 +416,7 @@ def fit_forest(blocks: DataFrame, columns: int, rows: int, *, trees: int, tried:
                     np.add.reduceat(weight, first), np.add.reduceat(target * weight[:, None], first, axis=0),
                     np.minimum.reduceat(np.where(weight > 0, y, np.inf), first), np.maximum.reduceat(np.where(weight > 0, y, -np.inf), first)])
 
-            yield from _by_node(flat, numbers, x, settled, sums_of)
+            yield from _by_node(flat, numbers, x, settled, sums_of, merge)
 
     def finish(tree: int, root: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
         numbers, x, sums = (np.concatenate([np.frombuffer(r[c], kind).reshape(r["n"], -1) for r in held]) for c, kind in (

@@ -146,3 +146,15 @@ def test_rows_of_equal_features_are_one_entry(spark):
             here = (rows[:, 1:3] == kind).all(axis=1)
             expected[here] += np.average(rows[here, 3], weights=weight[here]) / 4
     assert np.allclose([found[n]["mean"][0] for n in rows[:, 0].astype(int).tolist()], expected)
+
+
+def test_small_tables_add_up_row_by_row(spark, monkeypatch):
+    """A table whose rows fit a node is grown from its rows, one larger from its entries."""
+    seen = []
+    plain = automl.fit_forest
+    monkeypatch.setattr(automl, "fit_forest", lambda blocks, columns, rows, **more: seen.append((rows, more["merge"])) or plain(blocks, columns, rows, **more))
+    table = spark.range(600).select((F.col("id") % 5).alias("a"), (F.col("id") % 7).alias("label"), F.col("id"))
+    runs = [automl.ml_regression(table.drop("id"), "label", key=["a", "label"], num_trees=5, node_rows=rows) for rows in (1000, 100)]
+    assert all(run.metrics().first().n_test > 0 for run in runs)
+    (rows, whole), (entries, merged) = seen
+    assert rows > 100 and not whole and merged and 5 <= entries < rows
