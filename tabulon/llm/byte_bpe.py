@@ -48,8 +48,8 @@ BLOCK = 64
 @functools.cache
 def code_point_classes() -> np.ndarray:
     """The class of each code point."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], REST) for i in range(0x110000)), np.uint8, 0x110000)
+    kinds = {c: {"L": LETTER, "N": NUMBER}.get(c[0], REST) for c in set(map(unicodedata.category, map(chr, range(0x110000))))}
+    table = np.fromiter(map(kinds.__getitem__, map(unicodedata.category, map(chr, range(0x110000)))), np.uint8, 0x110000)
     table[WHITE_SPACE] = BLANK
     table[0x20] = SPACE
     return table
@@ -110,14 +110,12 @@ def scanned(functions: np.ndarray) -> np.ndarray:
     padded = np.full(rows * BLOCK, identity, np.uint8)
     padded[:len(functions)] = functions
     columns = np.ascontiguousarray(padded.reshape(rows, BLOCK).T)
-    whole = np.full(rows, identity, np.uint8)
-    for column in columns:
-        whole = flat[whole.astype(np.intp) * width + column]
-    now, out = scanned(whole), np.empty((BLOCK, rows), np.uint8)
+    inside, whole = np.empty((BLOCK, rows), np.uint8), np.full(rows, identity, np.uint8)
     for i, column in enumerate(columns):
-        out[i] = now
-        now = flat[now.astype(np.intp) * width + column]
-    return out.T.ravel()[:len(functions)]
+        inside[i] = whole
+        whole = flat[whole.astype(np.intp) * width + column]
+    before = scanned(whole).astype(np.intp) * width  # what comes before a block, then what comes before in it
+    return flat.take((before + inside).T.ravel()[:len(functions)])
 
 
 def _symbols(points: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:

@@ -31,6 +31,8 @@ from tabulon.llm.shared import shared_folder, ship, written
 from tabulon.llm.tokens import encoded, read_tokenizer
 
 BLOCK_TOKENS = 1 << 18
+# What is left of four bytes by the number of those that count.
+LOW_BYTES = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 @functools.cache
@@ -57,12 +59,9 @@ def unpack_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     codes = np.frombuffer(control, np.uint8)
     size = sizes[codes]
     start = (np.cumsum(sums[codes]) - sums[codes])[:, None] + np.cumsum(size, axis=1) - size
-    raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)).astype(np.uint32)
-    start, size, out = start.ravel()[:n], size.ravel()[:n], np.zeros(n, np.uint32)
-    for k in range(4):
-        has = size > k
-        out[has] |= raw[start[has] + k] << np.uint32(8 * k)
-    return out
+    raw = data + bytes(3)
+    words = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))  # the four bytes from each place on
+    return words[start.ravel()[:n]] & LOW_BYTES[size.ravel()[:n]]
 
 
 def _staged(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

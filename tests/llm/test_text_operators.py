@@ -410,3 +410,23 @@ def test_simhash_windows(monkeypatch):
     monkeypatch.setattr(simhash, "WINDOW", 37)
     assert np.array_equal(simhash.fingerprints(texts), expected)
     assert [simhash.fingerprints([t])[0] for t in texts] == expected.tolist()
+
+
+def test_scan_equals_plain_composition():
+    rng = np.random.default_rng(7)
+    products, table, _ = byte_bpe.transition_monoid()
+    for n in (1, 64, 65, 4097, 5000):
+        functions = rng.integers(0, 9, n).astype(np.uint8)
+        now, plain = len(table) - 1, []
+        for f in functions.tolist():
+            plain.append(now)
+            now = int(products[now, f])
+        assert byte_bpe.scanned(functions).tolist() == plain
+
+
+def test_ids_of_one_to_four_bytes_come_back():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 3, 4, 5, 1000):
+        ids = (rng.integers(0, 1 << 32, n) >> rng.choice([0, 8, 16, 24], n)).astype(np.uint32)
+        found = token_files.unpack_ids(*token_files.pack_ids(ids), n)
+        assert found.tolist() == ids.tolist() and found.dtype == np.uint32
