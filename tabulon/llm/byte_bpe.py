@@ -5,7 +5,8 @@ rest); with a look at the next two characters a class becomes a symbol, and a sy
 before a character to the state after it. These functions are closed under composition (a small table of
 products is built once), so the state at every position is an associative scan over the symbols, done for whole
 batches in blocks. A character starts a slice if its symbol does so in the state before it. The slices are looked up in a
-cache; those not seen yet are merged together, one merge of every slice per step, as rank files prescribe: the lowest
+cache, whole batches at a time: a slice of at most 15 bytes is two integers, its bytes and its length, and stands in a hash table
+of arrays. Those not seen yet are merged together, one merge of every slice per step, as rank files prescribe: the lowest
 rank first, the leftmost of equals.
 
 Defined results: a null or empty text has no ids. Texts of any length are read in windows. Repeated rows are encoded alike.
@@ -17,7 +18,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import itertools
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -43,6 +43,10 @@ LONG_SLICE = 64
 NO_RANK = 1 << 40
 CACHE_SLICES = 400_000
 BLOCK = 64
+# Longest slice that two integers of eight bytes hold beside its length.
+SHORT_SLICE = 15
+# What is left of eight bytes by the number of those that count.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 @functools.cache
@@ -121,7 +125,7 @@ def scanned(functions: np.ndarray) -> np.ndarray:
 def _symbols(points: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
     """Symbols of the first n code points; points and classes reach two further, with GAP's class past the end."""
     blank = (classes == SPACE) | (classes == BLANK) | (classes == GAP)
-    symbol = np.array([LET, NUM, OTH, SP, WS, MID, MID, MID, GAP], np.uint8)[classes[:n]]
+    symbol = np.array([LET, NUM, OTH, SP, WS, MID, MID, MID, GAP], np.uint8).take(classes[:n])
     symbol[blank[:n] & blank[1:n + 1] & (classes[:n] != GAP)] = MID
     for i in np.flatnonzero(points[:n] == 39).tolist():
         after = "".join(map(chr, points[i + 1:i + 3]))
@@ -136,31 +140,31 @@ def slices(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]
     """Split texts. Returns their joined bytes, the start and end of each slice in them, and the slices per text."""
     joined = "\n".join(texts) + "\n"
     gaps = np.cumsum([len(t) + 1 for t in texts]) - 1
-    products, table, starts = transition_monoid()
-    at, state, found, shift = 0, CLOSED, [], 0
-    classes_of = code_point_classes()
+    _, table, starts = transition_monoid()
+    state, found, data, shift = CLOSED, [], [], 0
+    classes_of, starts = code_point_classes(), starts.ravel()
     for at in range(0, len(joined), BATCH_CHARS):
         window = joined[at:at + BATCH_CHARS + 2]
         points = np.frombuffer((window + "\n\n").encode("utf-32-le"), np.uint32)
         n = min(BATCH_CHARS, len(joined) - at)
-        classes = classes_of[points]
+        classes = classes_of.take(points)
         here = gaps[(gaps >= at) & (gaps < at + len(window))] - at
         classes[here] = GAP
         classes[len(window):] = GAP
         symbol = _symbols(points, classes, n)
-        before = table[scanned(symbol), state]
-        first = starts[symbol, before]
+        before = table[:, state].take(scanned(symbol))
+        first = np.flatnonzero(starts.take(symbol * np.uint8(table.shape[1]) + before))
         state = int(table[symbol[-1], before[-1]])
-        points = points[:n]
-        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        place = np.cumsum(width) - width + shift
-        shift = int(place[-1] + width[-1])
-        found.append((place[first], symbol[first] == GAP))
+        raw = window[:n].encode()
+        place = first if len(raw) == n else np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80).take(first)
+        found.append((place + shift, symbol.take(first) == GAP))
+        data.append(raw)
+        shift += len(raw)
     place = np.concatenate([p for p, _ in found])
     gap = np.concatenate([g for _, g in found])
     ends = np.append(place[1:], shift)
     per_text = np.diff(np.flatnonzero(gap), prepend=-1) - 1
-    return joined.encode(), place[~gap], ends[~gap], per_text
+    return b"".join(data), place[~gap], ends[~gap], per_text
 
 
 class RankMerger:
@@ -274,6 +278,20 @@ class RankMerger:
         return out
 
 
+def short_keys(data: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers for each slice of ``data``: its first eight bytes, and the next seven with its length; of longer ones the latter is 0.
+
+    Slices of at most ``SHORT_SLICE`` bytes are equal if and only if both integers are.
+    """
+    raw = data + bytes(16)
+    words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    low = words[start] & FIRST_BYTES.take(np.minimum(length, 8))
+    high = words[start + 8] & FIRST_BYTES.take(np.clip(length - 8, 0, 7))
+    high |= length.astype(np.uint64) << np.uint64(56)
+    high[length > SHORT_SLICE] = 0
+    return low, high
+
+
 class SliceCache:
     """Ids of slices, remembered up to a number of slices; ``merge`` encodes those that are new."""
 
@@ -282,8 +300,49 @@ class SliceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = {}  # the longer slices
         self.ids, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        # The two integers of each slice by its number (0 for longer ones), and numbers by hash, at most a quarter full.
+        self.low, self.high = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.uint64)
+        self.bits, self.table = 12, np.full(1 << 12, -1, np.int32)
+
+    def _hash(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = low * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed += high
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _numbers(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each slice, -1 for those not in the table."""
+        at = self._hash(low, high)
+        number = self.table.take(at)
+        other = np.flatnonzero((number >= 0) & ((self.low.take(number, mode="wrap") != low) | (self.high.take(number, mode="wrap") != high)))
+        while len(other):
+            at[other] = (at[other] + 1) & ((1 << self.bits) - 1)
+            here = number[other] = self.table[at[other]]
+            other = other[(here >= 0) & ((self.low[here] != low[other]) | (self.high[here] != high[other]))]
+        return number
+
+    def _add(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Give the next numbers to slices that differ from each other and from all before."""
+        base = len(self.start) - 1
+        total = base + len(low)
+        if total > len(self.low):
+            while total > 1 << (self.bits - 2):
+                self.bits += 1
+            room = np.zeros((1 << (self.bits - 2)) - base, np.uint64)
+            self.low, self.high = np.append(self.low[:base], room), np.append(self.high[:base], room)
+            self.table, base = np.full(1 << self.bits, -1, np.int32), 0
+        self.low[total - len(low):total], self.high[total - len(low):total] = low, high
+        number = np.arange(base, total, dtype=np.int32)
+        number = number[self.high[number] > 0]
+        at = self._hash(self.low[number], self.high[number])
+        while len(number):
+            free = self.table[at] < 0
+            self.table[at[free]] = number[free]
+            left = self.table[at] != number
+            number, at = number[left], (at[left] + 1) & ((1 << self.bits) - 1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, the ids per text, and the ids per slice."""
@@ -295,21 +354,28 @@ class SliceCache:
     def encode_offsets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, ids per slice, slices per text, and the byte at which each slice starts in the joined texts."""
         data, starts, ends, per_text = slices(texts)
-        words = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        if len(self.index) > self.limit:
+        length = ends - starts
+        if len(self.start) - 1 > self.limit:
             self._clear()
-        place = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(place < 0).tolist()
-        if unknown:
-            unseen = [words[i] for i in unknown]
-            new = list(dict.fromkeys(unseen))
+        low, high = short_keys(data, starts, length)
+        place = self._numbers(low, high)
+        longer = np.flatnonzero(length > SHORT_SLICE).tolist()
+        if longer:
+            place[longer] = [self.index.get(data[starts[i]:ends[i]], -1) for i in longer]
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            unseen = [data[a:b] for a, b in zip(starts[unknown].tolist(), ends[unknown].tolist())]
+            one = dict(zip(unseen, unknown.tolist()))  # any place of each
+            new, at = list(one), list(one.values())
             coded = self.merge(new)
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             base = len(self.start) - 1
-            self.index.update(zip(new, range(base, base + len(new))))
+            number = dict(zip(new, range(base, base + len(new))))
+            self.index.update((w, i) for w, i in number.items() if len(w) > SHORT_SLICE)
+            self._add(low[at], high[at])
             self.start = np.append(self.start, self.start[-1] + np.cumsum(sizes))
             self.ids = np.append(self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum())))
-            place[unknown] = [self.index[w] for w in unseen]
+            place[unknown] = [number[w] for w in unseen]
         size = self.start[place + 1] - self.start[place]
         total = int(size.sum())
         gather = np.arange(total) + np.repeat(self.start[place] - (np.cumsum(size) - size), size)

@@ -7,6 +7,7 @@ that holds one of the file's added tokens: the library gives such a token its ow
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from tabulon.llm.byte_bpe import SliceCache
 from tabulon.llm.shared import ship, small_batches
 
 # Slices kept per worker: nothing else of size lives beside this encoder, so more fit than beside a decoder.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -46,9 +47,9 @@ class Slices:
 
     def __init__(self, tokenizer: Tokenizer, added: list[str]):
         self.added, self.whole = added, WholeTexts(tokenizer)
-        model, alphabet = tokenizer.model, {b: c for b, c in enumerate(_byte_alphabet())}
+        model, alphabet = tokenizer.model, "".join(_byte_alphabet())
         self.cache = SliceCache(lambda words: [
-            [t.id for t in model.tokenize(w.decode("latin-1").translate(alphabet))] for w in words], limit=REMEMBERED)
+            [t.id for t in model.tokenize(codecs.charmap_decode(w, "strict", alphabet)[0])] for w in words], limit=REMEMBERED)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         marked = [i for i, t in enumerate(texts) if any(mark in t for mark in self.added)]

@@ -430,3 +430,20 @@ def test_ids_of_one_to_four_bytes_come_back():
         ids = (rng.integers(0, 1 << 32, n) >> rng.choice([0, 8, 16, 24], n)).astype(np.uint32)
         found = token_files.unpack_ids(*token_files.pack_ids(ids), n)
         assert found.tolist() == ids.tolist() and found.dtype == np.uint32
+
+
+@pytest.mark.parametrize("hashed", ["own", "all alike"])
+def test_short_slices_are_found_in_arrays(monkeypatch, hashed):
+    if hashed == "all alike":  # every slice at the same place: they are still told apart
+        monkeypatch.setattr(byte_bpe.SliceCache, "_hash", lambda self, low, high: np.full(len(low), (1 << self.bits) - 2))
+    merged = []
+    coder = byte_bpe.SliceCache(lambda words: merged.append(words) or [[*w, 1000 + len(w)] for w in words], limit=10_000)
+    # Of 1 to 40 bytes; some differ only by a zero byte at the end, or after the eighth byte.
+    words = ["!" * n + end for n in range(1, 38) for end in ("", "\0", "\0\0", "?", "—")]
+    words += [] if hashed == "all alike" else ["x%s" % "".join(chr(97 + int(d)) for d in str(i)) for i in range(3000)]
+    for _ in range(2):
+        ids, per_text, per_slice = coder.encode(words)
+        assert ids.tolist() == [i for w in words for i in (*w.encode(), 1000 + len(w.encode()))]
+        assert per_text.tolist() == per_slice.tolist() == [len(w.encode()) + 1 for w in words]
+    assert [w.decode() for w in merged[0]] == list(dict.fromkeys(words)) and len(merged) == 1
+    assert {w.decode() for w in coder.index} == {w for w in words if len(w.encode()) > 15}
